@@ -112,8 +112,8 @@ SCORE = "CAST(CASE WHEN sum({loc}) = 0 THEN 100 ELSE floor(sum({health} * {loc})
 def project_audit(spark, sf_dir):
     """Flagship: scan every file, score files, score projects.
 
-    Each file is one row all the way, so its health is summed from its own lines without
-    a shuffle; the only exchange is the final sum per review.
+    The lines of a file are tested and summed in the task that reads it, so the exchange
+    on files carries one small row per file, and the one on reviews one row per task.
     """
     files = ingest.prepare(view(spark, sf_dir, "files"))
     costs = F.array(*[F.lit(fv.HEALTH_COST[rule[3]]) for rule in fv.LINE_RULES])
@@ -124,7 +124,6 @@ def project_audit(spark, sf_dir):
         "review_id", "file_id", "lines_of_code", "pos",
         scan.rule_numbers(F.col("line")).alias("rules"),
     )
-    # Whole files sit in one task, so this sum is complete after its map-side half.
     per_file = marked.groupBy("review_id", "file_id").agg(
         F.max("lines_of_code").alias("lines_of_code"),
         F.sum(F.size("rules").cast("long")).alias("n"),
