@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from linewright import fixed_values as fv
 from linewright.functions import text
+from linewright.operators.groups import whole_groups
 from linewright.operators.spread import running_rank, running_sum_before
 
 FILE = ["review_id", "file_id"]
@@ -158,44 +159,43 @@ def _codes(df: DataFrame) -> DataFrame:
 
 
 def _assign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Owners for whole files; rows arrive sorted by file and arrival."""
-    pending: list[pa.RecordBatch] = []
-
-    def column(table: pa.Table, name: str) -> np.ndarray:
-        return table.column(name).to_numpy()
-
-    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        reviews, files = column(table, "review_id"), column(table, "file_id")
-        arrivals = column(table, "ord")
-        lines, sources, ranks = (column(table, c).tolist() for c in ("line_start", "_src", "_rank"))
+    """Owner and lead of every row; rows come sorted by file and arrival."""
+    for rows, bounds in whole_groups(batches, FILE):
+        arrivals = rows.column("ord").to_numpy()
+        lines, sources, ranks = (rows.column(c).to_pylist() for c in ("line_start", "_src", "_rank"))
         owner, lead = arrivals.copy(), arrivals.copy()
-        change = np.flatnonzero((reviews[1:] != reviews[:-1]) | (files[1:] != files[:-1])) + 1
-        bounds = [0, *change.tolist(), len(arrivals)]
-        for low, high in zip(bounds, bounds[1:]):
+        for low, high in bounds:
             if high - low > 1:
                 own, main, _ = greedy_owners(lines[low:high], sources[low:high], ranks[low:high])
                 owner[low:high] = arrivals[low + own]
                 lead[low:high] = arrivals[low + main]
-        table = table.append_column("_owner", pa.array(owner)).append_column("_lead", pa.array(lead))
-        yield from table.combine_chunks().to_batches()
-
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        pending.append(batch)
-        reviews, files = (batch.column(c).to_numpy() for c in FILE)
-        same = (reviews == reviews[-1]) & (files == files[-1])
-        start = int(np.argmax(same))
-        if start == 0:  # the whole batch may belong to a file that goes on
-            head = pending[0]
-            first = (head.column("review_id")[0].as_py(), head.column("file_id")[0].as_py())
-            if first == (reviews[-1], files[-1]):
-                continue
-        done = [*pending[:-1], batch.slice(0, start)]
-        yield from settle(pa.Table.from_batches([b for b in done if b.num_rows]))
-        pending = [batch.slice(start)]
-    if pending:
-        yield from settle(pa.Table.from_batches(pending))
+        marked = rows.append_column("_owner", pa.array(owner)).append_column("_lead", pa.array(lead))
+        yield from marked.to_batches()
+
+
+def _absorber_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The absorbers of every island; rows come sorted by island and arrival."""
+    for rows, bounds in whole_groups(batches, [*FILE, "_island"]):
+        arrivals = rows.column("ord").to_numpy()
+        lines, sources, ranks = (rows.column(c).to_pylist() for c in ("line_start", "_src", "_rank"))
+        at, settled, since, main = [], [], [], []
+        for low, high in bounds:
+            _, lead, found = greedy_owners(lines[low:high], sources[low:high], ranks[low:high])
+            for i, line, lead_in in found:
+                at.append(low + i)
+                settled.append(line)
+                since.append(low + lead_in)
+                main.append(low + lead[i])
+        at, since, main = (np.array(values, dtype=np.int64) for values in (at, since, main))
+        absorbing = rows.select([*FILE, "_src"]).take(pa.array(at))
+        for name, values in (
+            ("_line", pa.array(settled, pa.int32())),
+            ("_absorber", pa.array(arrivals[at])),
+            ("_from", pa.array(arrivals[since])),
+            ("_main", pa.array(arrivals[main])),
+        ):
+            absorbing = absorbing.append_column(name, values)
+        yield from absorbing.to_batches()
 
 
 def _assign_small(findings: DataFrame) -> DataFrame:
@@ -248,24 +248,12 @@ def _assign_large(findings: DataFrame) -> DataFrame:
         "_island", F.col("_island") + F.col("_start")
     )
 
-    def absorb(batch):
-        batch = batch.sort_values("ord")
-        lines, sources, ranks = (batch[c].tolist() for c in ("line_start", "_src", "_rank"))
-        _, lead, found = greedy_owners(lines, sources, ranks)
-        arrivals = batch["ord"].to_numpy()
-        at = [i for i, _, _ in found]
-        out = batch.iloc[at][["review_id", "file_id", "_src"]].copy()
-        out["_line"] = [settled for _, settled, _ in found]
-        out["_absorber"] = arrivals[at]
-        out["_from"] = arrivals[[lead_in for _, _, lead_in in found]]
-        out["_main"] = arrivals[lead[at]]
-        return out
-
     absorbers = (
         short.join(islands.drop("_start"), PLACE)
-        .groupBy(*FILE, "_island")
-        .applyInPandas(
-            absorb,
+        .repartition(*FILE, "_island")
+        .sortWithinPartitions(*FILE, "_island", "ord")
+        .mapInArrow(
+            _absorber_batches,
             "review_id long, file_id long, _src int, _line int, _absorber long, _from long, _main long",
         )
     )
