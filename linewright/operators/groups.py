@@ -6,6 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def gather(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Each key's rows in one partition, sorted by ``keys`` and ``order``.
+
+    An Arrow map asks nothing of its input, so a plain repartition by ``keys`` below it may
+    be planned away where a join or union already has that layout, and the layout is lost
+    when AQE turns the join into a broadcast or merges partitions. A hash of the keys is
+    an expression of its own, and this exchange always stays.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
 def whole_groups(

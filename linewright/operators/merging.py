@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from linewright import fixed_values as fv
 from linewright.functions import text
-from linewright.operators.groups import whole_groups
+from linewright.operators.groups import gather, whole_groups
 from linewright.operators.spread import running_rank, running_sum_before
 
 FILE = ["review_id", "file_id"]
@@ -202,8 +202,7 @@ def _assign_small(findings: DataFrame) -> DataFrame:
     """One shuffle and one sort; files are told apart inside the Arrow batches."""
     coded = _codes(findings)
     schema = coded.schema.add("_owner", "long").add("_lead", "long")
-    placed = coded.repartition(*FILE).sortWithinPartitions(*FILE, "ord")
-    return placed.mapInArrow(_assign_batches, schema)
+    return gather(coded, FILE, "ord").mapInArrow(_assign_batches, schema)
 
 
 def _assign_large(findings: DataFrame) -> DataFrame:
@@ -249,9 +248,7 @@ def _assign_large(findings: DataFrame) -> DataFrame:
     )
 
     absorbers = (
-        short.join(islands.drop("_start"), PLACE)
-        .repartition(*FILE, "_island")
-        .sortWithinPartitions(*FILE, "_island", "ord")
+        gather(short.join(islands.drop("_start"), PLACE), [*FILE, "_island"], "ord")
         .mapInArrow(
             _absorber_batches,
             "review_id long, file_id long, _src int, _line int, _absorber long, _from long, _main long",
