@@ -23,8 +23,20 @@ def _common(pattern: str) -> str:
     return pattern.replace(r"\s", SPACE)
 
 
+def _jvm_boundaries(pattern: str) -> str:
+    """ASCII boundaries: in front of a word a look-behind will do, behind one a look-ahead.
+
+    A pattern with a negative look-ahead of its own may put a boundary behind something
+    else than a word; there the full form is used.
+    """
+    if "(?!" in pattern:
+        return pattern.replace(r"\b", _BOUNDARY)
+    pattern = re.sub(r"\\b(?=[\w(])", lambda _: r"(?<!\w)", pattern)
+    return pattern.replace(r"\b", r"(?!\w)")
+
+
 def jvm(pattern: str, ignore_case: bool = False) -> str:
-    return ("(?i)" if ignore_case else "") + _common(pattern).replace(r"\b", _BOUNDARY)
+    return ("(?i)" if ignore_case else "") + _common(_jvm_boundaries(pattern))
 
 
 def re2(pattern: str, ignore_case: bool = False) -> str:

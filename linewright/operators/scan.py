@@ -12,22 +12,25 @@ from linewright.functions import patterns, text
 
 # Literals a line must hold for a rule to have a chance: one out of each inner tuple.
 # Looking for literals is a byte search; only lines that pass pay for the regex.
+_DIGITS = tuple("0123456789")
 _NEEDS: dict[str, tuple[tuple[str, ...], ...]] = {
     "hardcoded-aws-key": (("AKIA", "ASIA"),),
     "hardcoded-generic-secret": (("'", '"'), ("=", ":")),
     "hardcoded-private-key": (("-----BEGIN ",),),
     "hardcoded-jwt-secret": (("jwt", "JWT"), ("'", '"')),
-    "sql-string-concat": (("+", "${", "%", "(", "'", '"'),),
+    "sql-string-concat": (
+        ("+", "${", "%s", "%S", "%d", "%D", ".f", ".F", "f'", "F'", 'f"', 'F"'),
+    ),
     "dangerous-eval": (("(",), ("eval", "exec")),
     "dangerous-deserialize": (("pickle", "yaml", "unserialize", "Marshal", "ObjectInputStream"),),
     "innerHTML-xss": (("nnerHTML", "v-html"),),
     "shell-injection": (("(",), ("os.system", "subprocess", "Runtime", "exec.Command")),
     "todo-fixme": (("//", "#", "/*"),),
     "console-log": (("console.log", "System.out.println", "fmt.Println"),),
-    "magic-number": (("if", "while", "for", "return", "=", "<", ">"),),
+    "magic-number": (_DIGITS, ("if", "while", "for", "return", "=", "<", ">")),
     "commented-out-code": (("//", "#"),),
     "empty-catch": (("catch",), ("{",)),
-    "hardcoded-ip": (("'", '"'), (".",)),
+    "hardcoded-ip": (("'", '"'), _DIGITS),
     "hardcoded-url": (("'", '"'), ("://",)),
 }
 

@@ -56,7 +56,12 @@ def class_name(line: Column, language: Column) -> Column:
 
 
 def branch_count(line: Column, language: Column) -> Column:
-    counted = F.when(F.lit(False), F.lit(0))
+    words = ("if", "for", "while", "case", "switch", "catch", "else", "except", "select", "do",
+             "loop", "unless", "when", "rescue", "=>", "?")
+    may = F.lit(False)
+    for word in words:
+        may = may | line.contains(word)
+    counted = F.when(~may, F.lit(0))
     for languages, pattern in fv.BRANCH_WORDS:
         counted = counted.when(
             language.isin(*languages), F.regexp_count(line, F.lit(patterns.jvm(pattern)))

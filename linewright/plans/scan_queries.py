@@ -116,20 +116,23 @@ def project_audit(spark, sf_dir):
     on files carries one small row per file, and the one on reviews one row per task.
     """
     files = ingest.prepare(view(spark, sf_dir, "files"))
-    costs = F.array(*[F.lit(fv.HEALTH_COST[rule[3]]) for rule in fv.LINE_RULES])
-    marked = files.select(
+    lines = files.select(
         "review_id", "file_id", "lines_of_code",
-        F.posexplode_outer(text.split_lines(F.col("content"))).alias("pos", "line"),
-    ).select(
-        "review_id", "file_id", "lines_of_code", "pos",
-        scan.rule_numbers(F.col("line")).alias("rules"),
+        F.explode_outer(text.split_lines(F.col("content"))).alias("line"),
     )
-    per_file = marked.groupBy("review_id", "file_id").agg(
-        F.max("lines_of_code").alias("lines_of_code"),
-        F.sum(F.size("rules").cast("long")).alias("n"),
-        F.sum(
-            F.aggregate("rules", F.lit(0), lambda total, rule: total + F.element_at(costs, rule + 1)).cast("long")
-        ).alias("cost"),
+    # One number per line: costs in the high half, hits in the low half, so that every
+    # rule is tested once.
+    marks = sum(
+        (
+            F.when(scan.rule_match(F.col("line"), rule[0]), F.lit((fv.HEALTH_COST[rule[3]] << 32) + 1))
+            .otherwise(F.lit(0))
+            for rule in fv.LINE_RULES
+        ),
+        F.lit(0),
+    )
+    per_file = lines.groupBy("review_id", "file_id", "lines_of_code").agg(F.sum(marks.cast("long")).alias("marks"))
+    per_file = per_file.withColumn("n", F.col("marks").bitwiseAND(F.lit((1 << 32) - 1))).withColumn(
+        "cost", F.shiftright("marks", 32)
     )
     scored = per_file.withColumn("health_score", scoring.health(F.col("cost")))
     loc = F.sum(F.col("lines_of_code").cast("long"))
