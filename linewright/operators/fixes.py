@@ -28,16 +28,16 @@ def splice(lines: Column, fix: Column) -> Column:
     )
 
 
-def with_content(findings: DataFrame, files: DataFrame) -> DataFrame:
+def with_content(findings: DataFrame, files: DataFrame, how: str = "inner") -> DataFrame:
     """Findings that suggest a fix, next to the content they apply to."""
     wanted = findings.where(F.coalesce("suggested_fix", F.lit("")) != "")
-    return wanted.join(files.select(*FILE, "language", "content"), FILE)
+    return wanted.join(files.select(*FILE, "language", "content"), FILE, how)
 
 
-def apply_fix(findings: DataFrame, files: DataFrame) -> DataFrame:
+def apply_fix(findings: DataFrame, files: DataFrame, how: str = "inner") -> DataFrame:
     """Adds ``fixed_content``."""
     lines = text.split_lines(F.col("content"))
-    return with_content(findings, files).withColumn(
+    return with_content(findings, files, how).withColumn(
         "fixed_content", F.array_join(splice(lines, F.col("suggested_fix")), "\n")
     )
 
@@ -55,7 +55,9 @@ def _hit(line: Column, rule: Column) -> Column:
     return F.struct(line.cast("int").alias("line"), rule.alias("rule"))
 
 
-def _regressed(findings: DataFrame, files: DataFrame, hits: DataFrame, numbers) -> DataFrame:
+def _regressed(
+    findings: DataFrame, files: DataFrame, hits: DataFrame, numbers, how: str = "inner", also: Column | None = None
+) -> DataFrame:
     """Adds ``regressed``: a hit afterwards that was not there before, by rule and line.
 
     The file is not scanned again for each fix. Lines in front keep their hits, lines
@@ -66,7 +68,9 @@ def _regressed(findings: DataFrame, files: DataFrame, hits: DataFrame, numbers)
     lines = text.split_lines(F.col("content"))
     front, end = _bounds(lines)
     placed = (
-        with_content(findings, files)
+        apply_fix(findings, files, how)
+        .withColumn("_also", F.lit(False) if also is None else F.coalesce(also, F.lit(False)))
+        .drop("fixed_content")
         .withColumn("_front", front)
         .withColumn("_end", end)
         .withColumn("_fix", text.split_lines(F.col("suggested_fix")))
@@ -89,7 +93,9 @@ def _regressed(findings: DataFrame, files: DataFrame, hits: DataFrame, numbers)
         )
     )
     new = F.array_except(F.concat(kept, fresh, moved), F.col("_before"))
-    return placed.withColumn("regressed", F.size(new) > 0).drop("_front", "_end", "_fix", "_before")
+    return placed.withColumn("regressed", (F.size(new) > 0) | F.col("_also")).drop(
+        "_front", "_end", "_fix", "_before", "_also"
+    )
 
 
 def pattern_check(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -124,20 +130,39 @@ def fix_status(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``fix_status``.
 
     No fix or any regression is ``unavailable``, all checks passed is ``verified``, and a
-    fix whose file is missing cannot be checked and stays ``unverified``.
+    fix whose file is missing cannot be checked and stays ``unverified``. All three checks
+    share one join with the contents and one pass over the lines of the affected files.
     """
-    keys = [*FILE, "ord"]
-    checks = [
-        check(findings, files).select(*keys, "regressed")
-        for check in (syntax_check, pattern_check, lint_check)
-    ]
-    verdicts = checks[0].unionByName(checks[1]).unionByName(checks[2]).groupBy(*keys).agg(
-        F.bool_or("regressed").alias("_bad")
-    )
     has_fix = F.coalesce("suggested_fix", F.lit("")) != ""
+    findings = findings.drop("fix_status")
+    idle = findings.where(~has_fix).withColumn("fix_status", F.lit("unavailable"))
+
+    def numbers(line, bare, language):
+        """Critical catalogue rules as they are, lint errors behind them."""
+        shift = len(fv.LINE_RULES)
+        errors = F.transform(lint.rule_numbers(line, bare, language, "error"), lambda n: n + shift)
+        none = F.expr("array()").cast("array<int>")
+        return F.concat(
+            scan.rule_numbers(line, _CRITICAL), F.when(lint.is_linted(language), errors).otherwise(none)
+        )
+
+    affected = files.join(_files_with_fix(findings), FILE, "left_semi")
+    lines = scan.explode_lines(affected, *FILE, "language").withColumn("bare", lint.stripped(F.col("line")))
+    hits = lines.select(
+        *FILE, "line_no", F.explode(numbers(F.col("line"), F.col("bare"), F.col("language"))).alias("rule")
+    )
+    keep = findings.columns
+    worse = structure.bracket_imbalance(F.col("fixed_content")) > structure.bracket_imbalance(F.col("content"))
+    checked = _regressed(
+        findings, files, hits, lambda line, language: numbers(line, lint.stripped(line), language),
+        how="left",
+        also=F.col("language").isin(*fv.PARSED_LANGUAGES) & worse,
+    )
     status = (
-        F.when(~has_fix | F.coalesce("_bad", F.lit(False)), "unavailable")
-        .when(F.col("_bad").isNull(), "unverified")
+        F.when(F.col("language").isNull(), "unverified")
+        .when(F.col("regressed"), "unavailable")
         .otherwise("verified")
     )
-    return findings.drop("fix_status").join(verdicts, keys, "left").withColumn("fix_status", status).drop("_bad")
+    return checked.withColumn("fix_status", status).select(*keep, "fix_status").unionByName(
+        idle.select(*keep, "fix_status")
+    )

@@ -81,7 +81,6 @@ def connected_components(files: DataFrame, edges: DataFrame) -> DataFrame:
             both.join(lowest, "u")
             .where(F.col("v") > F.col("u"))
             .select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-            .distinct()
         )
         below = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (

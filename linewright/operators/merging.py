@@ -47,18 +47,20 @@ def cross_source_agreement(findings: DataFrame) -> DataFrame:
     """Adds ``confirmed``: some other source has a finding within three lines.
 
     Findings shrink to one row per place and source before anything is compared. Each
-    place then tells its neighbours which sources it has, so no finding meets another.
+    place then tells its neighbours which sources it has, so no finding meets another. If
+    all sources around are the own one, the smallest and the largest of them are.
     """
-    seen = findings.select(*PLACE, "source").distinct()
+    code = F.xxhash64("source")
+    seen = findings.select(*PLACE, code.alias("_code")).distinct()
     around = (
-        seen.select(*FILE, _neighbours(F.col("line_start")).alias("line_start"), "source")
+        seen.select(*FILE, _neighbours(F.col("line_start")).alias("line_start"), "_code")
         .groupBy(*PLACE)
-        .agg(F.collect_set("source").alias("around"))
+        .agg(F.min("_code").alias("_low"), F.max("_code").alias("_high"))
     )
     return (
         findings.join(around, PLACE)
-        .withColumn("confirmed", F.size(F.array_remove("around", F.col("source"))) > 0)
-        .drop("around")
+        .withColumn("confirmed", (F.col("_low") != code) | (F.col("_high") != code))
+        .drop("_low", "_high")
     )
 
 

@@ -62,24 +62,23 @@ def describe(files: DataFrame) -> DataFrame:
     Each list belongs to one file, whose content was one cell to begin with.
     """
 
-    def gather(rows: DataFrame, *order: str, value: Column, name: str) -> DataFrame:
+    def gather(rows: DataFrame, keys: list[str], *order: str, value: Column, name: str) -> DataFrame:
         listed = F.array_sort(F.collect_list(F.struct(*order, value.alias("value"))))
-        return rows.groupBy(*FILE).agg(listed["value"].alias(name))
+        return rows.groupBy(*keys).agg(listed["value"].alias(name))
 
-    exported = gather(structure.exports(files), "line_no", value=F.col("name"), name="exports")
-    imported = gather(structure.imports(files), "line_no", "part", value=F.col("source"), name="imports")
+    exported = gather(structure.exports(files), FILE, "line_no", value=F.col("name"), name="exports")
+    imported = gather(structure.imports(files), FILE, "line_no", "part", value=F.col("source"), name="imports")
+    header = [*FILE, "line_start"]
     params = gather(
-        structure.parameters(files).withColumnRenamed("line_no", "line_start").withColumn("_f", F.col("line_start")),
-        "line_start", "position", value=F.struct("line_start", "param"), name="params",
+        structure.parameters(files).withColumnRenamed("line_no", "line_start"),
+        header, "position", value=F.col("param"), name="params",
     )
-    functions = structure.functions(files).join(params, FILE, "left")
-    mine = F.filter("params", lambda p: p["line_start"] == F.col("line_start"))
     shown = F.concat(
-        F.col("name"), F.lit("("),
-        F.array_join(F.transform(F.coalesce(mine, F.array()), lambda p: p["param"]), ", "),
+        F.col("name"), F.lit("("), F.coalesce(F.array_join("params", ", "), F.lit("")),
         F.lit(") [complexity: "), F.col("complexity").cast("string"), F.lit("]"),
     )
-    defined = gather(functions, "line_start", value=shown, name="functions")
+    functions = structure.functions(files).join(params, header, "left")
+    defined = gather(functions, FILE, "line_start", value=shown, name="functions")
     joined = files.select(*FILE)
     for part in (exported, imported, defined):
         joined = joined.join(part, FILE, "left")

@@ -20,7 +20,8 @@ _HEADER_INDENT = r"(?m)^([ \t]*)(?:async[ \t]+def|def|class)\b"
 
 
 def _char_count(line: Column, char: str) -> Column:
-    return F.length(line) - F.length(F.replace(line, F.lit(char), F.lit("")))
+    without = F.replace(line, F.lit(char), F.lit(""))
+    return F.when(line.contains(char), F.length(line) - F.length(without)).otherwise(0)
 
 
 def _first_group(line: Column, language: Column, headers, group: int) -> Column:
@@ -91,7 +92,7 @@ def line_facts(files: DataFrame) -> DataFrame:
         _char_count(line, "}").alias("closes"),
         _char_count(F.substring_index(line, "{", 1), "}").alias("lead_closes"),
         (F.length(line) - F.length(F.ltrim(line, F.lit(" \t")))).alias("indent"),
-        (text.trim_space(line) == "").alias("blank"),
+        (~line.rlike(f"[^{patterns.SPACE_CHARS}]")).alias("blank"),
         branch_count(line, language).alias("branches"),
     )
     ends_level = ~F.col("blank") & (F.col("indent") <= F.array_max("levels"))

@@ -88,6 +88,7 @@ def sequence_events(events: DataFrame) -> DataFrame:
 
     def step(batch: DataFrame, number: int, folder: str) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # ranked and counted
         used = _earlier(spark, folder, "used", number, schema).groupBy("review_id").agg(F.sum("used").alias("base"))
         ranked = running_rank(batch, ["review_id"], "ord", "rank")
         numbered = ranked.join(used, "review_id", "left").withColumn(
@@ -96,6 +97,7 @@ def sequence_events(events: DataFrame) -> DataFrame:
         _write(numbered, folder, "events", number)
         counts = batch.groupBy("review_id").agg(F.count(F.lit(1)).alias("used"))
         _write(counts, folder, "used", number)
+        batch.unpersist()
 
     folder = per_batch(events, "stream-sequence", step, remembered={"used": schema})
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
