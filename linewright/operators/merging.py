@@ -239,16 +239,24 @@ def _assign_large(findings: DataFrame) -> DataFrame:
     )
     short = first.unionByName(nexts).distinct()
 
-    lines = short.select(*PLACE).distinct()
-    by_line = Window.partitionBy(*FILE).orderBy("line_start")
-    starts = lines.withColumn(
-        "_start",
-        (F.coalesce(F.col("line_start") - F.lag("line_start").over(by_line), F.lit(99)) > REACH).cast("long"),
+    # A line starts an island if none of the lines in reach above it has a finding. Lines
+    # tell that to the ones below them, so no task sees all lines of a file.
+    told = [
+        F.struct((F.col("line_start") + step).alias("line_start"), F.lit(step == 0).alias("own"))
+        for step in range(REACH + 1)
+    ]
+    starts = (
+        short.select(*PLACE).distinct()
+        .select(*FILE, F.explode(F.array(*told)).alias("t"))
+        .select(*FILE, "t.*")
+        .groupBy(*PLACE)
+        .agg(F.bool_or("own").alias("_own"), F.bool_and("own").cast("long").alias("_start"))
+        .where("_own")
+        .drop("_own")
     )
     islands = running_sum_before(starts, FILE, "line_start", "_start", "_island").withColumn(
         "_island", F.col("_island") + F.col("_start")
     )
-
     absorbers = (
         gather(short.join(islands.drop("_start"), PLACE), [*FILE, "_island"], "ord")
         .mapInArrow(

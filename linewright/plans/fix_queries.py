@@ -16,7 +16,7 @@ from linewright.plans.structure_queries import (
     _BARE, EXPORTS, FUNCTION, LINT_STEPS, LINTED, SPAN_STEPS, TYPED, TYPED_FILES, _group, code, imbalance,
     imports_step, lint_test,
 )
-from linewright.sources.corpus import view
+from linewright.sources.corpus import text_table, view
 
 # --- fixes ---------------------------------------------------------------------------
 
@@ -113,16 +113,16 @@ def fix_lint_check(spark, sf_dir):
 @query(
     "fix_status",
     over("files", f"""SELECT n.file_id, n.ord, CASE WHEN coalesce(n.fix, '') = '' THEN 'unavailable'
-         WHEN n.file_id % 11 = 0 THEN 'unverified'
+         WHEN f.language = 'text' THEN 'unverified'
          WHEN {_SYNTAX} OR EXISTS (SELECT 1 FROM pattern_bad b WHERE b.ord = n.ord AND b.file_id = n.file_id)
            OR EXISTS (SELECT 1 FROM lint_bad b WHERE b.ord = n.ord AND b.file_id = n.file_id) THEN 'unavailable'
          ELSE 'verified' END AS fix_status FROM found n LEFT JOIN fixed f USING (file_id, ord)""",
          *_FIXED, *_PATTERN_STEPS, *_LINT_FIX_STEPS),
 )
 def fix_status(spark, sf_dir):
-    """Files with a number divisible by eleven are taken away, so their fixes stay unverified."""
+    """The contents of plain text files were not kept, so their fixes stay unverified."""
     found, files = _fix_inputs(spark, sf_dir)
-    return fixes.fix_status(found, files.where("file_id % 11 <> 0")).select("file_id", "ord", "fix_status")
+    return fixes.fix_status(found, files.where("language <> 'text'")).select("file_id", "ord", "fix_status")
 
 
 # --- reuse ---------------------------------------------------------------------------
@@ -130,36 +130,38 @@ def fix_status(spark, sf_dir):
 
 def _hashed(spark, sf_dir):
     """Plain documents as files: they hold exact copies of each other."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = text_table(spark, sf_dir, "documents")
     return docs.select(
         F.floor(F.col("doc_id") / 20).alias("review_id"),
         F.col("doc_id").alias("file_id"),
         F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"),
         F.col("text").alias("content"),
         text.content_hash(F.col("text")).alias("content_hash"),
+        "lang",
     )
 
 
+_LEDGER = ["source", "category", "severity", "message", "line_start", "line_end", "rule_id", "ord"]
+
+
 def _ledger(files):
-    """What a run over the even-numbered files left behind, written twice."""
-    heads = files.where("file_id % 2 = 0").select(
-        "content_hash", F.lit(reuse.rule_version()).alias("rule_version"), F.col("file_id").alias("seq")
-    )
-    found = scan.scan(files.where("file_id % 2 = 0")).join(files.select("file_id", "content_hash"), "file_id")
-    rows = found.select(
-        "content_hash", F.lit(reuse.rule_version()).alias("rule_version"), F.col("file_id").alias("seq"),
-        "source", "category", "severity", "message", "line_start", "line_end", "rule_id", "ord",
-    )
-    return heads, rows
+    """What an earlier run over the English documents left behind."""
+    english = files.where("lang = 'en'")
+    version = F.lit(reuse.rule_version()).alias("rule_version")
+    seq = F.col("file_id").alias("seq")
+    heads = english.select("content_hash", version, seq)
+    found = scan.scan(english).join(files.select("file_id", "content_hash"), "file_id")
+    return heads, found.select("content_hash", version, seq, *_LEDGER)
 
 
-_HASHED = "hashed AS (SELECT doc_id AS file_id, text AS content, sha256(text) AS content_hash FROM documents)"
+_HASHED = "hashed AS (SELECT doc_id AS file_id, text AS content, sha256(text) AS content_hash, lang FROM documents)"
+_KNOWN = "content_hash IN (SELECT content_hash FROM hashed WHERE lang = 'en')"
+_LATER = 1_000_000_000_000
 
 
 @query(
     "hash_reuse",
-    f"""WITH {_HASHED} SELECT file_id, content_hash, content_hash IN (SELECT content_hash FROM hashed WHERE file_id % 2 = 0)
-        AS cached FROM hashed""",
+    f"WITH {_HASHED} SELECT file_id, content_hash, {_KNOWN} AS cached FROM hashed",
 )
 def hash_reuse(spark, sf_dir):
     files = _hashed(spark, sf_dir)
@@ -173,19 +175,19 @@ def hash_reuse(spark, sf_dir):
 @query(
     "hash_ledger",
     f"""WITH {_HASHED}, {lines_step('hashed')}, {hits_step()}, {SCAN_STEPS[2]},
-        kept AS (SELECT content_hash, max(seq) AS seq FROM (SELECT content_hash, file_id AS seq FROM hashed WHERE file_id % 2 = 0
-          UNION ALL SELECT content_hash, file_id + 1000000 FROM hashed WHERE file_id % 4 = 0) GROUP BY content_hash)
+        kept AS (SELECT content_hash, max(seq) AS seq FROM (SELECT content_hash, file_id AS seq FROM hashed WHERE lang = 'en'
+          UNION ALL SELECT content_hash, file_id + {_LATER} FROM hashed WHERE lang = 'en' AND length(content) > 1000) GROUP BY content_hash)
         SELECT k.content_hash, k.seq, rule_id, CAST(line_no AS INT) AS line_start
-        FROM kept k LEFT JOIN hits h ON h.file_id = k.seq % 1000000 LEFT JOIN catalogue USING (rule_ord)""",
+        FROM kept k LEFT JOIN hits h ON h.file_id = k.seq % {_LATER} LEFT JOIN catalogue USING (rule_ord)""",
 )
 def hash_ledger(spark, sf_dir):
-    """A second, later write for some of the contents replaces the first."""
-    heads, rows = _ledger(_hashed(spark, sf_dir))
-    later = F.col("seq") % 4 == 0
+    """A second write, for the contents over 1,000 characters, replaces the first."""
+    files = _hashed(spark, sf_dir)
+    heads, rows = _ledger(files)
+    long_heads, long_rows = _ledger(files.where(F.length("content") > 1000))
+    later = F.col("seq") + _LATER
     kept, found = reuse.put(
-        heads, rows,
-        heads.where(later).withColumn("seq", F.col("seq") + 1000000),
-        rows.where(later).withColumn("seq", F.col("seq") + 1000000),
+        heads, rows, long_heads.withColumn("seq", later), long_rows.withColumn("seq", later)
     )
     return kept.join(found, ["content_hash", "rule_version", "seq"], "left").select(
         "content_hash", "seq", "rule_id", "line_start"
@@ -204,7 +206,7 @@ def scan_distinct(spark, sf_dir):
 @query(
     "incremental_scan",
     _HASHED_SCAN + _SCANNED.format(
-        more=", content_hash IN (SELECT content_hash FROM hashed WHERE file_id % 2 = 0) AS cached"
+        more=f", {_KNOWN} AS cached"
     ),
 )
 def incremental_scan(spark, sf_dir):

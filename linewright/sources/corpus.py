@@ -278,8 +278,6 @@ def view_sql(name: str, dialect: str) -> str:
 _TABLES = ("documents", "events", "orders", "lineitem", "conversations", "pages")
 
 
-# Up to this size a text table is dealt out to all cores after it is read.
-SMALL_INPUT_BYTES = 1 << 30
 _TEXT_KEYS = {"documents": "doc_id", "pages": "page_id"}
 
 
@@ -288,15 +286,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text table, dealt out by its unique key if it is small.
+    """A text table; one with fewer splits than cores is dealt out by its unique key.
 
     A small file is often one row group and so one task, while work on text is bound by
-    the processor. Larger tables bring enough splits along and are not moved at all.
+    the processor. A table with enough splits is not moved at all.
     """
     rows = table(spark, sf_dir, name)
-    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if name in _TEXT_KEYS and int(str(size)) <= SMALL_INPUT_BYTES:
-        return rows.repartition(spark.sparkContext.defaultParallelism, _TEXT_KEYS[name])
+    cores = spark.sparkContext.defaultParallelism
+    if name in _TEXT_KEYS and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, _TEXT_KEYS[name])
     return rows
 
 
