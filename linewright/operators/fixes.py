@@ -73,7 +73,13 @@ def _regressed(
         .drop("fixed_content")
         .withColumn("_front", front)
         .withColumn("_end", end)
-        .withColumn("_fix", text.split_lines(F.col("suggested_fix")))
+        .withColumn(
+            "_fix",
+            F.transform(
+                text.split_lines(F.col("suggested_fix")),
+                lambda line: F.struct(line.alias("line"), lint.stripped(line).alias("bare")),
+            ),
+        )
         .drop("content")
         .join(per_file, FILE, "left")
         .withColumn("_before", F.coalesce("_before", F.expr("array()").cast("array<struct<line:int,rule:int>>")))
@@ -88,7 +94,7 @@ def _regressed(
         F.transform(
             "_fix",
             lambda line, i: F.transform(
-                numbers(line, F.col("language")), lambda rule: _hit(F.col("_front") + i + 1, rule)
+                numbers(line["line"], line["bare"], F.col("language")), lambda rule: _hit(F.col("_front") + i + 1, rule)
             ),
         )
     )
@@ -103,7 +109,7 @@ def pattern_check(findings: DataFrame, files: DataFrame) -> DataFrame:
     moves old hits, which then count as new."""
     affected = files.join(_files_with_fix(findings), FILE, "left_semi")
     hits = scan.line_hits(affected, *FILE, rules=_CRITICAL).withColumnRenamed("rule_ord", "rule")
-    return _regressed(findings, files, hits, lambda line, _: scan.rule_numbers(line, _CRITICAL))
+    return _regressed(findings, files, hits, lambda line, *_: scan.rule_numbers(line, _CRITICAL))
 
 
 def lint_check(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -112,12 +118,12 @@ def lint_check(findings: DataFrame, files: DataFrame) -> DataFrame:
     affected = script.join(_files_with_fix(findings), FILE, "left_semi")
     lines = scan.explode_lines(affected, *FILE, "language").withColumn("bare", lint.stripped(F.col("line")))
 
-    def numbers(line, language):
-        return lint.rule_numbers(line, lint.stripped(line), language, "error")
+    def numbers(line, bare, language):
+        return lint.rule_numbers(line, bare, language, "error")
 
     hits = lines.select(
         *FILE, "line_no",
-        F.explode(lint.rule_numbers(F.col("line"), F.col("bare"), F.col("language"), "error")).alias("rule"),
+        F.explode(numbers(F.col("line"), F.col("bare"), F.col("language"))).alias("rule"),
     )
     return _regressed(findings, script, hits, numbers)
 
@@ -154,7 +160,7 @@ def fix_status(findings: DataFrame, files: DataFrame) -> DataFrame:
     keep = findings.columns
     worse = structure.bracket_imbalance(F.col("fixed_content")) > structure.bracket_imbalance(F.col("content"))
     checked = _regressed(
-        findings, files, hits, lambda line, language: numbers(line, lint.stripped(line), language),
+        findings, files, hits, numbers,
         how="left",
         also=F.col("language").isin(*fv.PARSED_LANGUAGES) & worse,
     )

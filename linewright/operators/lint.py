@@ -26,7 +26,14 @@ _NEEDS = {
 
 
 def stripped(line: Column) -> Column:
-    """A line without string contents and without its line comment."""
+    """A line without string contents and without its line comment.
+
+    Lines without any literal of a rule are given back as they are; no rule looks at them.
+    """
+    return F.when(_any_need(line), _without_strings(line)).otherwise(line)
+
+
+def _without_strings(line: Column) -> Column:
     return F.regexp_replace(
         F.regexp_replace(line, fv.STRIP_STRINGS, '""'), patterns.jvm(fv.STRIP_COMMENT), ""
     )
@@ -72,7 +79,7 @@ def line_findings(files: DataFrame) -> DataFrame:
     )
     hits = (
         lines.where(_any_need(F.col("line")))
-        .withColumn("bare", stripped(F.col("line")))
+        .withColumn("bare", _without_strings(F.col("line")))
         .select(
             "review_id", "file_id", "filename", "line_no",
             F.explode(rule_numbers(F.col("line"), F.col("bare"), F.col("language"))).alias("n"),

@@ -85,7 +85,6 @@ def line_facts(files: DataFrame) -> DataFrame:
     facts = lines.select(
         *FILE, "filename", "language", "n_lines", "levels",
         (F.col("pos") + 1).alias("line_no"),
-        "line",
         function_name(line, language).alias("function"),
         class_name(line, language).alias("class"),
         _char_count(line, "{").alias("opens"),
@@ -97,14 +96,14 @@ def line_facts(files: DataFrame) -> DataFrame:
     )
     ends_level = ~F.col("blank") & (F.col("indent") <= F.array_max("levels"))
     telling = (
-        F.col("function").isNotNull()
-        | F.col("class").isNotNull()
-        | (F.col("branches") > 0)
-        | F.when(language.isin(*_INDENTED), F.coalesce(ends_level, F.lit(False))).otherwise(
+        F.when(language.isin(*_INDENTED), F.coalesce(ends_level, F.lit(False))).otherwise(
             F.col("opens") + F.col("closes") > 0
         )
+        | F.col("function").isNotNull()
+        | F.col("class").isNotNull()
+        | (F.col("branches") > 0)
     )
-    return facts.where(telling).drop("line")
+    return facts.where(telling)
 
 
 def depth_events(files: DataFrame) -> DataFrame:
