@@ -212,12 +212,23 @@ def _assign_large(findings: DataFrame) -> DataFrame:
 
     Only the first few findings of a line and source can absorb (their end lines differ
     and lie in reach), and all they need of others is the next arrival after their own.
-    So each line and source is cut down to those, the loop runs on the rest, and every
-    finding looks its owner up in the short list of absorbers around its line.
+    So each line and source is cut down to those, the loop runs on them where sources
+    meet, and every finding looks its owner up in the short list of absorbers around it.
     """
     coded = _codes(findings)
     spots = [*PLACE, "_src"]
-    items = coded.select(*spots, "_rank", "ord")
+    # An absorber lies within twice the reach of all it takes, so a place with no other
+    # source that near is out of the game.
+    wide = F.sequence(F.col("line_start") - 2 * REACH, F.col("line_start") + 2 * REACH)
+    meeting = (
+        coded.select(*spots).distinct()
+        .select(*FILE, F.explode(wide).alias("line_start"), "_src")
+        .groupBy(*PLACE)
+        .agg(F.min("_src").alias("_low"), F.max("_src").alias("_high"))
+        .where(F.col("_low") < F.col("_high"))
+        .select(*PLACE)
+    )
+    items = coded.select(*spots, "_rank", "ord").join(meeting, PLACE, "left_semi")
 
     by_arrival = Window.partitionBy(*spots).orderBy("ord")
     first = (
