@@ -21,7 +21,7 @@ FILE = ["review_id", "file_id"]
 PLACE = [*FILE, "line_start"]
 REACH = fv.MERGE_TOLERANCE
 # Files with more findings than this are assigned by the distributed form.
-LARGE_FILE = 50_000
+LARGE_FILE = 500_000
 # An absorber of one line and source ends on one of the lines in reach, each at most once.
 MAX_ABSORBERS = 2 * REACH + 1
 
