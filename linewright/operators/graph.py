@@ -30,9 +30,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Relative imports with the file of the same review they mean.
 
     The answer depends on review and source alone, so each pair is looked up once, however
-    many files import it.
+    many files import it. The imports are written out first: they are needed twice, and
+    they are narrow rows out of a read of all contents.
     """
-    relative = imports.where("is_relative")
+    relative = cut_lineage(imports.where("is_relative"), "imports")
     asked = relative.select("review_id", "source").distinct()
     candidates = asked.select(
         "review_id", "source", F.posexplode(import_candidates(F.col("source"))).alias("rank", "filename")
