@@ -1,4 +1,4 @@
 """Loads every module that registers a query of this subpackage."""
 
-from linewright.llm import mixing, token_counts  # noqa: F401
+from linewright.llm import language, line_dedup, mixing, token_counts, token_files, warc  # noqa: F401
 from linewright.llm.registry import ORACLES, QUERIES  # noqa: F401
