@@ -118,6 +118,24 @@ def identify(
     return docs.select("doc_id", "text").mapInArrow(_classify_batches(fixed, level, least_margin), RESULT)
 
 
+def _keep_batches(contents: tuple[tuple[str, bytes], ...], level: int, least_margin: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            rejected = [classify(t.as_py(), contents, level, least_margin)[3] for t in texts]
+            yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+    return run
+
+
+def keep_identified(
+    docs: DataFrame, contents: dict[str, bytes], level: int = 5, least_margin: float = 0.002
+) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` would not reject, with all their columns."""
+    fixed = tuple(sorted(contents.items()))
+    return docs.mapInArrow(_keep_batches(fixed, level, least_margin), docs.schema)
+
+
 def held_out() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 

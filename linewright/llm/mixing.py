@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linewright.llm.registry import query, table
+from linewright.llm.registry import free_name, query, table
 
 #: Slices of the sampling order per source: a running sum sorts one slice at a time.
 SLICES = 1 << 14
@@ -162,20 +162,20 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     Copies are decided per id, source and size; equal rows of one id are numbered so that each
     gets its own decision. Rows that are taken no time are absent.
     """
+    names = [free_name(docs, n) for n in ("_id", "_src", "_words", "_no")]
+    copy = free_name(docs, "_copy")
     key = [F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.coalesce(F.xxhash64("source"), F.lit(0))]
+    number = Window.partitionBy(*names[:3])
+    marked = docs.withColumns(dict(zip(names, [*key, word_count(F.col("text"))]))).withColumn(
+        names[3], F.row_number().over(number.orderBy(F.lit(1)))
+    )
     decided = mix(docs, **settings)
-    names = ("_id", "_src", "_words")
-    number = Window.partitionBy(*names).orderBy(F.lit(1))
-    most_first = Window.partitionBy(*names).orderBy(F.desc("copies"))
-    marked = docs.withColumns(
-        {"_id": key[0], "_src": key[1], "_words": word_count(F.col("text"))}
-    ).withColumn("_no", F.row_number().over(number))
     counts = decided.select(
-        key[0].alias("_id"), key[1].alias("_src"), F.col("size").alias("_words"), "copies"
-    ).withColumn("_no", F.row_number().over(most_first))
+        *[c.alias(n) for c, n in zip([*key, F.col("size")], names)], F.col("copies").alias(copy)
+    ).withColumn(names[3], F.row_number().over(number.orderBy(F.desc(copy))))
     return (
-        marked.join(counts.where("copies > 0"), [*names, "_no"])
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        marked.join(counts.where(F.col(copy) > 0), names)
+        .withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy).cast("int"))))
         .select(*docs.columns)
     )
 
