@@ -81,15 +81,19 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius
        over the sum of the larger number of occurrences.
     """
     spark = docs.sparkSession
-    keyed = items.select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0)
+    keyed = items.select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0).distinct()
+    # Written once, so the numbers stay.
     keyed = cut_lineage(
-        keyed.select("item_id", "words", F.size("words").alias("n"), F.least(F.size("words"), F.lit(SHINGLE)).alias("k")),
+        keyed.select(
+            F.monotonically_increasing_id().alias("item"), "item_id", "words", F.size("words").alias("n"),
+            F.least(F.size("words"), F.lit(SHINGLE)).alias("k"),
+        ),
         "items",
     )
     lengths = sorted(r["k"] for r in keyed.select("k").distinct().collect())
     if not lengths:
         return spark.createDataFrame([], "t1 long, t2 long, item_id long, at int, similarity double")
-    parts = [_shingles(keyed.where(F.col("k") == k), ["item_id", "n", "k"], k) for k in lengths]
+    parts = [_shingles(keyed.where(F.col("k") == k), ["item", "n", "k"], k) for k in lengths]
     item_rows = parts[0]
     for part in parts[1:]:
         item_rows = item_rows.unionByName(part)
@@ -125,14 +129,14 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius
         window_rows = rows if window_rows is None else window_rows.unionByName(rows)
     window_rows = cut_lineage(window_rows, "window-shingles")
     window_prints = _fingerprint(window_rows, keys)
-    item_prints = _fingerprint(item_rows, ["item_id", "n"])
+    item_prints = _fingerprint(item_rows, ["item", "n"])
     differences = F.array(*[F.lit(v) for v in _near_values(radius // BLOCKS)])
     index = None
     for i in range(BLOCKS):
         entries = item_prints.select(
-            "item_id", "n", F.col("print").alias("item_print"), F.col("size").alias("item_size"),
+            "item", "n", F.col("print").alias("item_print"), F.col("size").alias("item_size"),
             F.lit(i).alias("block"), F.explode(differences).alias("_d"), _block(i).alias("_v"),
-        ).select("item_id", "n", "item_print", "item_size", "block", F.col("_v").bitwiseXOR(F.col("_d")).alias("value"))
+        ).select("item", "n", "item_print", "item_size", "block", F.col("_v").bitwiseXOR(F.col("_d")).alias("value"))
         index = entries if index is None else index.unionByName(entries)
     looked_up = window_prints.select(
         *keys, "size", "print",
@@ -141,18 +145,20 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius
     pairs = (
         looked_up.join(index, ["n", "block", "value"])
         .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-        .select(*keys, "size", "item_id", "item_size")
+        .select(*keys, "size", "item", "item_size")
         .distinct()
     )
     window_counts = window_rows.groupBy(*keys, "h").agg(F.count(F.lit(1)).alias("_w"))
-    item_counts = item_rows.groupBy("item_id", "h").agg(F.count(F.lit(1)).alias("_i"))
+    item_counts = item_rows.groupBy("item", "h").agg(F.count(F.lit(1)).alias("_i"))
     common = F.sum(F.least("_w", "_i"))
     return (
         pairs.join(window_counts, keys)
-        .join(item_counts, ["item_id", "h"])
-        .groupBy("t1", "t2", "item_id", "at")
+        .join(item_counts, ["item", "h"])
+        .groupBy("t1", "t2", "item", "at")
         .agg((common / (F.first("size") + F.first("item_size") - common)).alias("similarity"))
         .where(F.col("similarity") >= threshold - 1e-9)
+        .join(keyed.select("item", "item_id"), "item")
+        .select("t1", "t2", "item_id", "at", "similarity")
     )
 
 
