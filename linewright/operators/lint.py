@@ -150,12 +150,7 @@ def complex_functions(functions: DataFrame) -> DataFrame:
 
 def deep_blocks(files: DataFrame) -> DataFrame:
     """Lines of a function that open a block nested more than four deep."""
-    events = structure.depth_events(files.where(is_linted(F.col("language"))))
-    spans = structure.innermost(events)
-    deep = spans.where(
-        F.col("opened") & (F.col("depth_after") - F.col("base_depth") - 1 > fv.MAX_BLOCK_DEPTH)
-    )
     return _span_finding(
-        deep.withColumn("line_start", F.col("line_no")).withColumn("line_end", F.col("line_no")),
+        structure.deep_lines(files.where(is_linted(F.col("language"))), fv.MAX_BLOCK_DEPTH),
         "max-depth", 11,
     )

@@ -68,17 +68,11 @@ def describe(files: DataFrame) -> DataFrame:
 
     exported = gather(structure.exports(files), FILE, "line_no", value=F.col("name"), name="exports")
     imported = gather(structure.imports(files), FILE, "line_no", "part", value=F.col("source"), name="imports")
-    header = [*FILE, "line_start"]
-    params = gather(
-        structure.parameters(files).withColumnRenamed("line_no", "line_start"),
-        header, "position", value=F.col("param"), name="params",
-    )
     shown = F.concat(
-        F.col("name"), F.lit("("), F.coalesce(F.array_join("params", ", "), F.lit("")),
+        F.col("name"), F.lit("("), F.array_join("params", ", "),
         F.lit(") [complexity: "), F.col("complexity").cast("string"), F.lit("]"),
     )
-    functions = structure.functions(files).join(params, header, "left")
-    defined = gather(functions, FILE, "line_start", value=shown, name="functions")
+    defined = gather(structure.functions(files), FILE, "part", value=shown, name="functions")
     joined = files.select(*FILE)
     for part in (exported, imported, defined):
         joined = joined.join(part, FILE, "left")

@@ -1,22 +1,45 @@
-"""Functions, classes, imports and exports by line patterns.
+"""Functions, classes, imports and exports of source files.
 
-Approximate by design: headers are found by one pattern per language, ends by brace depth
-or by indentation, and braces inside strings or comments count. Lines that say nothing
-about structure are dropped where they are read, so what is shuffled is a few numbers per
-brace, header or branch line, and a group is never more than one file.
+The task that reads a file finds its headers, blocks and imports (``code_shape``): a file is
+one cell to begin with, so no line of it is shuffled and nothing is sorted. Approximate by
+design where only a parser could know: text inside template strings is text, generic
+arguments are told from comparisons by what follows, and a function type may look like an
+arrow function. Exports are found line by line with column functions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewright import fixed_values as fv
 from linewright.functions import patterns, text
+from linewright.operators.code_shape import SCRIPT, Shape
 
 FILE = ["review_id", "file_id"]
-_INDENTED = ("python", "ruby")
-_HEADER_INDENT = r"(?m)^([ \t]*)(?:async[ \t]+def|def|class)\b"
+
+_FACTS = (
+    "review_id long, file_id long, filename string, language string, kind string, part int, name string, "
+    "line_start int, line_end int, complexity int, params array<string>, methods array<string>"
+)
+_FACT_TYPES = pa.schema(
+    [("review_id", pa.int64()), ("file_id", pa.int64()), ("filename", pa.string()), ("language", pa.string()),
+     ("kind", pa.string()), ("part", pa.int32()), ("name", pa.string()), ("line_start", pa.int32()),
+     ("line_end", pa.int32()), ("complexity", pa.int32()), ("params", pa.list_(pa.string())),
+     ("methods", pa.list_(pa.string()))]
+)
+
+# Export headers; group 1 is the name.
+EXPORT_HEADERS = {
+    "script": r"^\s*export\s+(?:default\s+)?(?:abstract\s+)?(?:async\s+)?(?:function\*?|class|interface|type|enum)\s+(\w+)",
+    "python": r"^(?:async\s+)?(?:def|class)\s+([A-Za-z0-9]\w*)",
+    "java_class": r"\bpublic\s+(?:\w+\s+)*class\s+(\w+)",
+    "java_method": r"^\s*public\s[^=;(]*?(\w+)\s*\([^)]*\)[^;]*\{",
+    "go": r"^func\s+([A-Z]\w*)\s*\(",
+}
 
 
 def _char_count(line: Column, char: str) -> Column:
@@ -24,292 +47,90 @@ def _char_count(line: Column, char: str) -> Column:
     return F.when(line.contains(char), F.length(line) - F.length(without)).otherwise(0)
 
 
-def _first_group(line: Column, language: Column, headers, group: int) -> Column:
-    """A group of the first header pattern of the language that fits."""
-    options = []
-    for languages, pattern in headers:
-        pattern = patterns.jvm(pattern)
-        fits = language.isin(*languages) & line.rlike(pattern)
-        options.append(F.when(fits, F.regexp_extract(line, pattern, group)))
-    return F.coalesce(*options)
-
-
-def function_name(line: Column, language: Column) -> Column:
-    may = line.contains("(") | line.contains("def")
-    name = F.when(may, _first_group(line, language, fv.FUNCTION_HEADERS, 1))
-    c_like = language.isin("c", "cpp", "php") & name.isin(*fv.NOT_FUNCTION_NAMES)
-    return F.when(~c_like, name)
-
-
-def function_params(line: Column, language: Column) -> Column:
-    """Parameter texts in order; an empty list has none."""
-    listed = F.coalesce(_first_group(line, language, fv.FUNCTION_HEADERS, 2), F.lit(""))
-    parts = F.transform(F.split(listed, ",", -1), text.trim_space)
-    return F.filter(parts, lambda p: p != "")
-
-
-def class_name(line: Column, language: Column) -> Column:
-    words = ("class", "interface", "type", "struct", "impl")
-    may = F.lit(False)
-    for word in words:
-        may = may | line.contains(word)
-    return F.when(may, _first_group(line, language, fv.CLASS_HEADERS, 1))
-
-
-def branch_count(line: Column, language: Column) -> Column:
-    words = ("if", "for", "while", "case", "switch", "catch", "else", "except", "select", "do",
-             "loop", "unless", "when", "rescue", "=>", "?")
-    may = F.lit(False)
-    for word in words:
-        may = may | line.contains(word)
-    counted = F.when(~may, F.lit(0))
-    for languages, pattern in fv.BRANCH_WORDS:
-        counted = counted.when(
-            language.isin(*languages), F.regexp_count(line, F.lit(patterns.jvm(pattern)))
-        )
-    return F.coalesce(counted, F.lit(0))
-
-
-def line_facts(files: DataFrame) -> DataFrame:
-    """What each telling line says: header names, braces, indent and branch words."""
-    language, line = F.col("language"), F.col("line")
-    indents = F.transform(
-        F.regexp_extract_all("content", F.lit(_HEADER_INDENT), F.lit(1)), lambda s: F.length(s)
-    )
-    lines = files.where(language.isin(*fv.PARSED_LANGUAGES) & (F.col("content") != "")).select(
-        *FILE, "filename", "language",
-        text.line_count(F.col("content")).alias("n_lines"),
-        F.when(language.isin(*_INDENTED), F.array_distinct(indents)).alias("levels"),
-        F.posexplode(text.split_lines(F.col("content"))).alias("pos", "line"),
-    )
-    facts = lines.select(
-        *FILE, "filename", "language", "n_lines", "levels",
-        (F.col("pos") + 1).alias("line_no"),
-        function_name(line, language).alias("function"),
-        class_name(line, language).alias("class"),
-        _char_count(line, "{").alias("opens"),
-        _char_count(line, "}").alias("closes"),
-        _char_count(F.substring_index(line, "{", 1), "}").alias("lead_closes"),
-        (F.length(line) - F.length(F.ltrim(line, F.lit(" \t")))).alias("indent"),
-        (~line.rlike(f"[^{patterns.SPACE_CHARS}]")).alias("blank"),
-        branch_count(line, language).alias("branches"),
-    )
-    ends_level = ~F.col("blank") & (F.col("indent") <= F.array_max("levels"))
-    telling = (
-        F.when(language.isin(*_INDENTED), F.coalesce(ends_level, F.lit(False))).otherwise(
-            F.col("opens") + F.col("closes") > 0
-        )
-        | F.col("function").isNotNull()
-        | F.col("class").isNotNull()
-        | (F.col("branches") > 0)
-    )
-    return facts.where(telling)
-
-
-def depth_events(files: DataFrame) -> DataFrame:
-    """Telling lines with running brace depth and running number of branch words."""
-    order = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*FILE)
-    step = F.col("opens") - F.col("closes")
-    return (
-        line_facts(files)
-        .withColumn("depth_after", F.sum(step).over(order))
-        .withColumn("branches_after", F.sum("branches").over(order))
-        .withColumn("branches_all", F.sum("branches").over(whole))
-        .withColumn("depth_before", F.col("depth_after") - step)
-        .withColumn("branches_before", F.col("branches_after") - F.col("branches"))
-        .withColumn("base_depth", F.col("depth_before") - F.col("lead_closes"))
-        .withColumn("opened", F.col("depth_after") > F.col("base_depth"))
-    )
+def _rows(shape: Shape, wanted: frozenset[str], deepest: int) -> Iterator[dict]:
+    functions = shape.functions() if wanted & {"function", "class", "deep"} else []
+    if "function" in wanted:
+        for part, f in enumerate(functions):
+            yield {"kind": "function", "part": part, **{k: f[k] for k in ("name", "line_start", "line_end", "complexity", "params")}}
+    if "class" in wanted:
+        for part, c in enumerate(shape.classes(functions)):
+            yield {"kind": "class", "part": part, **{k: c[k] for k in ("name", "line_start", "line_end", "methods")}}
+    if "import" in wanted:
+        last, part = 0, 0
+        for at, source in shape.imports():
+            line = shape.line(at)
+            part = part + 1 if line == last else 0
+            last = line
+            yield {"kind": "import", "part": part, "name": source, "line_start": line}
+    if "deep" in wanted:
+        for line in shape.deep_lines(functions, deepest):
+            yield {"kind": "deep", "part": 0, "line_start": line, "line_end": line}
+
+
+def facts(files: DataFrame, *kinds: str, deepest: int = 4) -> DataFrame:
+    """Rows of the wanted kinds (function, class, import, deep), found where a file is read."""
+    wanted = frozenset(kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for *key, content in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                names = dict(zip(("review_id", "file_id", "filename", "language"), key))
+                out.extend(names | row for row in _rows(Shape(content, key[3]), wanted, deepest))
+            yield pa.RecordBatch.from_pylist(out, schema=_FACT_TYPES)
+
+    known = files.where(F.col("language").isin(*fv.PARSED_LANGUAGES) & (F.col("content") != ""))
+    return known.select(
+        F.col("review_id").cast("long"), F.col("file_id").cast("long"), "filename", "language", "content"
+    ).mapInArrow(run, _FACTS)
 
 
-def innermost(events: DataFrame) -> DataFrame:
-    """Adds to each line the base depth of the last function header up to it."""
-    order = Window.partitionBy(*FILE).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    header = F.when(F.col("function").isNotNull(), F.col("base_depth"))
-    return events.withColumn("base_depth", F.last(header, ignorenulls=True).over(order))
-
-
-def spans(files: DataFrame) -> DataFrame:
-    """Functions and classes with their lines, complexity and enclosing class.
+def functions(files: DataFrame) -> DataFrame:
+    """Functions with span and complexity; nested functions count into outer ones.
 
-    A block ends at the next line that closes its own level. So lines are spread over the
-    levels they close, and per file and level the next closing is a running value.
+    ``part`` is the place of a function in its file, outer ones first.
     """
-    events = depth_events(files)
-    indented = F.col("language").isin(*_INDENTED)
-    level = F.when(indented, F.col("indent")).otherwise(F.col("base_depth")).cast("long")
-    low = F.least("base_depth", "depth_after")
-    braces = F.when(low < F.col("depth_before"), F.sequence(low, F.col("depth_before") - 1))
-    closed = F.when(
-        indented,
-        F.when(
-            ~F.col("blank"),
-            F.transform(
-                F.filter("levels", lambda x: x >= F.col("indent")), lambda x: x.cast("long")
-            ),
-        ),
-    ).otherwise(braces)
-    closed = F.coalesce(closed, F.expr("array()").cast("array<bigint>"))
-    outer = F.when(
-        indented, F.array_max(F.filter("levels", lambda x: x < F.col("indent"))).cast("long")
-    ).otherwise(F.col("base_depth") - 1)
-
-    def mark(at: Column, kind: str, turn: int) -> Column:
-        return F.struct(at.alias("level"), F.lit(kind).alias("kind"), F.lit(turn).alias("turn"))
-
-    marks = F.concat(
-        F.transform(closed, lambda x: mark(x, "close", 0)),
-        F.array_compact(
-            F.array(
-                F.when(F.col("class").isNotNull(), mark(level, "class", 1)),
-                F.when(F.col("function").isNotNull(), mark(level, "function", 1)),
-                F.when(F.col("function").isNotNull() & outer.isNotNull(), mark(outer, "probe", 2)),
-            )
-        ),
-    )
-    marked = (
-        events.withColumn("m", F.explode(marks)).select("*", "m.*").drop("m", "levels", "blank")
-    )
-
-    per_level = Window.partitionBy(*FILE, "level")
-    down = per_level.orderBy(F.desc("line_no"), F.desc("turn")).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    up = per_level.orderBy("line_no", "turn").rowsBetween(Window.unboundedPreceding, -1)
-    closing = F.when(
-        F.col("kind") == "close",
-        F.struct("line_no", "branches_before", "branches_after"),
-    )
-    holder = (
-        F.when(F.col("kind") == "class", F.when(indented | F.col("opened"), F.col("line_no")).otherwise(0))
-        .when(F.col("kind").isin("close", "function"), 0)
-    )
-    placed = marked.withColumn("close", F.last(closing, ignorenulls=True).over(down)).withColumn(
-        "holder", F.last(holder, ignorenulls=True).over(up)
-    )
-    open_ended = F.col("close").isNull()
-    single = ~indented & ~F.col("opened")
-    line_end = (
-        F.when(single, F.col("line_no"))
-        .when(open_ended, F.col("n_lines"))
-        .when(F.col("language") == "python", F.col("close.line_no") - 1)
-        .otherwise(F.col("close.line_no"))
-    )
-    until = (
-        F.when(single, F.col("branches_after"))
-        .when(open_ended, F.col("branches_all"))
-        .when(F.col("language") == "python", F.col("close.branches_before"))
-        .otherwise(F.col("close.branches_after"))
-    )
-    return placed.where(F.col("kind") != "close").select(
-        *FILE, "filename", "language", "kind",
-        F.when(F.col("kind") == "class", F.col("class")).otherwise(F.col("function")).alias("name"),
-        F.col("line_no").alias("line_start"),
-        line_end.cast("int").alias("line_end"),
-        (1 + until - F.col("branches_before")).cast("int").alias("complexity"),
-        F.when(F.col("holder") > 0, F.col("holder")).alias("class_line"),
-    )
-
-
-def functions(files: DataFrame) -> DataFrame:
-    """Functions with span and complexity; nested functions count into outer ones."""
-    return spans(files).where(F.col("kind") == "function").drop("kind", "class_line")
+    return facts(files, "function").select(*FILE, "filename", "language", "name", "line_start", "line_end", "complexity", "part", "params")
 
 
 def classes(files: DataFrame) -> DataFrame:
-    """Classes with span and the names of the functions directly in their body."""
-    found = spans(files)
-    keys = [*FILE, "class_line"]
-    methods = (
-        found.where((F.col("kind") == "probe") & F.col("class_line").isNotNull())
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("line_start", "name"))).alias("found"))
-        .select(*keys, F.col("found.name").alias("methods"))
-    )
-    headers = found.where(F.col("kind") == "class").withColumn("class_line", F.col("line_start"))
-    return headers.join(methods, keys, "left").select(
-        *FILE, "filename", "language", "name", "line_start", "line_end",
-        F.coalesce("methods", F.expr("array()").cast("array<string>")).alias("methods"),
-    )
+    """Classes with span and the names of the functions directly in their body.
+
+    An implementation block has the name of the type it is for.
+    """
+    return facts(files, "class").select(*FILE, "filename", "language", "name", "line_start", "line_end", "methods")
 
 
 def parameters(files: DataFrame) -> DataFrame:
-    """One row per parameter of a function header; no shuffle."""
-    language, line = F.col("language"), F.col("line")
-    lines = files.where(language.isin(*fv.PARSED_LANGUAGES)).select(
-        *FILE, "language", F.posexplode(text.split_lines(F.col("content"))).alias("pos", "line")
-    )
-    named = lines.withColumn("function", function_name(line, language)).where("function IS NOT NULL")
-    return named.select(
-        *FILE, (F.col("pos") + 1).alias("line_no"), "function",
-        F.posexplode(function_params(line, language)).alias("position", "param"),
+    """One row per parameter of a function header."""
+    return facts(files, "function").select(
+        *FILE, F.col("line_start").alias("line_no"), "part", F.col("name").alias("function"),
+        F.posexplode("params").alias("position", "param"),
     )
 
 
 def imports(files: DataFrame) -> DataFrame:
     """Import rows ``(.., language, line_no, part, source, is_relative)``.
 
-    Sources come line by line; of a Go import block, the lines inside the parentheses
-    count as well. ``part`` tells several imports of one line apart.
+    A statement may take several lines, and a line may hold several; ``part`` tells
+    those of one line apart. ``line_no`` is where the statement, or in a block of imports its
+    own path, begins.
     """
-    language, line = F.col("language"), F.col("line")
-    known = (*fv.SCRIPT_LANGUAGES, "python", "java", "go", "rust")
-    typed = files.where(language.isin(*known) & (F.col("content") != ""))
-    lines = typed.select(
-        *FILE, "filename", "language",
-        F.posexplode(text.split_lines(F.col("content"))).alias("pos", "line"),
-    ).where(line.contains("import") | ((language == "rust") & line.contains("use")))
-
-    def group(name: str) -> Column:
-        found = F.regexp_extract(line, patterns.jvm(fv.IMPORT_HEADERS[name]), 1)
-        return F.when(found != "", found)
-
-    def single(name: str) -> Column:
-        return F.array_compact(F.array(group(name)))
-
-    plain = F.filter(
-        F.transform(F.split(group("python_plain"), ",", -1), text.trim_space),
-        lambda part: ~part.contains(" as ") & (part != ""),
-    )
-    python = F.when(group("python_from").isNotNull(), single("python_from")).otherwise(plain)
-    sources = (
-        F.when(language.isin(*fv.SCRIPT_LANGUAGES), single("script"))
-        .when(language == "python", python)
-        .when(language == "java", single("java"))
-        .when((language == "go") & line.contains("import"), single("go"))
-        .when(language == "rust", single("rust"))
-    )
-    by_line = lines.select(
-        *FILE, "filename", "language",
-        (F.col("pos") + 1).alias("line_no"),
-        F.posexplode(sources).alias("part", "source"),
-    )
-
-    block = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*(import[ \t]*\([^)]*)\)"), F.lit(1)))
-    blocks = typed.where((language == "go") & F.col("content").contains("import")).select(
-        *FILE, "filename", "language", "content", block.alias("block")
-    )
-    before = F.expr("substring(content, 1, instr(content, block) - 1)")
-    inside = blocks.select(
-        *FILE, "filename", "language",
-        text.line_count(before).alias("first_line"),
-        F.posexplode(text.split_lines(F.col("block"))).alias("pos", "line"),
-    ).where(F.col("pos") > 0)
-    by_block = inside.select(
-        *FILE, "filename", "language",
-        (F.col("first_line") + F.col("pos")).alias("line_no"),
-        F.lit(0).alias("part"),
-        group("go").alias("source"),
-    ).where("source IS NOT NULL")
-    source = F.col("source")
+    source, language = F.col("source"), F.col("language")
     relative = (
-        F.when(language.isin(*fv.SCRIPT_LANGUAGES, "python"), source.startswith("."))
+        F.when(language.isin(*SCRIPT, "python"), source.startswith("."))
         .when(language == "go", source.startswith(".") | source.startswith("/"))
         .when(language == "rust", source.startswith("self::") | source.startswith("super::"))
         .otherwise(False)
     )
-    return by_line.unionByName(by_block).withColumn("is_relative", relative)
+    return facts(files, "import").select(
+        *FILE, "filename", "language", F.col("line_start").alias("line_no"), "part", F.col("name").alias("source")
+    ).withColumn("is_relative", relative)
+
+
+def deep_lines(files: DataFrame, deepest: int) -> DataFrame:
+    """Lines that open a block nested more than ``deepest`` deep in their function."""
+    return facts(files, "deep", deepest=deepest).select(*FILE, "filename", "language", "line_start", "line_end")
 
 
 def exports(files: DataFrame) -> DataFrame:
@@ -321,7 +142,7 @@ def exports(files: DataFrame) -> DataFrame:
     )
 
     def group(name: str) -> Column:
-        found = F.regexp_extract(line, patterns.jvm(fv.EXPORT_HEADERS[name]), 1)
+        found = F.regexp_extract(line, patterns.jvm(EXPORT_HEADERS[name]), 1)
         return F.when(found != "", found)
 
     name = (

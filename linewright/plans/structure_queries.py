@@ -10,6 +10,7 @@ from linewright.operators import lint, structure
 from linewright.plans.ingest_queries import LANGUAGE
 from linewright.plans.registry import over, query, sql_list, sql_text
 from linewright.plans.scan_queries import lines_step
+from linewright.sources.code_corpus import expected_step
 from linewright.sources.corpus import view
 
 TYPED = f"code AS (SELECT *, {LANGUAGE} AS language FROM code_files)"
@@ -64,130 +65,77 @@ def lint_line_rules(spark, sf_dir):
     return lint.line_findings(code(spark, sf_dir))
 
 
-# --- headers, depth and spans in SQL -------------------------------------------------
+# --- what the sources are known to hold ---------------------------------------------
 
+SOURCE = f"code AS (SELECT *, {LANGUAGE} AS language FROM source_files)"
 
-def _group(headers, group: int) -> str:
-    arms = [
-        f"CASE WHEN language IN {sql_list(languages)} AND regexp_matches(line, {_re(pattern)}) "
-        f"THEN regexp_extract(line, {_re(pattern)}, {group}) END"
-        for languages, pattern in headers
-    ]
-    return f"coalesce({', '.join(arms)})"
 
+def sources(spark, sf_dir):
+    return code(spark, sf_dir, "source_files")
 
-def _count(column: str, char: str) -> str:
-    return f"(length({column}) - length(replace({column}, '{char}', '')))"
 
+def expected(kind: str, body: str) -> str:
+    """Oracle text over the rows that the corpus is known to hold; no pattern takes part."""
+    return over("source_files", body, SOURCE, expected_step(kind))
 
-_NAME = _group(fv.FUNCTION_HEADERS, 1)
-FUNCTION = (
-    f"CASE WHEN language IN ('c','cpp','php') AND {_NAME} IN {sql_list(fv.NOT_FUNCTION_NAMES)} "
-    f"THEN NULL ELSE {_NAME} END"
-)
-_BRANCHES = "CASE " + " ".join(
-    f"WHEN language IN {sql_list(languages)} THEN len(regexp_extract_all(line, {_re(pattern)}))"
-    for languages, pattern in fv.BRANCH_WORDS
-) + " ELSE 0 END"
-_SPACED = f"regexp_replace(line, '{patterns.SPACE}+', '', 'g')"
-
-SPAN_STEPS = (
-    """leveled AS (SELECT *, CASE WHEN language IN ('python', 'ruby') THEN list_distinct(list_transform(
-        regexp_extract_all(content, '(?m)^([ \\t]*)(?:async[ \\t]+def|def|class)\\b', 1), lambda s: length(s))) END AS levels,
-        len(string_split(content, chr(10))) AS n_lines FROM code)""",
-    lines_step("leveled"),
-    f"""facts AS (SELECT *, {FUNCTION} AS fn, {_group(fv.CLASS_HEADERS, 1)} AS cls,
-        {_count('line', '{')} AS opens, {_count('line', '}')} AS closes,
-        {_count("string_split(line, '{')[1]", '}')} AS lead_closes,
-        length(line) - length(ltrim(line, ' ' || chr(9))) AS indent, {_SPACED} = '' AS blank,
-        {_BRANCHES} AS branches FROM lines WHERE language IN {sql_list(fv.PARSED_LANGUAGES)})""",
-    """depths AS (SELECT *, depth_after - opens + closes AS depth_before, cum - branches AS cum_before,
-        depth_after - opens + closes - lead_closes AS base FROM (
-        SELECT *, sum(opens - closes) OVER w AS depth_after, sum(branches) OVER w AS cum,
-        sum(branches) OVER (PARTITION BY file_id) AS total FROM facts
-        WINDOW w AS (PARTITION BY file_id ORDER BY line_no)))""",
-    """marks AS (SELECT file_id, line_no, cum, cum_before, unnest(CASE WHEN language IN ('python', 'ruby')
-          THEN CASE WHEN blank THEN [] ELSE list_filter(levels, lambda x: x >= indent) END
-          ELSE range(CAST(least(base, depth_after) AS BIGINT), CAST(depth_before AS BIGINT)) END) AS level FROM depths)""",
-    """headers AS (SELECT *, CASE WHEN language IN ('python', 'ruby') THEN indent ELSE base END AS level,
-        CASE WHEN language IN ('python', 'ruby') THEN list_max(list_filter(levels, lambda x: x < indent))
-             ELSE base - 1 END AS outer_level,
-        language IN ('python', 'ruby') OR depth_after > base AS opened
-        FROM depths WHERE fn IS NOT NULL OR cls IS NOT NULL)""",
-    """ended AS (SELECT h.*, m.line_no AS close_line, m.cum AS close_cum, m.cum_before AS close_before
-        FROM headers h LEFT JOIN LATERAL (SELECT * FROM marks k WHERE k.file_id = h.file_id AND k.level = h.level
-          AND k.line_no > h.line_no ORDER BY k.line_no LIMIT 1) m ON true)""",
-    """spans AS (SELECT *, CASE WHEN NOT opened THEN line_no WHEN close_line IS NULL THEN n_lines
-          WHEN language = 'python' THEN close_line - 1 ELSE close_line END AS line_end,
-        1 + CASE WHEN NOT opened THEN cum WHEN close_line IS NULL THEN total
-          WHEN language = 'python' THEN close_before ELSE close_cum END - cum_before AS complexity FROM ended)""",
-)
 
-_FUNCTIONS = """SELECT review_id, file_id, filename, language, fn AS name, CAST(line_no AS INT) AS line_start,
-  CAST(line_end AS INT) AS line_end{more} FROM spans WHERE fn IS NOT NULL"""
+_FUNCTIONS = """SELECT review_id, file_id, filename, language, name, CAST(part AS INT) AS part, CAST(a AS INT) AS line_start,
+  CAST(b AS INT) AS line_end{more} FROM expected"""
 
 
-@query("extract_functions", over("code_files", _FUNCTIONS.format(more=""), TYPED, *SPAN_STEPS))
+@query("extract_functions", expected("function", _FUNCTIONS.format(more="")))
 def extract_functions(spark, sf_dir):
-    return structure.functions(code(spark, sf_dir)).drop("complexity")
+    return structure.functions(sources(spark, sf_dir)).drop("complexity", "params")
 
 
-@query(
-    "function_complexity",
-    over("code_files", _FUNCTIONS.format(more=", CAST(complexity AS INT) AS complexity"), TYPED, *SPAN_STEPS),
-)
+@query("function_complexity", expected("function", _FUNCTIONS.format(more=", CAST(complexity AS INT) AS complexity")))
 def function_complexity(spark, sf_dir):
-    return structure.functions(code(spark, sf_dir))
+    return structure.functions(sources(spark, sf_dir)).drop("params")
 
 
 @query(
     "file_complexity",
-    over("code_files", f"""SELECT review_id, file_id, filename, language,
+    expected("function", f"""SELECT review_id, file_id, filename, language,
          CASE WHEN language IN {sql_list(fv.PARSED_LANGUAGES)} THEN coalesce(nullif(n, 0), 1) END AS complexity
-         FROM code LEFT JOIN (SELECT file_id, CAST(sum(complexity) AS BIGINT) AS n FROM spans
-         WHERE fn IS NOT NULL GROUP BY file_id) USING (file_id)""", TYPED, *SPAN_STEPS),
+         FROM code LEFT JOIN (SELECT file_id, CAST(sum(complexity) AS BIGINT) AS n FROM expected
+         GROUP BY file_id) USING (file_id)"""),
 )
 def file_complexity(spark, sf_dir):
-    return structure.file_complexity(code(spark, sf_dir))
-
-
-# A method's class is the nearest mark of the outer level above it, if that is a class.
-_HOLDERS = """holders AS (
-  SELECT file_id, level, line_no, 0 AS turn, 0 AS holder FROM marks
-  UNION ALL SELECT file_id, level, line_no, 1, CASE WHEN cls IS NOT NULL AND opened THEN line_no ELSE 0 END FROM headers)"""
+    return structure.file_complexity(sources(spark, sf_dir))
 
 
 @query(
     "extract_classes",
-    over("code_files", """SELECT review_id, s.file_id, filename, language, cls AS name, CAST(line_no AS INT) AS line_start,
-         CAST(line_end AS INT) AS line_end, coalesce(methods, '') AS methods
-         FROM spans s LEFT JOIN (
-           SELECT f.file_id, m.holder, string_agg(f.fn, ',' ORDER BY f.line_no) AS methods
-           FROM headers f, LATERAL (SELECT * FROM holders k WHERE k.file_id = f.file_id AND k.level = f.outer_level
-             AND (k.line_no < f.line_no OR k.line_no = f.line_no) ORDER BY k.line_no DESC, k.turn DESC LIMIT 1) m
-           WHERE f.fn IS NOT NULL AND m.holder > 0 GROUP BY f.file_id, m.holder) x
-         ON x.file_id = s.file_id AND x.holder = s.line_no WHERE cls IS NOT NULL""",
-         TYPED, *SPAN_STEPS, _HOLDERS),
+    expected("class", """SELECT review_id, file_id, filename, language, name, CAST(a AS INT) AS line_start,
+         CAST(b AS INT) AS line_end, array_to_string(methods, ',') AS methods FROM expected"""),
 )
 def extract_classes(spark, sf_dir):
-    found = structure.classes(code(spark, sf_dir))
+    found = structure.classes(sources(spark, sf_dir))
     return found.withColumn("methods", F.array_join("methods", ","))
 
 
 @query(
     "extract_params",
-    over("code_files", f"""SELECT review_id, file_id, CAST(line_no AS INT) AS line_no, function,
-         CAST(unnest(range(0, len(ps))) AS INT) AS position, unnest(ps) AS param FROM (
-           SELECT *, list_filter(list_transform(string_split(coalesce({_group(fv.FUNCTION_HEADERS, 2)}, ''), ','),
-             lambda p: regexp_replace(p, '^{patterns.SPACE}+|{patterns.SPACE}+$', '', 'g')), lambda p: p <> '') AS ps,
-             {FUNCTION} AS function FROM lines) WHERE function IS NOT NULL""", TYPED, lines_step("code")),
+    expected("function", """SELECT review_id, file_id, CAST(a AS INT) AS line_no, CAST(part AS INT) AS part, name AS function,
+         CAST(unnest(range(0, len(params))) AS INT) AS position, unnest(params) AS param FROM expected"""),
 )
 def extract_params(spark, sf_dir):
-    return structure.parameters(code(spark, sf_dir))
+    return structure.parameters(sources(spark, sf_dir))
+
+
+# Headers of single lines, for the corpora whose imports stand one to a line.
+IMPORT_HEADERS = {
+    "script": r"^\s*import\b[^'\"]*['\"]([^'\"]+)['\"]",
+    "python_from": r"^\s*from\s+([.\w]+)\s+import\b",
+    "python_plain": r"^\s*import\s+(.+)$",
+    "java": r"^\s*import\s+(?:static\s+)?([\w.]+)",
+    "go": r"^\s*(?:import\s+)?(?:\w+\s+)?\"([^\"]+)\"\s*$",
+    "rust": r"^\s*(?:pub\s+)?use\s+([^;]+);",
+}
 
 
 def _found(name: str, line: str = "line") -> str:
-    pattern = _re(fv.IMPORT_HEADERS[name])
+    pattern = _re(IMPORT_HEADERS[name])
     return f"CASE WHEN regexp_matches({line}, {pattern}) THEN regexp_extract({line}, {pattern}, 1) END"
 
 
@@ -217,15 +165,15 @@ def imports_step(files: str = "code", lines: str = "lines") -> str:
 
 @query(
     "extract_imports",
-    over("code_files", """SELECT review_id, file_id, filename, language, CAST(line_no AS INT) AS line_no,
-         CAST(part AS INT) AS part, source, is_relative FROM imports""", TYPED, lines_step("code"), imports_step()),
+    expected("import", """SELECT review_id, file_id, filename, language, CAST(a AS INT) AS line_no,
+         CAST(part AS INT) AS part, source, is_relative FROM expected"""),
 )
 def extract_imports(spark, sf_dir):
-    return structure.imports(code(spark, sf_dir))
+    return structure.imports(sources(spark, sf_dir))
 
 
 def _export(name: str) -> str:
-    pattern = _re(fv.EXPORT_HEADERS[name])
+    pattern = _re(structure.EXPORT_HEADERS[name])
     return f"CASE WHEN regexp_matches(line, {pattern}) THEN regexp_extract(line, {pattern}, 1) END"
 
 
@@ -244,6 +192,10 @@ def extract_exports(spark, sf_dir):
     return structure.exports(code(spark, sf_dir))
 
 
+def _count(column: str, char: str) -> str:
+    return f"(length({column}) - length(replace({column}, '{char}', '')))"
+
+
 IMBALANCE = " + ".join(
     f"abs({_count('{0}', a)} - {_count('{0}', b)})".replace("{0}", "{c}") for a, b in ("()", "[]")
 ) + " + abs((length({c}) - length(replace({c}, chr(123), ''))) - (length({c}) - length(replace({c}, chr(125), ''))))"
@@ -285,31 +237,25 @@ def lint_duplicate_imports(spark, sf_dir):
 
 @query(
     "lint_long_functions",
-    over("code_files", _span_rule("max-lines-per-function", 9, "line_no", "line_end")
-         + f" FROM spans WHERE fn IS NOT NULL AND language IN {LINTED} AND line_end - line_no + 1 > 50",
-         TYPED, *SPAN_STEPS),
+    expected("function", _span_rule("max-lines-per-function", 9, "a", "b")
+             + f" FROM expected WHERE language IN {LINTED} AND b - a + 1 > 50"),
 )
 def lint_long_functions(spark, sf_dir):
-    return lint.long_functions(structure.functions(code(spark, sf_dir)))
+    return lint.long_functions(structure.functions(sources(spark, sf_dir)))
 
 
 @query(
     "lint_complexity",
-    over("code_files", _span_rule("complexity", 10, "line_no", "line_end")
-         + f" FROM spans WHERE fn IS NOT NULL AND language IN {LINTED} AND complexity > 10",
-         TYPED, *SPAN_STEPS),
+    expected("function", _span_rule("complexity", 10, "a", "b")
+             + f" FROM expected WHERE language IN {LINTED} AND complexity > 10"),
 )
 def lint_complexity(spark, sf_dir):
-    return lint.complex_functions(structure.functions(code(spark, sf_dir)))
+    return lint.complex_functions(structure.functions(sources(spark, sf_dir)))
 
 
 @query(
     "lint_max_depth",
-    over("code_files", _span_rule("max-depth", 11, "line_no", "line_no")
-         + f""" FROM (SELECT *, last_value(CASE WHEN fn IS NOT NULL THEN base END IGNORE NULLS)
-           OVER (PARTITION BY file_id ORDER BY line_no) AS fn_base FROM depths)
-           WHERE language IN {LINTED} AND depth_after > base AND depth_after - fn_base - 1 > 4""",
-         TYPED, *SPAN_STEPS),
+    expected("deep", _span_rule("max-depth", 11, "a", "a") + f" FROM expected WHERE language IN {LINTED}"),
 )
 def lint_max_depth(spark, sf_dir):
-    return lint.deep_blocks(code(spark, sf_dir))
+    return lint.deep_blocks(sources(spark, sf_dir))

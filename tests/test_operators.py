@@ -9,6 +9,8 @@ from linewright.operators import (
     batching, edits, fixes, graph, lint, merging, plugins, quality, responses, reuse, scan, scoring,
     spread, structure,
 )
+from linewright.operators import code_shape
+from linewright.sources import code_corpus
 
 FINDING = (
     "review_id long, file_id long, filename string, source string, category string, severity string, "
@@ -282,7 +284,7 @@ def test_fix_status(spark):
 
 def test_structure(spark):
     script = "\n".join([
-        "import a from './a'", "import b from './a'", "export class Box {", "  function open(x, y: any) {",
+        "import a from './a'", "import b from './a'", "export class Box {", "  open(x, y: any) {",
         "    if (x) {", "      return 1", "    } else {", "      return 2", "    }", "  }", "}",
         "const f = (a) => a", "export function last() { return 1 }",
     ])
@@ -292,7 +294,7 @@ def test_structure(spark):
     spans = {(r.file_id, r.name): (r.line_start, r.line_end, r.complexity) for r in structure.functions(files).collect()}
     assert spans == {
         (1, "open"): (4, 10, 3), (1, "f"): (12, 12, 1), (1, "last"): (13, 13, 1),
-        (2, "go"): (3, 6, 2), (2, "stop"): (7, 8, 1), (2, "_h"): (9, 10, 1),
+        (2, "go"): (3, 5, 2), (2, "stop"): (7, 8, 1), (2, "_h"): (9, 10, 1),
     }
     classes = {r.name: (r.methods, r.line_end) for r in structure.classes(files).collect()}
     assert classes == {"Box": (["open"], 11), "A": (["go", "stop"], 8)}
@@ -303,6 +305,35 @@ def test_structure(spark):
     assert [(r.line_start, r.severity) for r in double] == [(2, "critical")]
 
 
+@pytest.mark.parametrize("ext", sorted(code_corpus.SOURCES))
+def test_shapes_of_known_sources(ext):
+    def filled(value):
+        return value.replace("<ID>", "77").replace("<NEXT>", "88")
+
+    source = filled(code_corpus.SOURCES[ext]).replace(code_corpus.DOC, "Text with 'quotes, if (a) { and for")
+    language = dict(ts="typescript", js="javascript", py="python", rs="rust", rb="ruby").get(ext, ext)
+    shape = code_shape.Shape(source, language)
+    found = shape.functions()
+    assert [(f["name"], f["line_start"], f["line_end"], f["complexity"], f["params"]) for f in found] == [
+        (filled(f[0]), *f[1:]) for f in code_corpus.FUNCTIONS[ext]
+    ]
+    assert [(c["name"], c["line_start"], c["line_end"], c["methods"]) for c in shape.classes(found)] == [
+        (filled(c[0]), c[1], c[2], [filled(m) for m in c[3]]) for c in code_corpus.CLASSES.get(ext, [])
+    ]
+    assert [(shape.line(at), s) for at, s in shape.imports()] == [
+        (i[0], filled(i[2])) for i in code_corpus.IMPORTS.get(ext, [])
+    ]
+    assert shape.deep_lines(found, 4) == code_corpus.DEEP.get(ext, [])
+
+
+@pytest.mark.parametrize("language", ["typescript", "python", "java", "go", "rust", "c", "cpp", "ruby", "php"])
+def test_shapes_of_broken_sources(language):
+    for source in ("", "}", "((({", "def f(", "fn x(", "class", "func (", "=>", "import (", '"', "function f(a, b", "a\n" * 50):
+        shape = code_shape.Shape(source, language)
+        found = shape.functions()
+        shape.classes(found), shape.imports(), shape.deep_lines(found, 4)
+
+
 def test_reuse(spark):
     files = spark.createDataFrame(
         [(1, 1, "a.ts", "eval(x)", "h1"), (1, 2, "b.py", "eval(x)", "h1"), (1, 3, "c.ts", "ok", "h2")],
