@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linewright.functions import text
-from linewright.operators.spread import levels_for, running_sum_before
+from linewright.operators.spread import running_sum_before
 
 
 def adjust_lines(lines: DataFrame, edits: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
@@ -47,8 +47,10 @@ def apply_in_sequence(findings: DataFrame, keys: list[str], seq: str = "ord") ->
         F.col("line_end").cast("long").alias("_end"),
         F.when(has_fix, fix_lines - (F.col("line_end") - F.col("line_start") + 1)).cast("long").alias("_d"),
     )
-    top, last = (value or 0 for value in base.agg(F.max(F.greatest("_start", "_end")), F.max("_seq")).first())
-    levels = F.sequence(F.lit(0), F.lit(max(int(top).bit_length() - 1, 0)))
+    # Bits above the highest one of a file's lines are zero in all of them.
+    tops = base.groupBy(*keys).agg((F.length(F.bin(F.max(F.greatest("_start", "_end")))) - 1).alias("_top"))
+    base = base.join(tops, keys)
+    levels = F.sequence(F.lit(0), F.col("_top"))
 
     def bit(line, level):
         return F.call_function("mod", F.call_function("shiftright", line, level), F.lit(2))
@@ -84,7 +86,7 @@ def apply_in_sequence(findings: DataFrame, keys: list[str], seq: str = "ord") ->
             F.max("_s").alias("_s"), F.max("_e").alias("_e"),
         )
     )
-    summed = running_sum_before(points, spot, "_seq", "_d", "_before", levels_for(last))
+    summed = running_sum_before(points, spot, "_seq", "_d", "_before")
     shifts = (
         summed.where("(_s = 1 OR _e = 1) AND _before <> 0")
         .groupBy(*keys, "_seq")

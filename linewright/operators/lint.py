@@ -154,3 +154,34 @@ def deep_blocks(files: DataFrame) -> DataFrame:
         structure.deep_lines(files.where(is_linted(F.col("language"))), fv.MAX_BLOCK_DEPTH),
         "max-depth", 11,
     )
+
+
+def span_findings(files: DataFrame) -> DataFrame:
+    """The rules on functions and blocks in one pass over the texts, and repeated imports."""
+    linted = files.where(is_linted(F.col("language")))
+    found = structure.facts(linted, "function", "deep", deepest=fv.MAX_BLOCK_DEPTH)
+    function = F.col("kind") == "function"
+    long = function & (F.col("line_end") - F.col("line_start") + 1 > fv.MAX_FUNCTION_LINES)
+    fired = {
+        "max-lines-per-function": (9, long),
+        "complexity": (10, function & (F.col("complexity") > fv.MAX_COMPLEXITY)),
+        "max-depth": (11, F.col("kind") == "deep"),
+    }
+    marks = []
+    for rule, (position, fires) in fired.items():
+        level, message = fv.LINT_SPAN_RULES[rule]
+        marks.append(
+            F.when(
+                fires,
+                F.struct(
+                    F.lit(rule).alias("rule_id"), F.lit(category(rule)).alias("category"),
+                    F.lit(severity(level)).alias("severity"), F.lit(f"{rule}: {message}").alias("message"),
+                    F.lit(position).alias("n"),
+                ),
+            )
+        )
+    spans = found.withColumn("m", F.explode(F.array_compact(F.array(*marks)))).select(
+        "review_id", "file_id", "filename", F.lit("eslint").alias("source"), "m.category", "m.severity", "m.message",
+        "line_start", "line_end", "m.rule_id", (F.col("line_start").cast("long") * 16 + F.col("m.n")).alias("ord"),
+    )
+    return duplicate_imports(structure.imports(linted)).unionByName(spans)

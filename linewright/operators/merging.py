@@ -20,8 +20,6 @@ from linewright.operators.spread import running_rank, running_sum_before
 FILE = ["review_id", "file_id"]
 PLACE = [*FILE, "line_start"]
 REACH = fv.MERGE_TOLERANCE
-# Files with more findings than this are assigned by the distributed form.
-LARGE_FILE = 500_000
 # An absorber of one line and source ends on one of the lines in reach, each at most once.
 MAX_ABSORBERS = 2 * REACH + 1
 
@@ -153,26 +151,10 @@ def greedy_owners(lines, sources, ranks) -> tuple[np.ndarray, np.ndarray, list[t
 
 
 def _codes(df: DataFrame) -> DataFrame:
-    """Sources as numbers: ``_src`` tells them apart, ``_rank`` orders them."""
-    known = {source: i for i, source in enumerate(fv.SOURCES)}
-    return df.withColumn(
-        "_src", F.coalesce(text.lookup(known, F.col("source")), F.pmod(F.hash("source"), F.lit(1 << 20)) + 8)
-    ).withColumn("_rank", text.rank(fv.SOURCE_RANK, F.col("source")))
-
-
-def _assign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Owner and lead of every row; rows come sorted by file and arrival."""
-    for rows, bounds in whole_groups(batches, FILE):
-        arrivals = rows.column("ord").to_numpy()
-        lines, sources, ranks = (rows.column(c).to_pylist() for c in ("line_start", "_src", "_rank"))
-        owner, lead = arrivals.copy(), arrivals.copy()
-        for low, high in bounds:
-            if high - low > 1:
-                own, main, _ = greedy_owners(lines[low:high], sources[low:high], ranks[low:high])
-                owner[low:high] = arrivals[low + own]
-                lead[low:high] = arrivals[low + main]
-        marked = rows.append_column("_owner", pa.array(owner)).append_column("_lead", pa.array(lead))
-        yield from marked.to_batches()
+    """``_src`` tells sources apart by name, ``_rank`` orders them."""
+    return df.withColumn("_src", F.coalesce("source", F.lit(""))).withColumn(
+        "_rank", text.rank(fv.SOURCE_RANK, F.col("source"))
+    )
 
 
 def _absorber_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,17 +182,11 @@ def _absorber_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from absorbing.to_batches()
 
 
-def _assign_small(findings: DataFrame) -> DataFrame:
-    """One shuffle and one sort; files are told apart inside the Arrow batches."""
-    coded = _codes(findings)
-    schema = coded.schema.add("_owner", "long").add("_lead", "long")
-    return gather(coded, FILE, "ord").mapInArrow(_assign_batches, schema)
-
-
-def _assign_large(findings: DataFrame) -> DataFrame:
-    """The same assignment with no group larger than the distinct lines of an island.
+def assign(findings: DataFrame) -> DataFrame:
+    """Adds ``_owner`` and ``_lead``, arrival numbers of the finding each one ends in.
 
-    Only the first few findings of a line and source can absorb (their end lines differ
+    ``ord`` must be unique within a file. No group is larger than the distinct lines of an
+    island. Only the first few findings of a line and source can absorb (their end lines differ
     and lie in reach), and all they need of others is the next arrival after their own.
     So each line and source is cut down to those, the loop runs on them where sources
     meet, and every finding looks its owner up in the short list of absorbers around it.
@@ -272,7 +248,7 @@ def _assign_large(findings: DataFrame) -> DataFrame:
         gather(short.join(islands.drop("_start"), PLACE), [*FILE, "_island"], "ord")
         .mapInArrow(
             _absorber_batches,
-            "review_id long, file_id long, _src int, _line int, _absorber long, _from long, _main long",
+            "review_id long, file_id long, _src string, _line int, _absorber long, _from long, _main long",
         )
     )
     reached = (
@@ -301,20 +277,6 @@ def _assign_large(findings: DataFrame) -> DataFrame:
     )
 
 
-def assign(findings: DataFrame, large_file: int = LARGE_FILE) -> DataFrame:
-    """Adds ``_owner`` and ``_lead``, arrival numbers of the finding each one ends in.
-
-    ``ord`` must be unique within a file. File sizes are counted first, map-side; without
-    a large file the plan is the one-shuffle form alone.
-    """
-    large = findings.groupBy(*FILE).count().where(F.col("count") > large_file).select(*FILE)
-    if large.isEmpty():
-        return _assign_small(findings)
-    return _assign_small(findings.join(large, FILE, "left_anti")).unionByName(
-        _assign_large(findings.join(large, FILE, "left_semi"))
-    )
-
-
 def merge_assigned(assigned: DataFrame) -> DataFrame:
     """One record per owner; an aggregate with a map-side half, so an owner may be huge."""
     following = F.struct(F.col("ord") != F.col("_lead"), F.col("ord"))
@@ -358,9 +320,9 @@ def merge_assigned(assigned: DataFrame) -> DataFrame:
     )
 
 
-def merge_findings(findings: DataFrame, large_file: int = LARGE_FILE) -> DataFrame:
+def merge_findings(findings: DataFrame) -> DataFrame:
     """Greedy merge of each file's findings in arrival order."""
-    return merge_assigned(assign(findings, large_file))
+    return merge_assigned(assign(findings))
 
 
 def attach_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:

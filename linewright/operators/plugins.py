@@ -45,11 +45,13 @@ class AnalyzerRegistry:
                 log.warning("analyzer %s failed: %s", analyzer.name, type(error).__name__)
         return found
 
-    def analyze(self, files: DataFrame, isolated: bool = False) -> DataFrame:
+    def analyze(self, files: DataFrame, isolated: bool = True) -> DataFrame:
         """Union of all findings in registration order.
 
-        A detector that cannot be planned is left out. With ``isolated`` each one runs on
-        its own into the shared folder, so one that fails at run time is left out too.
+        Each detector runs on its own into the shared folder, so one that fails, when it is
+        planned or when it runs, is left out and takes no other one down. Without
+        ``isolated`` all of them stay one lazy plan, in which only failures of planning
+        are caught.
         """
         return union_findings(*self._runs(files, isolated))
 
@@ -59,6 +61,7 @@ def default_registry() -> AnalyzerRegistry:
         AnalyzerRegistry()
         .register(Analyzer("pattern-scanner", scan.scan))
         .register(Analyzer("eslint", lint.line_findings, lint.is_linted))
+        .register(Analyzer("eslint-spans", lint.span_findings, lint.is_linted))
     )
 
 

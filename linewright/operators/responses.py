@@ -113,11 +113,20 @@ def status(responses: DataFrame) -> DataFrame:
 
 
 def attribute(found: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds ``file_id`` by name within the review; null for files the review lacks."""
-    names = files.select("review_id", "filename", "file_id")
+    """Adds ``file_id`` by name within the review; null for files the review lacks.
+
+    A name that several files of a review share means the first of them, so no finding doubles.
+    """
+    names = files.groupBy("review_id", "filename").agg(F.min("file_id").alias("file_id"))
     return found.join(names, ["review_id", "filename"], "left")
 
 
+def unattributed(attributed: DataFrame) -> DataFrame:
+    """Findings that name no file of their review, counted per name."""
+    lost = attributed.where(F.col("file_id").isNull())
+    return lost.groupBy("review_id", "filename").agg(F.count(F.lit(1)).alias("findings"))
+
+
 def canned_findings(files: DataFrame, canned: DataFrame) -> DataFrame:
     """Stored findings of files by name; files without an entry have none."""
     stored = canned.select(

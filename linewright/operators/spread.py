@@ -21,8 +21,7 @@ def running_sum_before(
 
     ``order`` is a number from 0, unique per key, so a block holds at most ``BLOCK`` rows
     however hot the key is. One level leaves at most 2**16 block totals per key for an
-    int, two levels 2**15 for a long up to 2**45; a caller that knows the largest order
-    can say with ``levels_for`` that fewer will do.
+    int, two levels 2**15 for a long up to 2**45.
     """
     if levels is None:
         levels = 1 if isinstance(df.schema[order].dataType, IntegerType) else 2
@@ -43,15 +42,6 @@ def running_sum_before(
     )
 
 
-def levels_for(largest: int) -> int:
-    """Levels after which at most ``BLOCK`` rows per key are left for one window."""
-    levels = 0
-    while largest >= BLOCK and levels < 3:
-        largest //= BLOCK
-        levels += 1
-    return levels
-
-
 def running_rank(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
     """Adds ``out``: the 1-based position of a row in its key by a unique integer ``order``."""
     counted = running_sum_before(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", out)

@@ -114,16 +114,15 @@ def fix_lint_check(spark, sf_dir):
 @query(
     "fix_status",
     over("files", f"""SELECT n.file_id, n.ord, CASE WHEN coalesce(n.fix, '') = '' THEN 'unavailable'
-         WHEN f.language = 'text' THEN 'unverified'
+         WHEN f.file_id IS NULL THEN 'unverified'
          WHEN {_SYNTAX} OR EXISTS (SELECT 1 FROM pattern_bad b WHERE b.ord = n.ord AND b.file_id = n.file_id)
            OR EXISTS (SELECT 1 FROM lint_bad b WHERE b.ord = n.ord AND b.file_id = n.file_id) THEN 'unavailable'
          ELSE 'verified' END AS fix_status FROM found n LEFT JOIN fixed f USING (file_id, ord)""",
          *_FIXED, *_PATTERN_STEPS, *_LINT_FIX_STEPS),
 )
 def fix_status(spark, sf_dir):
-    """The contents of plain text files were not kept, so their fixes stay unverified."""
     found, files = _fix_inputs(spark, sf_dir)
-    return fixes.fix_status(found, files.where("language <> 'text'")).select("file_id", "ord", "fix_status")
+    return fixes.fix_status(found, files).select("file_id", "ord", "fix_status")
 
 
 # --- reuse ---------------------------------------------------------------------------
@@ -220,19 +219,32 @@ def incremental_scan(spark, sf_dir):
 
 @query(
     "analyzer_registry",
-    over("code_files", """SELECT file_id, 'pattern' AS source, rule_id, CAST(line_no AS INT) AS line_start
+    over("source_files", f"""SELECT file_id, 'pattern' AS source, rule_id, CAST(line_no AS INT) AS line_start
            FROM hits JOIN catalogue USING (rule_ord)
-         UNION ALL SELECT file_id, 'eslint', rule_id, CAST(line_no AS INT) FROM lint_hits JOIN lint_rules USING (n)""",
-         TYPED, lines_step("code"), *SCAN_STEPS[1:], *LINT_STEPS),
+         UNION ALL SELECT file_id, 'eslint', rule_id, CAST(line_no AS INT) FROM lint_hits JOIN lint_rules USING (n)
+         UNION ALL SELECT file_id, 'eslint', 'max-lines-per-function', CAST(a AS INT) FROM expected
+           WHERE language IN {LINTED} AND b - a + 1 > 50
+         UNION ALL SELECT file_id, 'eslint', 'complexity', CAST(a AS INT) FROM expected
+           WHERE language IN {LINTED} AND complexity > 10
+         UNION ALL SELECT file_id, 'eslint', 'max-depth', CAST(a AS INT) FROM known_deep WHERE language IN {LINTED}
+         UNION ALL SELECT file_id, 'eslint', 'no-duplicate-imports', CAST(a AS INT) FROM (
+           SELECT *, min(a) OVER (PARTITION BY file_id, source) AS first FROM known_imports WHERE language IN {LINTED})
+           WHERE a > first""",
+         SOURCE, lines_step("code"), *SCAN_STEPS[1:], *LINT_STEPS, expected_step("function"),
+         expected_step("deep", "known_deep"), expected_step("import", "known_imports")),
 )
 def analyzer_registry(spark, sf_dir):
-    """Both built-in detectors and one that fails."""
+    """The built-in detectors, one that cannot be planned and one that fails when it runs."""
 
-    def broken(files):
+    def unplanned(files):
         raise RuntimeError("out of order")
 
-    registry = plugins.default_registry().register(plugins.Analyzer("broken", broken))
-    return registry.analyze(code(spark, sf_dir)).select("file_id", "source", "rule_id", "line_start")
+    def failing(files):
+        return scan.scan(files).withColumn("message", F.raise_error(F.lit("out of order")).cast("string"))
+
+    registry = plugins.default_registry()
+    registry.register(plugins.Analyzer("unplanned", unplanned)).register(plugins.Analyzer("failing", failing))
+    return registry.analyze(code(spark, sf_dir, "source_files")).select("file_id", "source", "rule_id", "line_start")
 
 
 def _long_lines(frame: pd.DataFrame, profile: str) -> pd.DataFrame:

@@ -40,9 +40,12 @@ def linked(spark, sf_dir, name="files"):
     resolved = graph.resolve_imports(structure.imports(files), files)
     edges = resolved.select(F.col("file_id").alias("src"), F.col("target_id").alias("dst"))
     components = graph.connected_components(files, edges)
-    return files.join(components, ["review_id", "file_id"]).select(
+    # Counted where a file is read, so that contents are pruned from this join where only
+    # their size is asked for.
+    sized = files.withColumn("tokens", text.token_estimate(F.col("content")))
+    return sized.join(components, ["review_id", "file_id"]).select(
         "review_id", "component_id", "file_id", F.col("file_id").alias("file_ord"), "filename", "language",
-        text.token_estimate(F.col("content")).alias("tokens"), "content",
+        "tokens", "content",
     )
 
 

@@ -243,31 +243,22 @@ _FOUND = """EXISTS (SELECT 1 FROM findings f WHERE f.review_id = b.review_id AND
 _WRONG = """f.severity <> 'info' AND EXISTS (SELECT 1 FROM expected_bugs b WHERE b.review_id = f.review_id
   AND b.file_id = f.file_id) AND NOT EXISTS (SELECT 1 FROM expected_bugs b WHERE b.review_id = f.review_id
   AND b.file_id = f.file_id AND b.category = f.category AND abs(f.line_start - b.line_start) <= 5)"""
-# Findings to judge: some detectors only, so that all three counts are above zero.
-_JUDGED = "judged AS (SELECT * FROM findings WHERE source <> 'pattern')"
-
-
-def _judged(spark, sf_dir):
-    return view(spark, sf_dir, "findings").where("source <> 'pattern'")
-
-
 @query(
     "recall_counts",
     over("findings expected_bugs", f"""SELECT review_id, CAST(count_if(found) AS BIGINT) AS true_positives,
          CAST(count_if(NOT found) AS BIGINT) AS false_negatives
-         FROM (SELECT *, {_FOUND.replace('findings f', 'judged f')} AS found FROM expected_bugs b) GROUP BY review_id""",
-         _JUDGED),
+         FROM (SELECT *, {_FOUND} AS found FROM expected_bugs b) GROUP BY review_id"""),
 )
 def recall_counts(spark, sf_dir):
-    return quality.recall_counts(view(spark, sf_dir, "expected_bugs"), _judged(spark, sf_dir))
+    return quality.recall_counts(view(spark, sf_dir, "expected_bugs"), view(spark, sf_dir, "findings"))
 
 
 @query(
     "false_positives",
-    over("findings expected_bugs", f"SELECT ord, severity, category FROM judged f WHERE {_WRONG}", _JUDGED),
+    over("findings expected_bugs", f"SELECT ord, severity, category FROM findings f WHERE {_WRONG}"),
 )
 def false_positives(spark, sf_dir):
-    wrong = quality.false_positives(_judged(spark, sf_dir), view(spark, sf_dir, "expected_bugs"))
+    wrong = quality.false_positives(view(spark, sf_dir, "findings"), view(spark, sf_dir, "expected_bugs"))
     return wrong.select("ord", "severity", "category")
 
 
@@ -278,9 +269,9 @@ def false_positives(spark, sf_dir):
          CASE WHEN true_positives + false_negatives > 0
          THEN true_positives / (true_positives + false_negatives) ELSE 0.0 END AS recall
          FROM (SELECT CAST(count_if(found) AS BIGINT) AS true_positives, CAST(count_if(NOT found) AS BIGINT) AS false_negatives,
-               CAST(count(*) AS BIGINT) AS planted FROM (SELECT {_FOUND.replace('findings f', 'judged f')} AS found FROM expected_bugs b)),
-              (SELECT CAST(count(*) AS BIGINT) AS false_positives FROM judged f WHERE {_WRONG}),
-              (SELECT CAST(count(*) AS BIGINT) AS generated FROM judged)""", _JUDGED),
+               CAST(count(*) AS BIGINT) AS planted FROM (SELECT {_FOUND} AS found FROM expected_bugs b)),
+              (SELECT CAST(count(*) AS BIGINT) AS false_positives FROM findings f WHERE {_WRONG}),
+              (SELECT CAST(count(*) AS BIGINT) AS generated FROM findings)"""),
 )
 def precision_recall(spark, sf_dir):
-    return quality.precision_recall(view(spark, sf_dir, "expected_bugs"), _judged(spark, sf_dir))
+    return quality.precision_recall(view(spark, sf_dir, "expected_bugs"), view(spark, sf_dir, "findings"))

@@ -182,7 +182,7 @@ SELECT event_id%5 AS review_id, user_id AS file_id, 'f'||user_id||'.ts' AS filen
        event_id AS ord
 FROM events""",
     "expected_bugs": f"""
-SELECT event_id%5 AS review_id, user_id AS file_id, CAST(floor(value) AS INT)+3 AS line_start,
+SELECT event_id%5 AS review_id, user_id AS file_id, CAST(floor(value) AS INT)+3+CAST(event_id%3 AS INT)*4 AS line_start,
        {_CATEGORY} AS category, event_id AS bug_id
 FROM events WHERE event_id%10=3""",
     "edits": """
@@ -214,7 +214,7 @@ FROM lineitem""",
 SELECT l_orderkey AS review_id, l_linenumber AS file_ord, CAST(l_suppkey AS BIGINT) AS ord,
        CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity,
        CAST(l_quantity AS INT) AS line_start
-FROM lineitem WHERE l_linestatus = 'F'""",
+FROM lineitem""",
     "model_responses": """
 SELECT conv_id%2 AS review_id, conv_id, turn, <RESP:(conv_id+turn)%8> AS raw
 FROM conversations WHERE role='assistant'""",

@@ -66,8 +66,7 @@ def model_merge(rows):
     return sorted((r["source"], r["line"], r["message"], r["severity"], r["rule"], r["fix"], r["sure"]) for r in out)
 
 
-@pytest.mark.parametrize("large_file", [10**9, 0])
-def test_merge_matches_model(spark, large_file):
+def test_merge_matches_model(spark):
     """Both forms of the assignment, from sparse files to lines with many findings."""
     rng = random.Random(7)
     rows, models = [], {}
@@ -86,7 +85,7 @@ def test_merge_matches_model(spark, large_file):
                                 item["fix"], file, sure=item["sure"]))
         models[file] = model_merge(items)
     got = {file: [] for file in models}
-    df = merging.merge_findings(spark.createDataFrame(rows, FINDING).repartition(7), large_file=large_file)
+    df = merging.merge_findings(spark.createDataFrame(rows, FINDING).repartition(7))
     for r in df.collect():
         got[r.file_id].append((r.source, r.line_start, r.message, r.severity, r.rule_id, r.suggested_fix, r.confidence))
     key = lambda t: tuple(str(x) for x in t)
