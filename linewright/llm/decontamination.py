@@ -142,8 +142,9 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius
         *keys, "size", "print",
         F.posexplode(F.array(*[_block(i) for i in range(BLOCKS)])).alias("block", "value"),
     )
+    # The index is far larger than the few items it is made from suggest, so it is never broadcast.
     pairs = (
-        looked_up.join(index, ["n", "block", "value"])
+        looked_up.join(index.hint("merge"), ["n", "block", "value"])
         .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
         .select(*keys, "size", "item", "item_size")
         .distinct()
