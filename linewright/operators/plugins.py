@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewright import fixed_values as fv
 from linewright.operators import lint, responses, scan
+from linewright.operators.groups import gather, whole_groups
 from linewright.operators.merging import union_findings
 from linewright.session import cut_lineage
 
@@ -65,6 +67,11 @@ def default_registry() -> AnalyzerRegistry:
     )
 
 
+_SCORED = pa.schema(
+    [("review_id", pa.int64()), ("file_id", pa.int64()), ("filename", pa.string()), ("category", pa.string()),
+     ("severity", pa.string()), ("message", pa.string()), ("line_start", pa.int32()), ("line_end", pa.int32()),
+     ("suggested_fix", pa.string()), ("confidence", pa.float64())]
+)
 SCORER_SCHEMA = (
     "review_id long, file_id long, filename string, category string, severity string, message string, "
     "line_start int, line_end int, suggested_fix string, confidence double"
@@ -73,22 +80,39 @@ Scorer = Callable[[pd.DataFrame, str], pd.DataFrame]
 SCORERS: dict[str, Scorer] = {}
 
 
-def score_batches(batches: DataFrame, scorer: str, canned: DataFrame, profile: str = "full") -> DataFrame:
-    """Findings of a named scorer over files in batches; canned ones for an unknown name.
+def score_batches(
+    files: DataFrame, scorer: str, canned: DataFrame, profile: str = "full", batch: tuple[str, ...] = ("review_id",)
+) -> DataFrame:
+    """Findings of a named scorer, one call per batch; canned ones for an unknown name.
 
-    A scorer is a Python callable on a pandas frame of files. It runs in Arrow batches on
-    as many tasks as ``batches`` has partitions, which also bounds how many calls a hosted
-    model would see at once.
+    ``batch`` names the columns that make a batch. A scorer is a Python callable on a pandas
+    frame that holds all files of one batch in ``file_id`` order and no others, as a model
+    request does; batches are dealt over the tasks. What a call holds is one batch, which
+    ``create_batches`` bounds by its token budget.
     """
     if profile not in fv.PROFILE_TEXT:
         raise ValueError(f"unknown profile {profile}")
     call = SCORERS.get(scorer)
     if call is None:
-        found = responses.canned_findings(batches, canned).drop("source", "position")
+        found = responses.canned_findings(files, canned).drop("source", "position")
     else:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                yield call(frame, profile)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, bounds in whole_groups(batches, list(batch)):
+                for low, high in bounds:
+                    found = call(rows.slice(low, high - low).to_pandas(), profile)
+                    yield from pa.Table.from_pandas(found, _SCORED, preserve_index=False).to_batches()
 
-        found = batches.mapInPandas(run, SCORER_SCHEMA)
+        found = gather(files, list(batch), "file_id").mapInArrow(run, SCORER_SCHEMA)
     return found.withColumn("source", F.lit("llm"))
+
+
+def batch_progress(files: DataFrame, found: DataFrame, batch: tuple[str, ...] = ("review_id",)) -> DataFrame:
+    """What a batch tells when it is complete: its files and its findings."""
+    keys = [*dict.fromkeys([*batch, "file_id"])]
+    counted = files.select(*keys).join(
+        found.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n")), "file_id", "left"
+    )
+    done = counted.groupBy(*batch).agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("_n"), F.lit(0)).alias("findings")
+    )
+    return done

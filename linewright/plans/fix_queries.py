@@ -256,7 +256,7 @@ def _long_lines(frame: pd.DataFrame, profile: str) -> pd.DataFrame:
         sizes = [len(line) for line in content.split("\n")]
         if max(sizes) > 300:
             line = sizes.index(max(sizes)) + 1
-            rows.append((review_id, file_id, filename, "style", "info", f"{profile}: {max(sizes)}", line, line, None, 0.5))
+            rows.append((review_id, file_id, filename, "style", "info", f"{profile}: {max(sizes)} of {len(frame)} files", line, line, None, 0.5))
     columns = [c.split()[0] for c in plugins.SCORER_SCHEMA.split(", ")]
     return pd.DataFrame(rows, columns=columns)
 
@@ -266,9 +266,9 @@ plugins.SCORERS["long-lines"] = _long_lines
 
 @query(
     "scorer_plugin",
-    over("files", """SELECT review_id, file_id, filename, 'quality: '||longest AS message,
+    over("files", """SELECT review_id, file_id, filename, 'quality: '||longest||' of '||n||' files' AS message,
          CAST(list_position(sizes, longest) AS INT) AS line_start, 'llm' AS source
-         FROM (SELECT *, list_max(sizes) AS longest FROM (SELECT *, list_transform(string_split(content, chr(10)),
+         FROM (SELECT *, list_max(sizes) AS longest FROM (SELECT *, count(*) OVER (PARTITION BY review_id) AS n, list_transform(string_split(content, chr(10)),
            lambda l: length(l)) AS sizes FROM files)) WHERE longest > 300"""),
 )
 def scorer_plugin(spark, sf_dir):
@@ -279,6 +279,18 @@ def scorer_plugin(spark, sf_dir):
     )
 
 
+@query(
+    "scorer_progress",
+    over("files", """SELECT review_id, CAST(count(*) AS BIGINT) AS files, CAST(count_if(longest > 300) AS BIGINT) AS findings
+         FROM (SELECT *, list_max(list_transform(string_split(content, chr(10)), lambda l: length(l))) AS longest FROM files)
+         GROUP BY review_id"""),
+)
+def scorer_progress(spark, sf_dir):
+    files = view(spark, sf_dir, "files")
+    found = plugins.score_batches(files, "long-lines", view(spark, sf_dir, "findings"), "quality")
+    return plugins.batch_progress(files, found)
+
+
 # --- text datasets -------------------------------------------------------------------
 
 _BATCHED = (TYPED, *GRAPH_STEPS, SIZED, SUMS, *ffd_steps(BUDGET))
