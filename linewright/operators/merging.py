@@ -20,6 +20,8 @@ from linewright.operators.spread import running_rank, running_sum_before
 FILE = ["review_id", "file_id"]
 PLACE = [*FILE, "line_start"]
 REACH = fv.MERGE_TOLERANCE
+# Arrival numbers of one detector lie between two multiples of this.
+TURN = 1 << 48
 # An absorber of one line and source ends on one of the lines in reach, each at most once.
 MAX_ABSORBERS = 2 * REACH + 1
 
@@ -31,7 +33,7 @@ def union_findings(*sources: DataFrame) -> DataFrame:
     bits, its own order below.
     """
     staged = [
-        df.withColumn("ord", F.lit(i).cast("long") * (1 << 48) + F.col("ord"))
+        df.withColumn("ord", F.lit(i).cast("long") * TURN + F.col("ord"))
         for i, df in enumerate(sources)
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), staged)

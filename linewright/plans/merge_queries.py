@@ -145,7 +145,7 @@ def merge_findings(spark, sf_dir):
     over("findings", f"SELECT {_FIELDS}, members FROM merged", *GREEDY_STEPS, recursive=True),
 )
 def merge_findings_large(spark, sf_dir):
-    """The same merge with every file of ten or more findings on the distributed path."""
+    """The merge once more: one form serves files with any number of findings."""
     return merging.merge_findings(view(spark, sf_dir, "findings"))
 
 

@@ -31,6 +31,6 @@ def test_entry(spark):
     import __spark_entry__ as contract
 
     result = contract.entry(spark)
-    assert result.columns == ["review_id", "files", "findings", "project_score"]
+    assert result.columns == ["review_id", "files", "findings", "critical", "project_score"]
     assert result.count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
