@@ -58,9 +58,10 @@ def _block(i: int) -> Column:
     return F.shiftrightunsigned("print", BLOCK_BITS * i).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
 
 
-def _near_values(radius: int) -> list[int]:
+def _near_values(radius: int) -> Column:
     """All differences of a block that change at most ``radius`` bits."""
-    return [v for v in range(1 << BLOCK_BITS) if v.bit_count() <= radius]
+    every = F.sequence(F.lit(0), F.lit((1 << BLOCK_BITS) - 1))
+    return F.filter(every, lambda d: F.bit_count(d) <= radius)
 
 
 def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
@@ -130,7 +131,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius
     window_rows = cut_lineage(window_rows, "window-shingles")
     window_prints = _fingerprint(window_rows, keys)
     item_prints = _fingerprint(item_rows, ["item", "n"])
-    differences = F.array(*[F.lit(v) for v in _near_values(radius // BLOCKS)])
+    differences = _near_values(radius // BLOCKS)
     index = None
     for i in range(BLOCKS):
         entries = item_prints.select(
