@@ -58,7 +58,10 @@ def stream_subscribe(spark, sf_dir):
     "stream_progress",
     over("review_events", """SELECT review_id, arg_max(type, ord) AS last_type,
          CAST(count_if(type = 'BATCH_COMPLETED') AS BIGINT) AS batches_done,
-         CAST(sum(new_findings) AS BIGINT) AS findings, max(ord) FILTER (type = 'REVIEW_FAILED') AS failed_at
+         CAST(sum(new_findings) AS BIGINT) AS findings, max(ord) FILTER (type = 'REVIEW_FAILED') AS failed_at,
+         arg_max(total_batches, ord) FILTER (total_batches IS NOT NULL) AS total_batches,
+         arg_max(score, ord) FILTER (score IS NOT NULL) AS score,
+         arg_max(error_message, ord) FILTER (error_message IS NOT NULL) AS error_message
          FROM review_events GROUP BY review_id"""),
 )
 def stream_progress(spark, sf_dir):

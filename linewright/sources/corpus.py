@@ -197,7 +197,10 @@ FROM events WHERE event_type IN ('click','error')""",
 SELECT user_id AS review_id, event_id AS ord, ts,
        CASE event_type WHEN 'purchase' THEN 'REVIEW_COMPLETED' WHEN 'error' THEN 'REVIEW_FAILED'
             ELSE 'BATCH_COMPLETED' END AS type,
-       CAST(floor(value/100) AS INT) AS new_findings
+       CAST(floor(value/100) AS INT) AS new_findings,
+       CASE WHEN event_type NOT IN ('purchase', 'error') THEN CAST(5+user_id%7 AS INT) END AS total_batches,
+       CASE WHEN event_type = 'purchase' THEN CAST(event_id%101 AS INT) END AS score,
+       CASE WHEN event_type = 'error' THEN 'error '||event_id END AS error_message
 FROM events""",
     "reviews": """
 SELECT o_orderkey AS review_id, o_custkey AS user_id,

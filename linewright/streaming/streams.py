@@ -89,15 +89,17 @@ def sequence_events(events: DataFrame) -> DataFrame:
     def step(batch: DataFrame, number: int, folder: str) -> None:
         spark = batch.sparkSession
         batch = batch.persist()  # ranked and counted
-        used = _earlier(spark, folder, "used", number, schema).groupBy("review_id").agg(F.sum("used").alias("base"))
-        ranked = running_rank(batch, ["review_id"], "ord", "rank")
-        numbered = ranked.join(used, "review_id", "left").withColumn(
-            "sequence_number", (F.col("rank") + F.coalesce("base", F.lit(0))).cast("long")
-        ).drop("rank", "base")
-        _write(numbered, folder, "events", number)
-        counts = batch.groupBy("review_id").agg(F.count(F.lit(1)).alias("used"))
-        _write(counts, folder, "used", number)
-        batch.unpersist()
+        try:
+            used = _earlier(spark, folder, "used", number, schema).groupBy("review_id").agg(F.sum("used").alias("base"))
+            ranked = running_rank(batch, ["review_id"], "ord", "rank")
+            numbered = ranked.join(used, "review_id", "left").withColumn(
+                "sequence_number", (F.col("rank") + F.coalesce("base", F.lit(0))).cast("long")
+            ).drop("rank", "base")
+            _write(numbered, folder, "events", number)
+            counts = batch.groupBy("review_id").agg(F.count(F.lit(1)).alias("used"))
+            _write(counts, folder, "used", number)
+        finally:
+            batch.unpersist()
 
     folder = per_batch(events, "stream-sequence", step, remembered={"used": schema})
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
@@ -115,16 +117,24 @@ def subscribe_all(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 
 def progress(events: DataFrame) -> DataFrame:
-    """Latest state per review: last type, finished batches, findings so far.
+    """Latest state per review: last type, finished and all batches, findings so far, and the
+    last score and error text told.
 
     The aggregate keeps one row of state per review and combines map-side; each batch
     writes the rows that changed, and the newest row of a review is its state.
     """
-    state = events.groupBy("review_id").agg(
+    # Events that carry no score, total or error text tell none.
+    optional = {"total_batches": "int", "score": "int", "error_message": "string"}
+    missing = {n: F.lit(None).cast(t) for n, t in optional.items() if n not in events.columns}
+    state = events.withColumns(missing).groupBy("review_id").agg(
         F.max_by("type", "ord").alias("last_type"),
         F.count_if(F.col("type") == "BATCH_COMPLETED").alias("batches_done"),
         F.sum(F.col("new_findings").cast("long")).alias("findings"),
         F.max(F.when(F.col("type") == "REVIEW_FAILED", F.col("ord"))).alias("failed_at"),
+        *[
+            F.max_by(name, F.when(F.col(name).isNotNull(), F.col("ord"))).alias(name)
+            for name in optional
+        ],
     )
 
     def step(batch: DataFrame, number: int, folder: str) -> None:
@@ -133,12 +143,12 @@ def progress(events: DataFrame) -> DataFrame:
     folder = per_batch(state, "stream-progress", step, mode="update")
     spark = events.sparkSession
     changes = spark.read.schema(
-        "review_id long, last_type string, batches_done long, findings long, failed_at long, batch long"
+        "review_id long, last_type string, batches_done long, findings long, failed_at long, "
+        "total_batches int, score int, error_message string, batch long"
     ).parquet(f"{folder}/state")
-    newest = changes.groupBy("review_id").agg(
-        F.max(F.struct("batch", "last_type", "batches_done", "findings", "failed_at")).alias("s")
-    )
-    return newest.select("review_id", "s.last_type", "s.batches_done", "s.findings", "s.failed_at")
+    told = ("last_type", "batches_done", "findings", "failed_at", "total_batches", "score", "error_message")
+    newest = changes.groupBy("review_id").agg(F.max(F.struct("batch", *told)).alias("s"))
+    return newest.select("review_id", *[f"s.{name}" for name in told])
 
 
 def unseen_contents(files: DataFrame) -> DataFrame:
