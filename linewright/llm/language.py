@@ -17,6 +17,9 @@ from linewright.llm.registry import query, table
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 LETTER = r"\p{L}"
+#: Compression level, and the share of the runner-up that a clear winner saves at least.
+LEVEL = 6
+LEAST_MARGIN = 0.002
 
 RESULT = (
     "doc_id long, lang_pred string, score double, margin double, rejected boolean, runner_up string, "
@@ -30,7 +33,7 @@ def letters(text: str) -> bytes:
 
 
 def learn(
-    labelled: DataFrame, docs_per_language: int = 450, chars_per_doc: int = 300
+    labelled: DataFrame, docs_per_language: int = 900, chars_per_doc: int = 300
 ) -> dict[str, bytes]:
     """Raw dictionary content for every language of ``labelled`` (``doc_id, text, lang``).
 
@@ -101,7 +104,7 @@ def _classify_batches(contents: tuple[tuple[str, bytes], ...], level: int, least
 
 
 def identify(
-    docs: DataFrame, contents: dict[str, bytes], level: int = 5, least_margin: float = 0.002
+    docs: DataFrame, contents: dict[str, bytes], level: int = LEVEL, least_margin: float = LEAST_MARGIN
 ) -> DataFrame:
     """Language of every whole text: ``doc_id, lang_pred, score, margin, rejected, …``.
 
@@ -129,7 +132,7 @@ def _keep_batches(contents: tuple[tuple[str, bytes], ...], level: int, least_mar
 
 
 def keep_identified(
-    docs: DataFrame, contents: dict[str, bytes], level: int = 5, least_margin: float = 0.002
+    docs: DataFrame, contents: dict[str, bytes], level: int = LEVEL, least_margin: float = LEAST_MARGIN
 ) -> DataFrame:
     """The rows of ``docs`` that ``identify`` would not reject, with all their columns."""
     fixed = tuple(sorted(contents.items()))

@@ -51,7 +51,7 @@ def test_pipeline_equals_the_model(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
     learned = tuple(sorted(language.learn(docs.where(~language.held_out())).items()))
-    kept = [r for r in rows if not language.classify(r[1], learned, 5, 0.002)[3]]
+    kept = [r for r in rows if not language.classify(r[1], learned, language.LEVEL, language.LEAST_MARGIN)[3]]
     distinct = list(dict.fromkeys(kept))
     classes = models.similar_classes({i: r[1] for i, r in enumerate(distinct)})
     first: dict = {}
