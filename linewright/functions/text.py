@@ -48,12 +48,12 @@ def extension(filename: Column) -> Column:
     return F.lower(F.substring_index(filename, ".", -1))
 
 
-def sanitize_filename(filename: Column) -> Column:
+def sanitize_filename(filename: Column, longest: int = fv.MAX_FILENAME) -> Column:
     """Each removal is one pass, so removing can leave a new climbing step behind."""
     cleaned = F.replace(filename, F.lit("../"), F.lit(""))
     cleaned = F.replace(cleaned, F.lit("..\\"), F.lit(""))
     cleaned = F.regexp_replace(cleaned, r"[\x00-\x1f]", "")
-    return F.substring(cleaned, 1, fv.MAX_FILENAME)
+    return F.substring(cleaned, 1, longest)
 
 
 def detect_language(filename: Column) -> Column:
@@ -78,8 +78,8 @@ def lines_of_code(content: Column) -> Column:
     return F.regexp_count(content, F.lit(code_line))
 
 
-def is_binary(content: Column) -> Column:
-    return F.contains(F.substring(content, 1, fv.BINARY_PROBE_CHARS), F.lit("\x00"))
+def is_binary(content: Column, probe: int = fv.BINARY_PROBE_CHARS) -> Column:
+    return F.contains(F.substring(content, 1, probe), F.lit("\x00"))
 
 
 def token_estimate(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linewright import fixed_values as fv
-from linewright.session import cut_lineage
+from linewright.session import cut_lineage, drop_folder, fresh_path
 
 
 def import_candidates(source) -> F.Column:
@@ -48,7 +48,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     return relative.join(resolved, ["review_id", "source"])
 
 
-def _keep(edges: DataFrame) -> tuple[DataFrame, tuple]:
+def _keep(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
     """Write the edges out; count and hash sums are observed while they are written."""
     mark = F.xxhash64("u", "v")
     seen = Observation()
@@ -58,8 +58,9 @@ def _keep(edges: DataFrame) -> tuple[DataFrame, tuple]:
         F.bit_xor(mark).alias("xor"),
         F.sum(F.pmod(mark, F.lit(1 << 31))).alias("sum"),
     )
-    written = cut_lineage(watched, "edges")
-    return written, tuple(seen.get[k] for k in ("n", "xor", "sum"))
+    path = fresh_path(edges.sparkSession, "edges")
+    watched.write.parquet(path)
+    return edges.sparkSession.read.parquet(path), path, tuple(seen.get[k] for k in ("n", "xor", "sum"))
 
 
 def connected_components(files: DataFrame, edges: DataFrame) -> DataFrame:
@@ -69,10 +70,10 @@ def connected_components(files: DataFrame, edges: DataFrame) -> DataFrame:
     towards the smallest neighbour and end in stars after about the logarithm of the
     longest path, where plain label spreading needs its length. A round is joins with one
     minimum per node, so a node with very many edges is only a skewed join side. Each round
-    is written out; two equal rounds end the loop. ``edges`` has ``src`` and ``dst``.
+    is written out, and the one before it deleted; two equal rounds end the loop. ``edges`` has ``src`` and ``dst``.
     """
     a, b = F.col("src"), F.col("dst")
-    current, before = _keep(
+    current, path, before = _keep(
         edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     )
     while before[0]:
@@ -89,7 +90,9 @@ def connected_components(files: DataFrame, edges: DataFrame) -> DataFrame:
             .unionByName(below.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        current, after = _keep(small)
+        last = path
+        current, path, after = _keep(small)
+        drop_folder(last)
         if after == before:
             break
         before = after

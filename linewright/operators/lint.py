@@ -13,6 +13,36 @@ from linewright import fixed_values as fv
 from linewright.functions import patterns, text
 from linewright.operators import scan, structure
 
+STRIP_STRINGS = "\"[^\"]*\"|'[^']*'|`[^`]*`"
+STRIP_COMMENT = "//.*$"
+
+# (rule, level, pattern, on stripped line, TypeScript only, text), in rule order.
+LINT_LINE_RULES = (
+    ("no-eval", "error", r"\beval\s*\(", True, False, "eval can be harmful."),
+    ("no-implied-eval", "error",
+     r"\b(?:setTimeout|setInterval|execScript)\s*\(\s*['\"`]", False, False,
+     "Implied eval. Consider passing a function instead of a string."),
+    ("no-console", "warn", r"\bconsole\.\w+\s*\(", True, False, "Unexpected console statement."),
+    ("eqeqeq", "error", r"(?:^|[^=!<>])(?:==|!=)(?:[^=]|$)", True, False,
+     "Expected '===' or '!=='."),
+    ("no-var", "error", r"(?:^|[;({]|\bexport\s)\s*var\s", True, False,
+     "Unexpected var, use let or const instead."),
+    ("no-throw-literal", "error",
+     r"\bthrow\s+(?:['\"`0-9]|true\b|false\b|null\b)", False, False,
+     "Expected an error object to be thrown."),
+    ("@typescript-eslint/no-explicit-any", "warn",
+     r":\s*any\b|\bas\s+any\b|<any>", True, True,
+     "Unexpected any. Specify a different type."),
+)
+
+# (rule, level, text) of the rules that look at spans, blocks or groups.
+LINT_SPAN_RULES = {
+    "no-duplicate-imports": ("error", "import is duplicated."),
+    "max-lines-per-function": ("warn", "Function has too many lines. Maximum allowed is 50."),
+    "max-depth": ("warn", "Blocks are nested too deeply. Maximum allowed is 4."),
+    "complexity": ("warn", "Function has too high a complexity. Maximum allowed is 10."),
+}
+
 # One literal out of each tuple must be in the line before a rule's regex is tried.
 _NEEDS = {
     "no-eval": (("eval",),),
@@ -35,7 +65,7 @@ def stripped(line: Column) -> Column:
 
 def _without_strings(line: Column) -> Column:
     return F.regexp_replace(
-        F.regexp_replace(line, fv.STRIP_STRINGS, '""'), patterns.jvm(fv.STRIP_COMMENT), ""
+        F.regexp_replace(line, STRIP_STRINGS, '""'), patterns.jvm(STRIP_COMMENT), ""
     )
 
 
@@ -54,7 +84,7 @@ def is_linted(language: Column) -> Column:
 def rule_numbers(line: Column, bare: Column, language: Column, level: str | None = None) -> Column:
     """Positions of the line rules that fire; ``bare`` is the stripped line."""
     hits = []
-    for position, (rule, rule_level, pattern, on_bare, typed_only, _) in enumerate(fv.LINT_LINE_RULES):
+    for position, (rule, rule_level, pattern, on_bare, typed_only, _) in enumerate(LINT_LINE_RULES):
         if level is not None and rule_level != level:
             continue
         subject = bare if on_bare else line
@@ -90,7 +120,7 @@ def line_findings(files: DataFrame) -> DataFrame:
     def constant(values) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), place)
 
-    rules = fv.LINT_LINE_RULES
+    rules = LINT_LINE_RULES
     return hits.select(
         "review_id", "file_id", "filename",
         F.lit("eslint").alias("source"),
@@ -106,7 +136,7 @@ def line_findings(files: DataFrame) -> DataFrame:
 
 def _span_finding(df: DataFrame, rule: str, position: int) -> DataFrame:
     """Findings of one span rule from ``line_start`` and ``line_end``."""
-    level, message = fv.LINT_SPAN_RULES[rule]
+    level, message = LINT_SPAN_RULES[rule]
     return df.select(
         "review_id", "file_id", "filename",
         F.lit("eslint").alias("source"),
@@ -169,7 +199,7 @@ def span_findings(files: DataFrame) -> DataFrame:
     }
     marks = []
     for rule, (position, fires) in fired.items():
-        level, message = fv.LINT_SPAN_RULES[rule]
+        level, message = LINT_SPAN_RULES[rule]
         marks.append(
             F.when(
                 fires,

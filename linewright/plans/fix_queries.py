@@ -46,7 +46,7 @@ _PATTERN_STEPS = (
     """pattern_bad AS (SELECT DISTINCT ord, file_id FROM after_hits a WHERE NOT EXISTS (SELECT 1 FROM hits h
         WHERE h.file_id = a.file_id AND h.line_no = a.line_no AND h.rule_ord = a.rule_ord))""",
 )
-_ERRORS = [i for i, r in enumerate(fv.LINT_LINE_RULES) if r[1] == "error"]
+_ERRORS = [i for i, r in enumerate(lint.LINT_LINE_RULES) if r[1] == "error"]
 _ERROR_TESTS = ", ".join(f"CASE WHEN {lint_test(i)} THEN {i} END" for i in _ERRORS)
 
 

@@ -68,6 +68,16 @@ def manifest_filter(spark, sf_dir):
     return kept.select("repo_id", "listing_ord", "path", "position")
 
 
+@query(
+    "manifest_cut",
+    over("manifest",
+         f"SELECT repo_id, CAST(count(*) AS BIGINT) AS listed, CAST(greatest(count(*) - 20, 0) AS BIGINT) AS left_out "
+         f"FROM manifest WHERE {_MANIFEST_KEEP} GROUP BY repo_id"),
+)
+def manifest_cut(spark, sf_dir):
+    return ingest.manifest_cut(view(spark, sf_dir, "manifest"), base_path="src/", max_files=20)
+
+
 @query(
     "pr_filter",
     over("pr_files",

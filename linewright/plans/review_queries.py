@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linewright import fixed_values as fv
-from linewright.operators import review
-from linewright.operators.lint import category, severity
+from linewright.operators import lint, review
 from linewright.operators.merging import TURN as _TURN
 from linewright.plans.ingest_queries import LOC, SNIPPET
 from linewright.plans.merge_queries import GREEDY_STEPS
@@ -32,9 +30,9 @@ def _canned(spark, sf_dir):
 
 
 def _span(rule: str, position: int, first: str, last: str, rows: str) -> str:
-    level, message = fv.LINT_SPAN_RULES[rule]
+    level, message = lint.LINT_SPAN_RULES[rule]
     return (
-        f"SELECT review_id, file_id, filename, 'eslint', {sql_text(category(rule))}, {sql_text(severity(level))}, "
+        f"SELECT review_id, file_id, filename, 'eslint', {sql_text(lint.category(rule))}, {sql_text(lint.severity(level))}, "
         f"{sql_text(f'{rule}: {message}')}, {first}, {last}, {sql_text(rule)}, NULL, "
         f"CAST(2 * {_TURN} + {first} * 16 + {position} AS BIGINT) FROM {rows}"
     )

@@ -27,19 +27,19 @@ def _re(pattern: str) -> str:
 
 
 _BARE = (
-    f"regexp_replace(regexp_replace(line, {sql_text(fv.STRIP_STRINGS)}, '\"\"', 'g'), "
-    f"{_re(fv.STRIP_COMMENT)}, '')"
+    f"regexp_replace(regexp_replace(line, {sql_text(lint.STRIP_STRINGS)}, '\"\"', 'g'), "
+    f"{_re(lint.STRIP_COMMENT)}, '')"
 )
 
 
 def lint_test(position: int, line: str = "line", bare: str = "bare") -> str:
-    _, _, pattern, on_bare, typed_only, _ = fv.LINT_LINE_RULES[position]
+    _, _, pattern, on_bare, typed_only, _ = lint.LINT_LINE_RULES[position]
     test = f"regexp_matches({bare if on_bare else line}, {_re(pattern)})"
     return f"({test} AND language <> 'javascript')" if typed_only else test
 
 
 _LINT_TESTS = ", ".join(
-    f"CASE WHEN {lint_test(i)} THEN {i} END" for i in range(len(fv.LINT_LINE_RULES))
+    f"CASE WHEN {lint_test(i)} THEN {i} END" for i in range(len(lint.LINT_LINE_RULES))
 )
 LINT_STEPS = (
     f"""lint_hits AS (SELECT review_id, file_id, filename, line_no, unnest(list_filter([{_LINT_TESTS}],
@@ -48,7 +48,7 @@ LINT_STEPS = (
     + ", ".join(
         f"({i}, {sql_text(r[0])}, {sql_text(lint.severity(r[1]))}, {sql_text(lint.category(r[0]))}, "
         f"{sql_text(f'{r[0]}: {r[5]}')})"
-        for i, r in enumerate(fv.LINT_LINE_RULES)
+        for i, r in enumerate(lint.LINT_LINE_RULES)
     )
     + ")",
 )
@@ -215,7 +215,7 @@ def bracket_imbalance(spark, sf_dir):
 
 
 def _span_rule(rule: str, position: int, start: str, end: str) -> str:
-    level, message = fv.LINT_SPAN_RULES[rule]
+    level, message = lint.LINT_SPAN_RULES[rule]
     return (
         f"SELECT review_id, file_id, filename, 'eslint' AS source, {sql_text(lint.category(rule))} AS category, "
         f"{sql_text(lint.severity(level))} AS severity, {sql_text(f'{rule}: {message}')} AS message, "

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
@@ -56,3 +57,9 @@ def cut_lineage(df: DataFrame, label: str = "step") -> DataFrame:
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_folder(path: str) -> None:
+    """Delete a folder that ``fresh_path`` named and that nothing reads any more."""
+    file_system, place = fs.FileSystem.from_uri(path)
+    file_system.delete_dir(place)

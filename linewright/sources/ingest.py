@@ -81,43 +81,61 @@ def _in_skipped_folder(path, names) -> F.Column:
     return dotted | named
 
 
-def filter_manifest(manifest: DataFrame, base_path: str = "") -> DataFrame:
-    """Listing filter and the first fifty entries per repository in listing order.
-
-    The row number with an upper bound becomes a per-task limit before the shuffle, so a
-    repository with very many entries sends fifty rows per task and no more.
-    """
-    kept = manifest.where(
+def listed(
+    manifest: DataFrame, base_path: str = "", max_bytes: int = fv.LISTING_MAX_BYTES
+) -> DataFrame:
+    """Entries of the kinds, folders and sizes that a listing takes; 0 bytes where no size is told."""
+    return manifest.where(
         (F.col("type") == "blob")
         & text.one_of(text.extension(F.col("path")), fv.LISTING_EXTENSIONS)
         & ~_in_skipped_folder(F.col("path"), fv.LISTING_SKIP_DIRS)
         & F.col("path").startswith(base_path)
-        & (F.coalesce(F.col("size"), F.lit(0)) <= fv.LISTING_MAX_BYTES)
+        & (F.coalesce(F.col("size"), F.lit(0)) <= max_bytes)
     )
+
+
+def filter_manifest(
+    manifest: DataFrame, base_path: str = "", max_files: int = fv.LISTING_MAX_FILES, max_bytes: int = fv.LISTING_MAX_BYTES
+) -> DataFrame:
+    """The first ``max_files`` listed entries per repository in listing order.
+
+    The row number with an upper bound becomes a per-task limit before the shuffle, so a
+    repository with very many entries sends that many rows per task and no more.
+    ``manifest_cut`` tells how many entries that leaves out.
+    """
+    kept = listed(manifest, base_path, max_bytes)
     order = Window.partitionBy("repo_id").orderBy("listing_ord")
     return (
         kept.withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= fv.LISTING_MAX_FILES)
+        .where(F.col("position") <= max_files)
     )
 
 
-def filter_pull_request(files: DataFrame) -> DataFrame:
+def manifest_cut(
+    manifest: DataFrame, base_path: str = "", max_files: int = fv.LISTING_MAX_FILES, max_bytes: int = fv.LISTING_MAX_BYTES
+) -> DataFrame:
+    """Per repository: entries listed, and those that ``filter_manifest`` leaves out."""
+    counts = listed(manifest, base_path, max_bytes).groupBy("repo_id").agg(F.count(F.lit(1)).alias("listed"))
+    return counts.withColumn("left_out", F.greatest(F.col("listed") - max_files, F.lit(0)))
+
+
+def filter_pull_request(files: DataFrame, max_chars: int = fv.PR_MAX_CHARS) -> DataFrame:
     return files.where(
         (F.col("status") != "removed")
         & text.one_of(text.extension(F.col("filename")), fv.LISTING_EXTENSIONS)
         & ~_in_skipped_folder(F.col("filename"), fv.LISTING_SKIP_DIRS)
-        & (text.utf16_length(F.col("content")) <= fv.PR_MAX_CHARS)
+        & (text.utf16_length(F.col("content")) <= max_chars)
     )
 
 
-def filter_folder(paths: DataFrame) -> DataFrame:
+def filter_folder(paths: DataFrame, max_chars: int = fv.FOLDER_MAX_CHARS) -> DataFrame:
     """Files a user drops as a folder; a name without a dot has no extension at all."""
     return paths.where(
         F.col("path").contains(".")
         & text.one_of(text.extension(F.col("path")), fv.FOLDER_EXTENSIONS)
         & ~_in_skipped_folder(F.col("path"), fv.FOLDER_SKIP_DIRS)
         & (F.col("content") != "")
-        & (text.utf16_length(F.col("content")) <= fv.FOLDER_MAX_CHARS)
+        & (text.utf16_length(F.col("content")) <= max_chars)
     )
 
 
