@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from linewright import fixed_values as fv
 from linewright.operators import scan
+from linewright.session import cut_lineage
 
 ENTRY = ["content_hash", "rule_version"]
 _FOUND = ["source", "category", "severity", "message", "line_start", "line_end", "rule_id", "ord"]
@@ -62,13 +63,19 @@ def scan_distinct(files: DataFrame) -> DataFrame:
 
 
 def incremental_scan(files: DataFrame, heads: DataFrame, findings: DataFrame) -> DataFrame:
-    """Findings of a run: stored ones for known contents, a scan for the others."""
+    """Findings of a run: stored ones for known contents, a scan for the others.
+
+    Contents are hashed once, and what is known is settled on the narrow columns. The only
+    contents that are asked for again are those of files that have to be scanned.
+    """
     version = rule_version()
+    names = ["review_id", "file_id", "filename"]
+    hashed = cut_lineage(files.select(*names, "content_hash"), "hashed")
     current = newest(heads).where(F.col("rule_version") == version)
     stored = findings.join(current, [*ENTRY, "seq"], "left_semi").select("content_hash", *_FOUND)
-    names = ["review_id", "file_id", "filename"]
-    cached = known(files, heads).select(*names, "content_hash").join(stored, "content_hash")
-    fresh = scan.scan(unknown(files, heads))
+    cached = known(hashed, heads).join(stored, "content_hash")
+    missing = cut_lineage(unknown(hashed, heads).select("file_id"), "missing")
+    fresh = scan.scan(files.join(missing, "file_id", "left_semi"))
     return cached.select(*names, *_FOUND, F.lit(True).alias("cached")).unionByName(
         fresh.select(*names, *_FOUND, F.lit(False).alias("cached"))
     )

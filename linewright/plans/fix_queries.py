@@ -16,8 +16,9 @@ from linewright.plans.structure_queries import (
     _BARE, EXPORTS, LINT_STEPS, LINTED, SOURCE, TYPED, TYPED_FILES, code, imbalance,
     lint_test,
 )
+from linewright.session import cut_lineage
 from linewright.sources.code_corpus import expected_step
-from linewright.sources.corpus import text_table, view
+from linewright.sources.corpus import view, view_sql
 
 # --- fixes ---------------------------------------------------------------------------
 
@@ -130,7 +131,7 @@ def fix_status(spark, sf_dir):
 
 def _hashed(spark, sf_dir):
     """Plain documents as files: they hold exact copies of each other."""
-    docs = text_table(spark, sf_dir, "documents")
+    docs = view(spark, sf_dir, "hashed_docs")
     return docs.select(
         F.floor(F.col("doc_id") / 20).alias("review_id"),
         F.col("doc_id").alias("file_id"),
@@ -154,7 +155,10 @@ def _ledger(files):
     return heads, found.select("content_hash", version, seq, *_LEDGER)
 
 
-_HASHED = "hashed AS (SELECT doc_id AS file_id, text AS content, sha256(text) AS content_hash, lang FROM documents)"
+_HASHED = (
+    f"hashed_docs AS ({view_sql('hashed_docs', 'duckdb')}), "
+    "hashed AS (SELECT doc_id AS file_id, text AS content, sha256(text) AS content_hash, lang FROM hashed_docs)"
+)
 _KNOWN = "content_hash IN (SELECT content_hash FROM hashed WHERE lang = 'en')"
 _LATER = 1_000_000_000_000
 
@@ -211,7 +215,9 @@ def scan_distinct(spark, sf_dir):
 )
 def incremental_scan(spark, sf_dir):
     files = _hashed(spark, sf_dir)
-    return reuse.incremental_scan(files, *_ledger(files)).select("file_id", "rule_id", "line_start", "cached")
+    # The earlier run's tables are stored; this run reads them.
+    heads, rows = (cut_lineage(part, "ledger") for part in _ledger(files))
+    return reuse.incremental_scan(files, heads, rows).select("file_id", "rule_id", "line_start", "cached")
 
 
 # --- plug-ins ------------------------------------------------------------------------

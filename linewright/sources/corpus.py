@@ -167,6 +167,9 @@ FROM (SELECT doc_id, text,
              CASE doc_id%6 WHEN 0 THEN 'ts' WHEN 1 THEN 'py' WHEN 2 THEN 'java'
                   WHEN 3 THEN 'go' WHEN 4 THEN 'rs' ELSE 'c' END AS ext
       FROM documents) d""",
+    # Plain documents with two lines for the rules; copies of a document stay copies.
+    "hashed_docs": """
+SELECT doc_id, lang, text||chr(10)||<TPL:length(text)%25>||chr(10)||<TPL:(length(text)*7)%25> AS text FROM documents""",
     "findings": f"""
 SELECT event_id%5 AS review_id, user_id AS file_id, 'f'||user_id||'.ts' AS filename,
        CAST(floor(value) AS INT)+1 AS line_start,
