@@ -209,6 +209,26 @@ def findings_sink(spark, sf_dir):
     return ingest.read_by_review(spark, path)
 
 
+@query(
+    "review_sink",
+    over("reviews scored_files stored_findings", """SELECT 'review' AS kind, review_id, CAST(count(*) AS BIGINT) AS n,
+           CAST(sum(user_id) AS BIGINT) AS mark FROM reviews GROUP BY review_id
+         UNION ALL SELECT 'file', review_id, count(*), CAST(sum(health_score) AS BIGINT) FROM scored_files GROUP BY review_id
+         UNION ALL SELECT 'finding', review_id, count(*), CAST(sum(line_start) AS BIGINT) FROM stored_findings GROUP BY review_id"""),
+)
+def review_sink(spark, sf_dir):
+    """Reviews, files and findings are written and read back."""
+    path = fresh_path(spark, "review")
+    ingest.write_review(path, *(view(spark, sf_dir, name) for name in ("reviews", "scored_files", "stored_findings")))
+    parts = zip(("review", "file", "finding"), ("user_id", "health_score", "line_start"), ingest.read_review(spark, path))
+    told = [
+        rows.groupBy("review_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(mark).cast("long")).alias("mark"))
+        .select(F.lit(kind).alias("kind"), "review_id", "n", "mark")
+        for kind, mark, rows in parts
+    ]
+    return told[0].unionByName(told[1]).unionByName(told[2])
+
+
 _NUL_FILES = """nul_files AS (SELECT review_id, file_id, filename,
    CASE WHEN file_id % 9 = 0 THEN substr(content, 1, 20) || chr(0) || content
         WHEN file_id % 9 = 1 THEN repeat('a', 8192) || chr(0) ELSE content END AS content FROM files)"""
@@ -379,3 +399,24 @@ def validate_files(spark, sf_dir):
         F.col("text").alias("content"),
     )
     return validation.validate(files, **_CHECK)
+
+
+@query(
+    "text_files_ingest",
+    over("files", f"""SELECT 7::BIGINT AS review_id, 'name=' || filename AS folder, {LANGUAGE} AS language, {LOC} AS lines_of_code,
+         sha256(content) AS hash FROM files WHERE NOT contains(substr(content, 1, 8192), chr(0))"""),
+)
+def text_files_ingest(spark, sf_dir):
+    """Files are written as text, one folder each, read with the reader and prepared."""
+    path = fresh_path(spark, "text")
+    written = view(spark, sf_dir, "files").select(F.col("filename").alias("name"), F.col("content").alias("value"))
+    written.write.partitionBy("name").option("lineSep", "\x00").text(path)
+    read = ingest.read_text_files(spark, path, base=path.rsplit("/", 1)[-1], review_id=7)
+    # The writer ends each file with its separator; the folder is the file's own name.
+    named = read.withColumn("content", F.rtrim("content", F.lit("\x00"))).withColumn(
+        "filename", F.substring_index(F.substring_index("filename", "/", 1), "=", -1)
+    )
+    return ingest.prepare(named).select(
+        "review_id", F.concat(F.lit("name="), F.col("filename")).alias("folder"), "language",
+        F.col("lines_of_code").cast("long").alias("lines_of_code"), F.sha2("content", 256).alias("hash"),
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linewright import fixed_values as fv
+from linewright.session import cut_lineage
 from linewright.functions import text
 
 REVIEW_BUCKETS = 64
@@ -31,17 +32,24 @@ FINDING_MAP = T.MapType(
 )
 
 
-def read_text_files(spark: SparkSession, path: str, base: str = "") -> DataFrame:
-    """Every file below ``path`` as one row; the name is the path behind ``base``."""
+def read_text_files(spark: SparkSession, path: str, base: str = "", review_id: int = 0) -> DataFrame:
+    """Every file below ``path`` as one row of review ``review_id``; the name is the path behind ``base``.
+
+    ``path`` tells files apart. ``file_id`` numbers the files of this read, so the rows are
+    written out once and keep their numbers.
+    """
     raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
     name = F.col("_metadata.file_path")
     if base:
         name = F.substring_index(name, base.rstrip("/") + "/", -1)
-    return raw.select(
-        F.xxhash64("_metadata.file_path").alias("file_id"),
+    rows = raw.select(
+        F.lit(review_id).cast("long").alias("review_id"),
+        F.monotonically_increasing_id().alias("file_id"),
+        F.col("_metadata.file_path").alias("path"),
         name.alias("filename"),
         F.col("value").alias("content"),
     )
+    return cut_lineage(rows, "text-files")
 
 
 def ingest(files: DataFrame) -> DataFrame:
@@ -194,6 +202,20 @@ def read_by_review(spark: SparkSession, path: str, review_id: int | None = None)
     return stored.drop("review_bucket")
 
 
+def write_review(path: str, reviews: DataFrame, files: DataFrame, findings: DataFrame) -> None:
+    """The three tables of reviews below one folder, each laid out by review bucket."""
+    for name, rows in (("reviews", reviews), ("files", files), ("findings", findings)):
+        write_by_review(rows, f"{path}/{name}")
+
+
+def read_review(spark: SparkSession, path: str, review_id: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored reviews, files and findings; one review reads its own buckets only."""
+    reviews, files, findings = (
+        read_by_review(spark, f"{path}/{name}", review_id) for name in ("reviews", "files", "findings")
+    )
+    return reviews, files, findings
+
+
 def review_headers(files: DataFrame) -> DataFrame:
     """``total_files`` counts every input, ``analyzed_files`` only text ones."""
     return files.groupBy("review_id").agg(
