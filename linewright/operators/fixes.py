@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from linewright import fixed_values as fv
 from linewright.functions import text
-from linewright.operators import lint, scan, structure
+from linewright.operators import lint, scan
+from linewright.operators.spread import running_sum_before
+from linewright.session import cut_lineage
 
 FILE = ["review_id", "file_id"]
 _CRITICAL = tuple(rule[0] for rule in fv.LINE_RULES if rule[3] == "critical")
@@ -42,102 +44,157 @@ def apply_fix(findings: DataFrame, files: DataFrame, how: str = "inner") -> Data
     )
 
 
-def syntax_check(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds ``regressed``: brackets are further from balance; only where a grammar is known."""
-    checked = apply_fix(findings, files)
-    worse = structure.bracket_imbalance(F.col("fixed_content")) > structure.bracket_imbalance(F.col("content"))
-    return checked.withColumn(
-        "regressed", F.col("language").isin(*fv.PARSED_LANGUAGES) & worse
-    ).drop("content", "fixed_content")
+def _sized(files: DataFrame) -> DataFrame:
+    """Narrow row per file: language, number of lines, and open less closing brackets per kind."""
+    content = F.col("content")
+    return files.select(
+        *FILE, "language", text.line_count(content).alias("_n"), F.array(*_balances(content)).alias("_total")
+    )
 
 
-def _hit(line: Column, rule: Column) -> Column:
-    return F.struct(line.cast("int").alias("line"), rule.alias("rule"))
+def _balances(line: Column) -> list[Column]:
+    """Opening less closing brackets of each kind."""
+    def count(char: str) -> Column:
+        return F.length(line) - F.length(F.replace(line, F.lit(char), F.lit("")))
 
+    return [(count(a) - count(b)).cast("long") for a, b in ("()", "[]", "{}")]
 
-def _regressed(
-    findings: DataFrame, files: DataFrame, hits: DataFrame, numbers, how: str = "inner", also: Column | None = None
-) -> DataFrame:
-    """Adds ``regressed``: a hit afterwards that was not there before, by rule and line.
 
-    The file is not scanned again for each fix. Lines in front keep their hits, lines
-    behind keep theirs at shifted numbers, and only the lines of the fix are tested.
-    ``hits`` has the hits of each file, at most a few per line of one file.
+def _placed(findings: DataFrame, sized: DataFrame, how: str) -> DataFrame:
+    """Findings that suggest a fix: lines kept in front, lines gone by its end, lines it brings."""
+    wanted = findings.where(F.coalesce("suggested_fix", F.lit("")) != "")
+    # Written once: every check asks for these rows several times.
+    return cut_lineage(
+        wanted.join(sized, FILE, how)
+        .withColumn("_front", F.least(F.greatest(F.lit(0), F.col("line_start") - 1), F.col("_n")))
+        .withColumn("_end", F.least(F.col("_n"), F.col("line_end")))
+        .withColumn("_size", text.line_count(F.col("suggested_fix"))),
+        "placed",
+    )
+
+
+def _unbalanced(placed: DataFrame, files: DataFrame) -> DataFrame:
+    """``FILE, ord`` of fixes after which brackets are further from balance.
+
+    What a fix takes away is a difference of two running sums over the lines that hold
+    brackets, so no fix reads its file again.
     """
-    per_file = hits.groupBy(*FILE).agg(F.collect_list(_hit(F.col("line_no"), F.col("rule"))).alias("_before"))
-    lines = text.split_lines(F.col("content"))
-    front, end = _bounds(lines)
-    placed = (
-        apply_fix(findings, files, how)
-        .withColumn("_also", F.lit(False) if also is None else F.coalesce(also, F.lit(False)))
-        .drop("fixed_content")
-        .withColumn("_front", front)
-        .withColumn("_end", end)
-        .withColumn(
-            "_fix",
-            F.transform(
-                text.split_lines(F.col("suggested_fix")),
-                lambda line: F.struct(line.alias("line"), lint.stripped(line).alias("bare")),
-            ),
-        )
-        .drop("content")
-        .join(per_file, FILE, "left")
-        .withColumn("_before", F.coalesce("_before", F.expr("array()").cast("array<struct<line:int,rule:int>>")))
+    parsed = placed.where(F.col("language").isin(*fv.PARSED_LANGUAGES))
+    lines = scan.explode_lines(files.where(F.col("language").isin(*fv.PARSED_LANGUAGES)), *FILE)
+    steps = lines.select(
+        *FILE, F.col("line_no").cast("int").alias("_line"), F.posexplode(F.array(*_balances(F.col("line")))).alias("_kind", "_d")
+    ).where("_d <> 0")
+    # A running sum before line x + 1 covers the lines up to x.
+    asked = parsed.select(*FILE, F.explode(F.array("_front", "_end")).alias("_at")).distinct().select(
+        *FILE, (F.col("_at") + 1).cast("int").alias("_line"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("_kind"),
+        F.lit(0).cast("long").alias("_d"),
     )
-    shift = F.col("_front") + F.size("_fix") - F.col("_end")
-    kept = F.filter("_before", lambda h: h["line"] <= F.col("_front"))
-    moved = F.transform(
-        F.filter("_before", lambda h: h["line"] > F.col("_end")),
-        lambda h: _hit(h["line"] + shift, h["rule"]),
+    points = steps.unionByName(asked).groupBy(*FILE, "_kind", "_line").agg(F.sum("_d").alias("_d"))
+    sums = running_sum_before(points, [*FILE, "_kind"], "_line", "_d", "_sum")
+    upto = (
+        sums.groupBy(*FILE, (F.col("_line") - 1).alias("_at"))
+        .agg(F.array_sort(F.collect_list(F.struct("_kind", "_sum")))["_sum"].alias("_sums"))
     )
-    fresh = F.flatten(
-        F.transform(
-            "_fix",
-            lambda line, i: F.transform(
-                numbers(line["line"], line["bare"], F.col("language")), lambda rule: _hit(F.col("_front") + i + 1, rule)
-            ),
+
+    def at(name: str) -> DataFrame:
+        return upto.select(*FILE, F.col("_at").alias(f"_{name}"), F.col("_sums").alias(f"_sums_{name}"))
+
+    both = parsed.join(at("front"), [*FILE, "_front"]).join(at("end"), [*FILE, "_end"])
+    fix = F.array(*_balances(F.col("suggested_fix")))
+    before = sum((F.abs(F.col("_total")[k]) for k in range(3)), F.lit(0))
+    after = sum(
+        (F.abs(F.col("_sums_front")[k] + fix[k] + F.col("_total")[k] - F.col("_sums_end")[k]) for k in range(3)), F.lit(0)
+    )
+    return both.where(after > before).select(*FILE, "ord")
+
+
+def _new_hits(placed: DataFrame, hits: DataFrame, numbers) -> DataFrame:
+    """``FILE, ord`` of fixes with a hit afterwards that was not there before, by rule and line.
+
+    Lines in front keep their hits. Lines of the fix are tested alone. Lines behind take
+    theirs along to shifted numbers, and a shift is the same for all fixes of a file that
+    change its length alike: per file and shift the last hit that lands where none was
+    decides, and it counts for each fix that ends above it. After a shift downwards the
+    file's last hit is always such a one.
+    """
+    line = F.struct(F.col("_text").alias("line"), lint.stripped(F.col("_text")).alias("bare"))
+    fresh = (
+        placed.where("language IS NOT NULL")
+        .select(*FILE, "ord", "language", "_front", F.posexplode(text.split_lines(F.col("suggested_fix"))).alias("_i", "_text"))
+        .withColumn("_l", line)
+        .select(
+            *FILE, "ord", (F.col("_front") + F.col("_i") + 1).cast("int").alias("line_no"),
+            F.explode(numbers(F.col("_l.line"), F.col("_l.bare"), F.col("language"))).alias("rule"),
         )
+        .join(hits, [*FILE, "line_no", "rule"], "left_anti")
+        .select(*FILE, "ord")
     )
-    new = F.array_except(F.concat(kept, fresh, moved), F.col("_before"))
-    return placed.withColumn("regressed", (F.size(new) > 0) | F.col("_also")).drop(
-        "_front", "_end", "_fix", "_before", "_also"
+    moving = placed.withColumn("_shift", F.col("_front") + F.col("_size") - F.col("_end")).where("_shift <> 0")
+    last = hits.groupBy(*FILE).agg(F.max("line_no").alias("_last"))
+    down = moving.where("_shift > 0").join(last, FILE).where("_last > _end").select(*FILE, "ord")
+    up = moving.where("_shift < 0")
+    landed = (
+        up.select(*FILE, "_shift").distinct().join(hits, FILE)
+        .select(*FILE, "_shift", F.col("line_no").alias("_from"), (F.col("line_no") + F.col("_shift")).cast("int").alias("line_no"), "rule")
+        .join(hits, [*FILE, "line_no", "rule"], "left_anti")
+        .groupBy(*FILE, "_shift")
+        .agg(F.max("_from").alias("_last"))
     )
+    moved = up.join(landed, [*FILE, "_shift"]).where("_last > _end").select(*FILE, "ord")
+    return fresh.unionByName(down).unionByName(moved)
 
 
-def pattern_check(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """New critical hits of the rule catalogue; a fix that changes the number of lines
-    moves old hits, which then count as new."""
-    affected = files.join(_files_with_fix(findings), FILE, "left_semi")
-    hits = scan.line_hits(affected, *FILE, rules=_CRITICAL).withColumnRenamed("rule_ord", "rule")
-    return _regressed(findings, files, hits, lambda line, *_: scan.rule_numbers(line, _CRITICAL))
+def _with_regressed(placed: DataFrame, bad: DataFrame) -> DataFrame:
+    marks = bad.distinct().withColumn("_bad", F.lit(True))
+    return placed.join(marks, [*FILE, "ord"], "left").withColumn("regressed", F.coalesce("_bad", F.lit(False))).drop(
+        "_n", "_total", "_front", "_end", "_size", "_bad"
+    )
 
 
-def lint_check(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """The same for the line rules of lint at error level, in script files."""
-    script = files.where(lint.is_linted(F.col("language")))
-    affected = script.join(_files_with_fix(findings), FILE, "left_semi")
-    lines = scan.explode_lines(affected, *FILE, "language").withColumn("bare", lint.stripped(F.col("line")))
+def syntax_check(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Adds ``regressed``: brackets are further from balance; only where a grammar is known."""
+    placed = _placed(findings, _sized(files), "inner")
+    return _with_regressed(placed, _unbalanced(placed, files))
 
-    def numbers(line, bare, language):
-        return lint.rule_numbers(line, bare, language, "error")
 
+def _catalogue_numbers(line: Column, *_) -> Column:
+    return scan.rule_numbers(line, _CRITICAL)
+
+
+def _error_numbers(line: Column, bare: Column, language: Column) -> Column:
+    return lint.rule_numbers(line, bare, language, "error")
+
+
+def _line_hits(files: DataFrame, numbers) -> DataFrame:
+    lines = scan.explode_lines(files, *FILE, "language").withColumn("bare", lint.stripped(F.col("line")))
     hits = lines.select(
-        *FILE, "line_no",
+        *FILE, F.col("line_no").cast("int").alias("line_no"),
         F.explode(numbers(F.col("line"), F.col("bare"), F.col("language"))).alias("rule"),
     )
-    return _regressed(findings, script, hits, numbers)
+    return cut_lineage(hits, "hits")
+
 
+def pattern_check(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """New critical hits of the rule catalogue; a fix that changes the number of lines
+    moves old hits, which then count as new."""
+    placed = _placed(findings, _sized(files), "inner")
+    return _with_regressed(placed, _new_hits(placed, _line_hits(files, _catalogue_numbers), _catalogue_numbers))
 
-def _files_with_fix(findings: DataFrame) -> DataFrame:
-    return findings.where(F.coalesce("suggested_fix", F.lit("")) != "").select(*FILE).distinct()
+
+def lint_check(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """The same for the line rules of lint at error level, in script files."""
+    script = files.where(lint.is_linted(F.col("language")))
+    placed = _placed(findings, _sized(script), "inner")
+    return _with_regressed(placed, _new_hits(placed, _line_hits(script, _error_numbers), _error_numbers))
 
 
 def fix_status(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``fix_status``.
 
     No fix or any regression is ``unavailable``, all checks passed is ``verified``, and a
-    fix whose file is missing cannot be checked and stays ``unverified``. All three checks
-    share one join with the contents and one pass over the lines of the affected files.
+    fix whose file is missing cannot be checked and stays ``unverified``. ``ord`` tells the
+    findings of a file apart. Contents are read where their lines are tested; joins see
+    line numbers, rules and bracket counts only.
     """
     has_fix = F.coalesce("suggested_fix", F.lit("")) != ""
     findings = findings.drop("fix_status")
@@ -146,29 +203,19 @@ def fix_status(findings: DataFrame, files: DataFrame) -> DataFrame:
     def numbers(line, bare, language):
         """Critical catalogue rules as they are, lint errors behind them."""
         shift = len(fv.LINE_RULES)
-        errors = F.transform(lint.rule_numbers(line, bare, language, "error"), lambda n: n + shift)
+        errors = F.transform(_error_numbers(line, bare, language), lambda n: n + shift)
         none = F.expr("array()").cast("array<int>")
-        return F.concat(
-            scan.rule_numbers(line, _CRITICAL), F.when(lint.is_linted(language), errors).otherwise(none)
-        )
+        return F.concat(_catalogue_numbers(line), F.when(lint.is_linted(language), errors).otherwise(none))
 
-    affected = files.join(_files_with_fix(findings), FILE, "left_semi")
-    lines = scan.explode_lines(affected, *FILE, "language").withColumn("bare", lint.stripped(F.col("line")))
-    hits = lines.select(
-        *FILE, "line_no", F.explode(numbers(F.col("line"), F.col("bare"), F.col("language"))).alias("rule")
-    )
     keep = findings.columns
-    worse = structure.bracket_imbalance(F.col("fixed_content")) > structure.bracket_imbalance(F.col("content"))
-    checked = _regressed(
-        findings, files, hits, numbers,
-        how="left",
-        also=F.col("language").isin(*fv.PARSED_LANGUAGES) & worse,
-    )
+    placed = _placed(findings, _sized(files), "left")
+    known = placed.where("language IS NOT NULL")
+    bad = _unbalanced(known, files).unionByName(_new_hits(known, _line_hits(files, numbers), numbers))
     status = (
         F.when(F.col("language").isNull(), "unverified")
         .when(F.col("regressed"), "unavailable")
         .otherwise("verified")
     )
-    return checked.withColumn("fix_status", status).select(*keep, "fix_status").unionByName(
+    return _with_regressed(placed, bad).withColumn("fix_status", status).select(*keep, "fix_status").unionByName(
         idle.select(*keep, "fix_status")
     )
