@@ -41,17 +41,20 @@ def _shingles(df: DataFrame, keys: list[str], n: int) -> DataFrame:
 def _fingerprint(df: DataFrame, keys: list[str]) -> DataFrame:
     """SimHash of the shingles of each key: bit i is set if more of them have it than not.
 
-    A shingle counts as often as it occurs, which is its weight.
+    A shingle counts as often as it occurs, which is its weight. A key is one window or item,
+    so its list is no longer than an item.
     """
-    sums = [
-        F.sum(F.shiftright(F.col("h"), i).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{i}") for i in range(64)
-    ]
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), *sums)
-    print_ = F.lit(0).cast("long")
-    for i in range(64):
-        bit = F.when(F.col(f"b{i}") * 2 > F.col("size"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-        print_ = print_.bitwiseOR(F.shiftleft(bit, i))
-    return counted.select(*keys, "size", print_.alias("print"))
+    gathered = df.groupBy(*keys).agg(F.collect_list("h").alias("_hs")).withColumn("size", F.size("_hs").cast("long"))
+
+    def bit(i: Column) -> Column:
+        having = F.filter("_hs", lambda h: F.call_function("shiftright", h, i).bitwiseAND(F.lit(1).cast("long")) == 1)
+        return F.when(F.size(having) * 2 > F.col("size"), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+
+    mark = F.aggregate(
+        F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"),
+        lambda done, i: done.bitwiseOR(F.call_function("shiftleft", bit(i), i)),
+    )
+    return gathered.select(*keys, "size", mark.alias("print"))
 
 
 def _block(i: int) -> Column:
