@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewright.llm.registry import free_name, query, table
+from linewright.session import cut_lineage
 
 #: Slices of the sampling order per source: a running sum sorts one slice at a time.
 SLICES = 1 << 14
@@ -106,7 +107,8 @@ def mix(
     come out. An empty table gives no rows. Random numbers come from ``seed`` and the id, so
     reruns agree whatever the partitions are.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    # Texts are read once; what follows sees ids and sizes only.
+    sized = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     targets = target_sizes(
         sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most
     ).select(F.col("source").alias("_source"), "source_size", "target")
@@ -125,8 +127,11 @@ def mix(
         # Within a source p is one number, so slices of u are slices of the ranking.
         .withColumn("_slice", F.floor(F.col("_u") * SLICES).cast("int"))
     )
-    first = _words_before(rated, "_before").withColumn(
-        "_first", (F.col("_p") > 0) & (F.col("_before") + F.col("size") <= F.col("_goal"))
+    first = cut_lineage(
+        _words_before(rated, "_before").withColumn(
+            "_first", (F.col("_p") > 0) & (F.col("_before") + F.col("size") <= F.col("_goal"))
+        ),
+        "mix-first",
     )
     reached = (
         first.groupBy("source")
