@@ -188,7 +188,7 @@ def _ahead(hit_rows: DataFrame, wide: Column) -> DataFrame:
 def text_keys() -> dict[str, Column]:
     """128 bits that stand for a text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return {"t1": F.xxhash64(text), "t2": F.xxhash64(text, F.lit(1))}
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
 
 
 def contamination(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:

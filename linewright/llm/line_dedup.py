@@ -28,7 +28,7 @@ def _lines(text: Column) -> Column:
 
 def _mark(line: Column) -> Column:
     """128 bits that stand for a line or a row."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(line, F.lit(1)).alias("b"))
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
 def drop_boilerplate(
@@ -52,7 +52,7 @@ def drop_boilerplate(
     """
     base = pages.select("page_id", F.coalesce("host", F.lit("")).alias("host"), _lines(F.col("text")).alias("_lines"))
     keyed = base.withColumn(
-        "_row", F.struct(F.xxhash64("page_id", "host", "_lines").alias("a"), F.xxhash64("page_id", "host", "_lines", F.lit(1)).alias("b"))
+        "_row", F.struct(F.xxhash64("page_id", "host", "_lines").alias("a"), F.xxhash64(F.lit(1), "page_id", "host", "_lines").alias("b"))
     )
     marks = keyed.select(
         "_row", "host", F.explode(F.array_distinct(F.transform("_lines", _mark))).alias("mark")

@@ -287,7 +287,7 @@ def _ranked(parts: DataFrame, identity: list[str]) -> DataFrame:
 
 def _text_keys(text: Column) -> dict[str, Column]:
     """128 bits that stand for a text."""
-    return {"t1": F.xxhash64(text), "t2": F.xxhash64(text, F.lit(1))}
+    return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
 
 
 def _with_bodies(docs: DataFrame) -> DataFrame:
