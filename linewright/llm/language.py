@@ -20,6 +20,9 @@ LETTER = r"\p{L}"
 #: Compression level, and the share of the runner-up that a clear winner saves at least.
 LEVEL = 6
 LEAST_MARGIN = 0.002
+#: Bytes that are compressed at a time. What a dictionary saves is bounded, so each block starts
+#: from the dictionary again and the margin does not fall with the length of a text.
+BLOCK_BYTES = 4096
 
 RESULT = (
     "doc_id long, lang_pred string, score double, margin double, rejected boolean, runner_up string, "
@@ -74,13 +77,14 @@ def _compressors(contents: tuple[tuple[str, bytes], ...], level: int):
 def classify(text: str | None, contents: tuple[tuple[str, bytes], ...], level: int, least_margin: float):
     """``(lang, score, margin, rejected, runner_up, bytes)`` of one text.
 
-    The margin is the share of the second-smallest size that the smallest one saves. The score
+    Sizes are summed over the blocks of the whole text. The margin is the share of the second-smallest size that the smallest one saves. The score
     is a softmax over relative sizes, so one clear winner scores near 1 and equal sizes share.
     """
     body = letters(text) if text else b""
     if not body or not contents:
         return UNDETERMINED, 0.0, 0.0, True, None, None
-    sizes = sorted((len(c.compress(body)), lang) for lang, c in _compressors(contents, level))
+    blocks = [body[at : at + BLOCK_BYTES] for at in range(0, len(body), BLOCK_BYTES)]
+    sizes = sorted((sum(len(c.compress(b)) for b in blocks), lang) for lang, c in _compressors(contents, level))
     best, lang = sizes[0]
     score = 1.0 / sum(math.exp(-100.0 * (size - best) / best) for size, _ in sizes)
     if len(sizes) == 1:
@@ -108,8 +112,9 @@ def identify(
 ) -> DataFrame:
     """Language of every whole text: ``doc_id, lang_pred, score, margin, rejected, …``.
 
-    Each text is encoded once with the dictionary of each language and gets the language of
-    the smallest result; ties go to the first name by code point. A row is ``rejected`` if the
+    Each text is encoded once with the dictionary of each language, in blocks of
+    ``BLOCK_BYTES`` that each start from the dictionary, and gets the language of the smallest
+    summed size; ties go to the first name by code point. A row is ``rejected`` if the
     margin is narrower than ``least_margin`` or nothing could be decided. Rows are settled
     alone, without a shuffle.
 

@@ -50,3 +50,18 @@ def test_long_text_counts_whole():
     tail = "the quick brown fox jumps"
     lang, score, margin, rejected, other, size = language.classify("lorem ipsum dolor " * 50_000 + tail, contents, 5, 0.002)
     assert size > 0 and 0 <= score <= 1 and other in ("a", "b") and lang != other
+
+
+def test_margin_does_not_fall_with_the_length(spark):
+    docs = spark.read.parquet(DOCS)
+    learned = language.learn(docs.where(~language.held_out()))
+    texts = [r["text"] for r in docs.where("lang = 'en' and text is not null").orderBy("doc_id").select("text").collect()]
+    joined = " ".join(texts)
+    long = joined * (8_000_000 // len(joined) + 1)
+    rows = [(n, long[:n], "en") for n in (4_000, 1_000_000, 8_000_000)]
+    kept = language.keep_identified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), learned)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {n for n, _, _ in rows}
+    contents = tuple(sorted(learned.items()))
+    found = [language.classify(text, contents, language.LEVEL, language.LEAST_MARGIN) for _, text, _ in rows]
+    assert all(f[0] == "en" for f in found)
+    assert found[2][2] > 0.5 * found[0][2]
