@@ -85,12 +85,63 @@ def _words_before(df: DataFrame, out: str) -> DataFrame:
     )
 
 
+def _with_copies(rows: DataFrame, sampled: Column) -> DataFrame:
+    copies = F.col("_whole") + F.when(sampled, 1).otherwise(0)
+    return rows.select(
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
+        (copies * F.col("size")).alias("taken"),
+    )
+
+
+def _filled(first: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``_row`` of what goes on in the order of ``first`` with every document that still fits.
+
+    While the gap of a source lies in [2**g, 2**(g+1)), smaller rows always fit and at most one
+    of 2**g or more does. So one running sum of the smaller ones finds the row that brings the
+    gap below 2**g, and there are at most as many rounds as a gap has bits.
+    """
+    same = F.col("source").eqNullSafe(F.col("_source"))
+    rest = first.where(~F.col("_first") & (F.col("_p") > 0) & (F.col("size") > 0)).select(
+        "_row", "source", "doc_id", "size", "_q", "_slice"
+    )
+    taken = first.where(F.lit(False)).select("_row")
+    place = F.struct("_q", F.col("doc_id").isNull().alias("none"), "doc_id", "size", "_before", "_row")
+    while True:
+        rest = cut_lineage(rest.join(gaps, same).where(F.col("size") <= F.col("_gap")).drop("_source"), "mix-rest")
+        if rest.isEmpty():
+            return taken
+        power = F.pow(F.lit(2.0), F.floor(F.log2("_gap")))
+        banded = rest.withColumn("_words", F.col("size")).withColumn("_small", F.col("size") < power)
+        summed = _words_before(
+            banded.withColumn("size", F.when(F.col("_small"), F.col("size")).otherwise(0)), "_before"
+        ).withColumn("size", F.col("_words"))
+        left = F.col("_gap") - F.col("_before") - F.col("size")
+        ends = F.when(F.col("_small"), left < power).otherwise(left >= 0)
+        placed = cut_lineage(summed.withColumn("_place", place).withColumn("_ends", ends), "mix-placed")
+        last = placed.where("_ends").groupBy("source").agg(F.min("_place").alias("_last")).select(
+            F.col("source").alias("_source"), "_last"
+        )
+        upto = F.col("_last").isNull() | (F.col("_place") <= F.col("_last"))
+        settled = cut_lineage(
+            placed.join(last, same, "left").withColumn(
+                "_takes", F.when(F.col("_small"), upto).otherwise(F.col("_place") == F.col("_last"))
+            ).select("_row", "source", "doc_id", "size", "_q", "_slice", "_gap", F.coalesce("_takes", F.lit(False)).alias("_takes")),
+            "mix-settled",
+        )
+        taken = taken.union(settled.where("_takes").select("_row"))
+        gaps = settled.groupBy("source").agg(
+            (F.first("_gap") - F.sum(F.when(F.col("_takes"), F.col("size")).otherwise(0))).alias("_gap")
+        ).select(F.col("source").alias("_source"), "_gap")
+        rest = settled.where(~F.col("_takes")).drop("_gap", "_takes")
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = (1, 2, 3),
     share: float = 1.0,
     most: float = 3.0,
     seed: int = 17,
+    fill: bool = False,
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
 
@@ -99,7 +150,9 @@ def mix(
     random number over the odds of p, and the sample takes them in that order up to its fixed
     size, which is counted in words so that long documents do not move a source off its
     target. A first pass stops before the document that would pass the size; a second pass
-    goes on in the same order with those that still fit.
+    goes on in the same order with those that are no larger than the gap, and stops for good
+    before the one that would pass it, as the SQL of op4 does. With ``fill`` it goes past such
+    documents and takes every later one that still fits, until none does.
 
     Needs ``doc_id, text, source``; other columns are not read. Null or blank texts have size
     0 and are taken 0 words. Null sources are one source, the last. Null ids are ranked as
@@ -127,17 +180,23 @@ def mix(
         # Within a source p is one number, so slices of u are slices of the ranking.
         .withColumn("_slice", F.floor(F.col("_u") * SLICES).cast("int"))
     )
-    first = cut_lineage(
-        _words_before(rated, "_before").withColumn(
-            "_first", (F.col("_p") > 0) & (F.col("_before") + F.col("size") <= F.col("_goal"))
-        ),
-        "mix-first",
+    ranked = _words_before(rated, "_before").withColumn(
+        "_first", (F.col("_p") > 0) & (F.col("_before") + F.col("size") <= F.col("_goal"))
     )
+    first = cut_lineage(ranked.withColumn("_row", F.monotonically_increasing_id()) if fill else ranked, "mix-first")
     reached = (
         first.groupBy("source")
         .agg(F.sum(F.when(F.col("_first"), F.col("size")).otherwise(0)).alias("_reached"))
         .select(F.col("source").alias("_source"), "_reached")
     )
+    if fill:
+        gaps = (
+            first.select("source", "_goal").distinct()
+            .join(reached, F.col("source").eqNullSafe(F.col("_source")))
+            .select("_source", (F.col("_goal") - F.col("_reached")).alias("_gap"))
+        )
+        more = _filled(first, gaps).withColumn("_more", F.lit(True))
+        return _with_copies(first.join(more, "_row", "left"), F.col("_first") | F.coalesce("_more", F.lit(False)))
     open_rows = (
         first.join(reached, F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source", "_before")
@@ -154,11 +213,7 @@ def mix(
         "_before",
     ).withColumn("size", F.col("_size"))
     second = F.col("_fits") & (F.col("_before") + F.col("size") <= F.col("_gap"))
-    copies = F.col("_whole") + F.when(F.col("_first") | second, 1).otherwise(0)
-    return refill.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
-    )
+    return _with_copies(refill, F.col("_first") | second)
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import random
 from collections import Counter
 
@@ -40,6 +41,43 @@ def test_mix_equals_the_model(spark, seed):
     )
 
 
+def filled_by_hand(rows, seed=17):
+    """Copies of each row of one source with weight 1 of (1, 2): past what overshoots, to the end of the order."""
+    total = sum(n for _, s, n in rows)
+    small = [i for i, r in enumerate(rows) if r[1] == "a"]
+    size = sum(rows[i][2] for i in small)
+    target = total / 3
+    whole = int(target / size)
+    p, gap = target / size - whole, target - whole * size
+
+    def u(i):
+        return (int(hashlib.md5(f"{seed}:{rows[i][0]}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+
+    copies = {i: whole for i in small}
+    for i in sorted(small, key=lambda i: (u(i), rows[i][0], rows[i][2])):
+        if 0 < rows[i][2] <= gap:
+            gap -= rows[i][2]
+            copies[i] += 1
+    return Counter((rows[i][0], rows[i][2], c) for i, c in copies.items() if rows[i][2]), target - gap
+
+
+def test_fill_goes_past_documents_that_overshoot(spark):
+    gained = 0
+    for seed in (1, 2, 3):
+        rng = random.Random(seed)
+        rows = [(i, "a", rng.choice([rng.randrange(0, 60), rng.randrange(200, 3000)])) for i in range(120)]
+        rows += [(7, "a", 40), (7, "a", 40), (500, "b", 70_000), (501, "b", 1000)]
+        frame = spark.createDataFrame([(d, s, " ".join(["w"] * n)) for d, s, n in rows], "doc_id long, source string, text string")
+        got = [r for r in mixing.mix(frame.repartition(3), weights=(1, 2), fill=True).collect() if r["source"] == "a"]
+        want, reached = filled_by_hand(rows)
+        assert Counter((r["doc_id"], r["size"], r["copies"]) for r in got if r["size"]) == want
+        assert sum(r["taken"] for r in got) == round(reached)
+        short = sum(r["taken"] for r in mixing.mix(frame, weights=(1, 2)).collect() if r["source"] == "a")
+        assert short <= reached
+        gained += reached - short
+    assert gained > 0
+
+
 def test_mix_of_nothing(spark):
     docs, got = mixed(spark, [(1, "a", None), (2, "b", 0)])
     assert [(r["taken"], r["target"]) for r in got] == [(0, 0.0), (0, 0.0)]
