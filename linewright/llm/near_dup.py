@@ -113,23 +113,6 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def _candidates(forests: np.ndarray, depth: int) -> np.ndarray:
-    """Pairs with a common path of ``depth`` labels in some tree, as a matrix.
-
-    The labels of a tree are sorted, so sets below one node of the trie stand together.
-    """
-    n = len(forests)
-    pairs = np.zeros((n, n), bool)
-    for tree in range(forests.shape[1]):
-        paths = np.ascontiguousarray(forests[:, tree, :depth]).view(f"S{2 * depth}").ravel()
-        order = np.argsort(paths, kind="stable")
-        differs = np.flatnonzero(paths[order][1:] != paths[order][:-1]) + 1
-        for node in np.split(order, differs):
-            if len(node) > 1:
-                pairs[np.ix_(node, node)] = True
-    return pairs
-
-
 def _spanning(pairs: np.ndarray) -> Iterator[tuple[int, int]]:
     """Edges that keep connected what the pairs connect, at most one per row."""
     root = list(range(len(pairs)))
@@ -148,23 +131,19 @@ def _spanning(pairs: np.ndarray) -> Iterator[tuple[int, int]]:
                 yield i, int(j)
 
 
-def _verify_batches(threshold: float, depth: int, trees: int, longest: int):
+def _verify_batches(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, groups in whole_groups(batches, ["component", "left", "right"]):
-            names = ("left", "right", "block", "rep", "copies", "shingles", "forest")
+            names = ("left", "right", "block", "rep", "copies", "shingles")
             columns = {n: rows.column(n).to_pylist() for n in names}
             reps, links, docs, others = [], [], [], []
             for a, b in groups:
                 # A row that is in the table twice is one text.
                 at = list({columns["rep"][i]: i for i in range(a, b)}.values())
                 sets = [np.frombuffer(columns["shingles"][i], np.uint64) for i in at]
-                forests = np.stack(
-                    [np.frombuffer(columns["forest"][i], ">u2").reshape(trees, longest) for i in at]
-                )
                 sizes = np.array([len(s) for s in sets], np.float64)
                 common = _overlaps(sets).astype(np.float64)
                 similar = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-                similar &= _candidates(forests, depth)
                 np.fill_diagonal(similar, False)
                 left, right = columns["left"][at[0]], columns["right"][at[0]]
                 if left != right:
@@ -202,9 +181,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     Rows with the same set of five-word shingles are copies, and one of them stands for all.
     Each representative has a path in each of ``TREES`` tries of MinHash labels. Two of them
     are candidates if they share a path of some length; the length is shortened from the
-    leaves up until a pair at the ``threshold`` is found with probability ``recall``. Each
-    candidate pair is then checked on the whole sets, and links have Jaccard similarity of at
-    least ``threshold``. A class is what links connect, named by its smallest ``doc_id``.
+    leaves up until a pair at the ``threshold`` is found with probability ``recall``. All pairs
+    of what candidates connect are then checked on the whole sets, with a common path or
+    without, and links have Jaccard similarity of at least ``threshold``. A class is what links connect, named by its smallest ``doc_id``.
 
     Pairs are never rows. Candidates that hang together form a component, whose sets are sent
     there once; large components are cut into blocks, and each two blocks
@@ -260,7 +239,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         parts.join(sizes, "component")
         .join(reps, "rep")
         .select(
-            "rep", "component", "copies", "mark", "forest", "blocks",
+            "rep", "component", "copies", "mark", "blocks",
             F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"),
             F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"),
         )
@@ -268,20 +247,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     texts = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     sets = (
         texts.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-        .select("rep", "component", "copies", "mark", "forest", "blocks", "block", "text")
+        .select("rep", "component", "copies", "mark", "blocks", "block", "text")
         .mapInArrow(
             _set_batches,
-            "rep long, component long, copies long, forest binary, blocks int, block int, shingles binary",
+            "rep long, component long, copies long, blocks int, block int, shingles binary",
         )
     )
     # A text meets its own block and every other block of its component.
     meetings = sets.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "_other").alias("left"), F.greatest("block", "_other").alias("right"),
-        "block", "rep", "copies", "forest", "shingles",
+        "block", "rep", "copies", "shingles",
     )
     found = cut_lineage(
         gather(meetings, ["component", "left", "right"], "rep").mapInArrow(
-            _verify_batches(threshold, depth, TREES, DEPTH), FOUND
+            _verify_batches(threshold), FOUND
         ),
         "near-found",
     )

@@ -61,3 +61,11 @@ def test_real_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in near_dup.near_duplicates(docs).collect()}
     assert got == models.similar_classes(texts)
+
+
+def test_links_inside_a_component_need_no_common_path(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "depth_for", lambda *a, **b: near_dup.DEPTH)
+    monkeypatch.setattr(near_dup, "BLOCK_DOCS", 20)
+    texts = dict(enumerate(family(random.Random(5), 60, words=200, edits=4)))
+    got = {k: (r["class_id"], r["n_links"]) for k, r in run(spark, texts).items()}
+    assert got == models.similar_classes(texts)
