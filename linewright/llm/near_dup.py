@@ -1,4 +1,4 @@
-"""Jaccard join on word shingles through a MinHash LSH forest."""
+"""Jaccard join on word shingles through MinHash paths of one fixed depth."""
 
 from __future__ import annotations
 
