@@ -25,7 +25,7 @@ def test_one_query_per_operator_is_registered():
     import __spark_entry__ as contract
 
     names = contract.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
     assert "pipeline" in names
 
