@@ -11,13 +11,15 @@ from linewright.sources.corpus import table, view, view_sql
 from linewright.streaming import streams
 
 
-def stream_view(spark, sf_dir, name, source):
-    """A corpus view over a table that is read as a stream."""
-    schema = table(spark, sf_dir, source).schema
-    incoming = streams.read_files(spark, sf_dir, schema, f"{source}.parquet")
-    incoming.createOrReplaceTempView(f"linewright_stream_{source}")
+#: Slices in which the tables arrive; each one is a micro-batch of a stream that starts anew.
+ARRIVALS = 3
+
+
+def view_of(stream, name, source):
+    """A corpus view over a table that arrives as a stream."""
+    stream.createOrReplaceTempView(f"linewright_stream_{source}")
     sql = view_sql(name, "spark").replace(f"FROM {source}", f"FROM linewright_stream_{source}")
-    return spark.sql(sql)
+    return stream.sparkSession.sql(sql)
 
 
 @query(
@@ -26,7 +28,10 @@ def stream_view(spark, sf_dir, name, source):
          *SCAN_STEPS),
 )
 def stream_scan(spark, sf_dir):
-    found = streams.scan_stream(stream_view(spark, sf_dir, "files", "documents"))
+    def job(stream, folder):
+        return streams.scan_stream(view_of(stream, "files", "documents"), folder)
+
+    found = streams.in_arrivals(table(spark, sf_dir, "documents"), "doc_id", ARRIVALS, job)
     return found.select("file_id", "rule_id", "line_start")
 
 
@@ -36,8 +41,10 @@ def stream_scan(spark, sf_dir):
          AS sequence_number FROM review_events"""),
 )
 def stream_sequence(spark, sf_dir):
-    events = stream_view(spark, sf_dir, "review_events", "events").select("review_id", "ord", "type")
-    return streams.sequence_events(events)
+    def job(stream, folder):
+        return streams.sequence_events(view_of(stream, "review_events", "events").select("review_id", "ord", "type"), folder)
+
+    return streams.in_arrivals(table(spark, sf_dir, "events"), "event_id", ARRIVALS, job)
 
 
 @query(
@@ -47,11 +54,15 @@ def stream_sequence(spark, sf_dir):
 )
 def stream_subscribe(spark, sf_dir):
     """Every nation subscribes to the review of its number."""
-    events = stream_view(spark, sf_dir, "review_events", "events").select("review_id", "ord", "type")
     wanted = table(spark, sf_dir, "nation").select(
         F.col("n_name").alias("subscriber"), F.col("n_nationkey").cast("long").alias("review_id")
     )
-    return streams.subscribe_all(events, wanted)
+
+    def job(stream, folder):
+        events = view_of(stream, "review_events", "events").select("review_id", "ord", "type")
+        return streams.subscribe_all(events, wanted, folder)
+
+    return streams.in_arrivals(table(spark, sf_dir, "events"), "event_id", ARRIVALS, job)
 
 
 @query(
@@ -65,7 +76,10 @@ def stream_subscribe(spark, sf_dir):
          FROM review_events GROUP BY review_id"""),
 )
 def stream_progress(spark, sf_dir):
-    return streams.progress(stream_view(spark, sf_dir, "review_events", "events"))
+    def job(stream, folder):
+        return streams.progress(view_of(stream, "review_events", "events"), folder)
+
+    return streams.in_arrivals(table(spark, sf_dir, "events"), "event_id", ARRIVALS, job)
 
 
 @query(
@@ -73,8 +87,13 @@ def stream_progress(spark, sf_dir):
     "SELECT sha256(text) AS content_hash, min(doc_id) AS file_id FROM documents GROUP BY 1",
 )
 def stream_dedup(spark, sf_dir):
-    schema = table(spark, sf_dir, "documents").schema
-    docs = streams.read_files(spark, sf_dir, schema, "documents.parquet")
-    return streams.unseen_contents(
-        docs.select(text.content_hash(F.col("text")).alias("content_hash"), F.col("doc_id").alias("file_id"))
-    )
+    """Documents arrive a second apart; contents are remembered for longer than the table spans."""
+
+    def job(stream, folder):
+        files = stream.select(
+            text.content_hash(F.col("text")).alias("content_hash"), F.col("doc_id").alias("file_id"),
+            F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("event_time"),
+        )
+        return streams.unseen_within(files, "36500 days", folder)[0]
+
+    return streams.in_arrivals(table(spark, sf_dir, "documents"), "doc_id", ARRIVALS, job).select("content_hash", "file_id")

@@ -53,3 +53,75 @@ def test_unseen(spark, tmp_path):
     schema = "content_hash string, file_id long"
     stream = streams.read_files(spark, str(tmp_path / "in"), schema, "*.parquet", per_trigger=1)
     assert sorted(r.content_hash for r in streams.unseen_contents(stream).collect()) == ["h0", "h1", "h2", "h3"]
+
+
+def test_sequence_goes_on_after_a_restart(spark, tmp_path):
+    schema = "review_id long, ord long, type string, total_batches int"
+    parts = [
+        [(1, 5, "a", None), (1, 3, "b", 7), (2, 1, "c", None), (None, 9, "x", 1)],
+        [(1, 4, "late", 2), (1, 8, "d", None), (3, 2, "e", 1), (None, 2, "y", None)],
+        [(1, 9, "f", 3)],
+    ]
+    got = None
+    for rows in parts:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streams.read_files(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, "*.parquet")
+        got = streams.sequence_events(stream, f"{tmp_path}/out")
+    want = {
+        (1, 3, "b", 7, 1), (1, 5, "a", None, 2), (1, 4, "late", 2, 3), (1, 8, "d", None, 4), (1, 9, "f", 3, 5),
+        (2, 1, "c", None, 1), (3, 2, "e", 1, 1), (None, 9, "x", 1, 1), (None, 2, "y", None, 2),
+    }
+    assert {tuple(r) for r in got.collect()} == want
+    # Only the counters went from batch to batch: the second run read the new file alone.
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_arrivals_hold_every_row_once_in_order(spark):
+    rows = spark.createDataFrame([(n % 50,) for n in range(200)] + [(None,)], "k long")
+    parts = [sorted((r.k is None, r.k or 0) for r in p.collect()) for p in streams.arrivals(rows, "k", 4)]
+    assert sum(parts, []) == sorted((r.k is None, r.k or 0) for r in rows.collect()) and len(parts) == 4
+    assert [p.count() for p in streams.arrivals(rows.limit(0), "k", 4)] == [0]
+    assert sum(p.count() for p in streams.arrivals(spark.createDataFrame([(1,), (1,)], "k long"), "k", 3)) == 2
+
+
+def test_progress_stores_a_row_per_review(spark, batches, tmp_path):
+    rows, stream = batches
+    folder = str(tmp_path / "out")
+    assert streams.progress(stream, folder, buckets=2).count() == len({r[0] for r in rows})
+    stored = spark.read.parquet(f"{folder}/snapshot/rows/state")
+    # The newest change and the one before it, whatever the number of batches.
+    assert stored.count() <= 2 * len({r[0] for r in rows})
+    again = streams.progress(stream, folder, buckets=2)
+    assert again.count() == len({r[0] for r in rows})
+
+
+SEEN = "content_hash string, file_id long, event_time timestamp"
+
+
+def arrive(spark, tmp_path, rows, delay):
+    """One more file of the stream, run on from where it stopped."""
+    timed = [(h, i, None if t is None else 1_700_000_000 + t) for h, i, t in rows]
+    df = spark.createDataFrame(timed, "content_hash string, file_id long, t long").selectExpr(
+        "content_hash", "file_id", "timestamp_seconds(t) AS event_time"
+    )
+    df.repartition(3).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = streams.read_files(spark, f"{tmp_path}/in", df.schema, "*.parquet")
+    table, late = streams.unseen_within(stream, delay, f"{tmp_path}/out")
+    return {(r.content_hash, r.file_id) for r in table.collect()}, late
+
+
+def test_contents_are_forgotten_and_late_ones_are_counted(spark, tmp_path):
+    first = [("a", 3, 5), ("a", 1, 9), ("a", 2, 7), ("b", 4, 0), (None, 5, 3)]
+    seen, late = arrive(spark, tmp_path, first, "100 seconds")
+    assert seen == {("a", 1), ("b", 4), (None, 5)} and late == 0
+    more, late = arrive(spark, tmp_path, [("a", 0, 50), ("b", 9, 60), ("c", 6, 500)], "100 seconds")
+    assert more - seen == {("c", 6)} and late == 0
+    # The watermark is now at 400: what is older is late, and "a", known from 9, was forgotten at 109.
+    newer, late = arrive(spark, tmp_path, [("d", 7, 300), ("a", 8, 450), ("c", 9, 520), ("e", 1, 10), ("e", 2, 460), ("f", 3, None)], "100 seconds")
+    assert newer - more == {("a", 8), ("e", 1)} and late == 1
+
+
+def test_common_content_is_combined_before_the_shuffle(spark, tmp_path):
+    rows = [("hot", n, n % 50) for n in range(3000)] + [(f"h{n}", n, 1) for n in range(20)]
+    seen, _ = arrive(spark, tmp_path, rows, "1 hour")
+    assert ("hot", 0) in seen and len(seen) == 21
