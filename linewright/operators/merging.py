@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from linewright import fixed_values as fv
 from linewright.functions import text
 from linewright.operators.groups import gather, whole_groups
+from linewright.operators.line_blocks import line_blocks, read_ranges
 from linewright.operators.spread import running_rank, running_sum_before
 
 FILE = ["review_id", "file_id"]
@@ -327,19 +328,30 @@ def merge_findings(findings: DataFrame) -> DataFrame:
     return merge_assigned(assign(findings))
 
 
-def attach_snippets(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Adds the code around each finding; contents are read for files with findings only."""
+def attach_snippets(findings: DataFrame, files: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """Adds ``code_snippet``: a finding's lines with two lines of context on each side.
+
+    Findings meet the number of lines of their file, then the blocks of lines that their range lies in.
+    So no content is joined to a finding or split for it, and a file is cut into blocks once,
+    however many findings it has. ``blocks`` are those of ``line_blocks``, if there are some already.
+    Files that are missing or empty give no snippet; a range behind the last line gives an empty one.
+    """
     wanted = findings.drop("code_snippet")
-    lines = files.select(*FILE, F.nullif("content", F.lit("")).alias("content"))
+    content = F.nullif("content", F.lit(""))
+    counts = files.where(content.isNotNull()).select(*FILE, text.line_count(content).alias("_n"))
+    ranged = (
+        wanted.join(counts, FILE, "left")
+        .withColumn("_from", F.greatest(F.col("line_start") - 3, F.lit(0)))
+        .withColumn("_to", F.least(F.col("_n"), F.col("line_end") + 2))
+    )
+    inside = F.col("_n").isNotNull() & (F.col("_to") > F.col("_from"))
+    if blocks is None:
+        blocks = line_blocks(files)
+    read = read_ranges(ranged.where(inside), blocks)
     return (
-        wanted.join(lines, FILE, "left")
-        .withColumn(
-            "code_snippet",
-            text.code_snippet(
-                text.split_lines(F.col("content")), F.col("line_start"), F.col("line_end")
-            ),
-        )
-        .drop("content")
+        ranged.join(read, [*FILE, "_from", "_to"], "left")
+        .withColumn("code_snippet", F.when(F.col("_n").isNotNull(), F.coalesce("_text", F.lit(""))))
+        .drop("_n", "_from", "_to", "_text")
     )
 
 
