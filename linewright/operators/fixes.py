@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linewright import fixed_values as fv
 from linewright.functions import text
-from linewright.operators import lint, scan
+from linewright.operators import lint, scan, structure
+from linewright.operators.groups import gather, whole_groups
+from linewright.operators.shifts import Shifted
 from linewright.operators.spread import running_sum_before
 from linewright.session import cut_lineage
 
 FILE = ["review_id", "file_id"]
+#: Stands for the repeated imports among the numbers of line rules.
+_REPEATED_IMPORT = 1 << 10
 _CRITICAL = tuple(rule[0] for rule in fv.LINE_RULES if rule[3] == "critical")
 
 
@@ -73,16 +80,36 @@ def _placed(findings: DataFrame, sized: DataFrame, how: str) -> DataFrame:
     )
 
 
-def _unbalanced(placed: DataFrame, files: DataFrame) -> DataFrame:
+def _line_facts(files: DataFrame, numbers=None, brackets: bool = True) -> DataFrame:
+    """``FILE, line_no, rules, brackets`` of lines on which a rule fires or brackets do not pair.
+
+    The one pass over the lines of the files; all checks read what it wrote.
+    """
+    lines = scan.explode_lines(files, *FILE, "language").withColumn("bare", lint.stripped(F.col("line")))
+    none = F.expr("array()").cast("array<int>")
+    fired = none if numbers is None else numbers(F.col("line"), F.col("bare"), F.col("language"))
+    parsed = F.col("language").isin(*fv.PARSED_LANGUAGES) & F.lit(brackets)
+    facts = lines.select(
+        *FILE, F.col("line_no").cast("int").alias("line_no"), fired.alias("rules"),
+        F.when(parsed, F.array(*_balances(F.col("line")))).alias("brackets"),
+    )
+    told = (F.size("rules") > 0) | F.coalesce(F.exists("brackets", lambda d: d != 0), F.lit(False))
+    return cut_lineage(facts.where(told), "line-facts")
+
+
+def _hits(facts: DataFrame) -> DataFrame:
+    return facts.select(*FILE, "line_no", F.explode("rules").alias("rule"))
+
+
+def _unbalanced(placed: DataFrame, facts: DataFrame) -> DataFrame:
     """``FILE, ord`` of fixes after which brackets are further from balance.
 
     What a fix takes away is a difference of two running sums over the lines that hold
     brackets, so no fix reads its file again.
     """
     parsed = placed.where(F.col("language").isin(*fv.PARSED_LANGUAGES))
-    lines = scan.explode_lines(files.where(F.col("language").isin(*fv.PARSED_LANGUAGES)), *FILE)
-    steps = lines.select(
-        *FILE, F.col("line_no").cast("int").alias("_line"), F.posexplode(F.array(*_balances(F.col("line")))).alias("_kind", "_d")
+    steps = facts.select(
+        *FILE, F.col("line_no").alias("_line"), F.posexplode("brackets").alias("_kind", "_d")
     ).where("_d <> 0")
     # A running sum before line x + 1 covers the lines up to x.
     asked = parsed.select(*FILE, F.explode(F.array("_front", "_end")).alias("_at")).distinct().select(
@@ -115,7 +142,7 @@ def _new_hits(placed: DataFrame, hits: DataFrame, numbers) -> DataFrame:
     theirs along to shifted numbers, and a shift is the same for all fixes of a file that
     change its length alike: per file and shift the last hit that lands where none was
     decides, and it counts for each fix that ends above it. After a shift downwards the
-    file's last hit is always such a one.
+    file's last hit is always such a one; upwards it is searched for.
     """
     line = F.struct(F.col("_text").alias("line"), lint.stripped(F.col("_text")).alias("bare"))
     fresh = (
@@ -129,19 +156,127 @@ def _new_hits(placed: DataFrame, hits: DataFrame, numbers) -> DataFrame:
         .join(hits, [*FILE, "line_no", "rule"], "left_anti")
         .select(*FILE, "ord")
     )
-    moving = placed.withColumn("_shift", F.col("_front") + F.col("_size") - F.col("_end")).where("_shift <> 0")
+    return fresh.unionByName(_moved_hits(placed, hits))
+
+
+def _shift() -> Column:
+    """By how many lines a fix moves what lies behind it."""
+    return F.col("_front") + F.col("_size") - F.col("_end")
+
+
+def _moved_hits(placed: DataFrame, hits: DataFrame) -> DataFrame:
+    """``FILE, ord`` of fixes that move a hit to a line where that rule had none."""
+    moving = placed.withColumn("_shift", _shift()).where("_shift <> 0")
     last = hits.groupBy(*FILE).agg(F.max("line_no").alias("_last"))
     down = moving.where("_shift > 0").join(last, FILE).where("_last > _end").select(*FILE, "ord")
     up = moving.where("_shift < 0")
-    landed = (
-        up.select(*FILE, "_shift").distinct().join(hits, FILE)
-        .select(*FILE, "_shift", F.col("line_no").alias("_from"), (F.col("line_no") + F.col("_shift")).cast("int").alias("line_no"), "rule")
-        .join(hits, [*FILE, "line_no", "rule"], "left_anti")
-        .groupBy(*FILE, "_shift")
-        .agg(F.max("_from").alias("_last"))
+    asked = up.groupBy(*FILE, "_shift").agg(F.min("_end").alias("_floor"))
+    none = F.lit(None).cast("int")
+    told = hits.join(asked.select(*FILE).distinct(), FILE, "left_semi").select(
+        *[F.col(c).cast("long") for c in FILE], F.col("rule").cast("int").alias("rule"), F.col("line_no").cast("int").alias("line"),
+        none.alias("up"), none.alias("floor"),
+    ).unionByName(
+        asked.select(
+            *[F.col(c).cast("long") for c in FILE], F.lit(-1).alias("rule"), F.lit(0).alias("line"),
+            (-F.col("_shift")).cast("int").alias("up"), F.col("_floor").cast("int").alias("floor"),
+        )
     )
-    moved = up.join(landed, [*FILE, "_shift"]).where("_last > _end").select(*FILE, "ord")
-    return fresh.unionByName(down).unionByName(moved)
+    landed = gather(told, FILE, "rule", "line").mapInArrow(
+        _last_misses, "review_id long, file_id long, _up int, _last int"
+    )
+    moved = (
+        up.withColumn("_up", -F.col("_shift")).join(landed, [*FILE, "_up"]).where("_last > _end").select(*FILE, "ord")
+    )
+    return down.unionByName(moved)
+
+
+def _last_misses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per file and distance, the last hit that lands on a line without that rule's hit.
+
+    A file's hits and distances come together, numbers only. Each distance is settled by searches in
+    the sums over the hits, never by going through the hits.
+    """
+    for table, bounds in whole_groups(batches, FILE):
+        columns = {c: table.column(c).to_numpy() for c in ("rule", "line")}
+        for a, b in bounds:
+            rules, lines = columns["rule"][a:b], columns["line"][a:b]
+            asked = int((rules == -1).sum())
+            edges = [asked, *(asked + 1 + i for i in range(len(rules) - asked - 1) if rules[asked + i] != rules[asked + i + 1]), b - a]
+            by_rule = [Shifted(lines[x:y].tolist()) for x, y in zip(edges, edges[1:]) if y > x]
+            up, floor = (table.column(c).slice(a, asked).to_pylist() for c in ("up", "floor"))
+            found = []
+            for distance, lowest in zip(up, floor):
+                best = None
+                for hits in by_rule:
+                    miss = hits.last_miss(distance, lowest if best is None else best)
+                    best = best if miss is None else miss
+                if best is not None:
+                    found.append((distance, best))
+            if found:
+                key = [table.column(c)[a].as_py() for c in FILE]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[pa.array([k] * len(found), pa.int64()) for k in key],
+                        pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.int32()),
+                    ],
+                    names=[*FILE, "_up", "_last"],
+                )
+
+
+def _repeated_imports(placed: DataFrame, files: DataFrame) -> DataFrame:
+    """``FILE, ord`` of fixes after which an import repeats a module on a line where none did before.
+
+    The imports of the fixed file are those in front, those of the fix and those behind. A module's first
+    place settles most of it: an import of the fix repeats one that has its first place in front, or
+    an earlier one of the fix; a first place behind becomes a repeat if the fix imports the module. Repeats
+    behind move like other hits, except where the fix takes a first place away, which can
+    end them; only such fixes look at the imports behind them one by one.
+    """
+    script = placed.where(lint.is_linted(F.col("language")))
+    columns = [*FILE, F.col("line_no").cast("int").alias("line_no"), "part", "source"]
+    known = cut_lineage(structure.imports(files.where(lint.is_linted(F.col("language")))).select(*columns), "imports")
+    module, place = [*FILE, "source"], F.struct("line_no", "part")
+    # The module's places in a file, as runs of one line behind the other: bounded by the file.
+    before = Window.partitionBy(*module).orderBy("line_no", "part")
+    chained = known.withColumn("_previous", F.lag("line_no").over(before))
+    firsts = known.groupBy(*module).agg(F.min(place)["line_no"].alias("_first"))
+    repeats = chained.where("_previous IS NOT NULL").select(*FILE, "line_no").distinct()
+    brought = structure.imports(
+        script.select(*FILE, F.col("ord").cast("string").alias("filename"), "language", F.col("suggested_fix").alias("content"))
+    ).select(*FILE, F.col("filename").cast("long").alias("ord"), "source", F.col("line_no").alias("_i"), "part")
+    earlier = Window.partitionBy(*FILE, "ord", "source").orderBy("_i", "part")
+    brought = cut_lineage(
+        brought.withColumn("_n", F.row_number().over(earlier))
+        .join(script.select(*FILE, "ord", "_front", "_end", _shift().alias("_shift")), [*FILE, "ord"])
+        .join(firsts, module, "left"),
+        "fix-imports",
+    )
+
+    def at(rows: DataFrame, line: Column) -> DataFrame:
+        landed = rows.select(*FILE, "ord", line.cast("int").alias("line_no"))
+        return landed.join(repeats, [*FILE, "line_no"], "left_anti").select(*FILE, "ord")
+
+    own = at(brought.where((F.col("_n") > 1) | (F.col("_first") <= F.col("_front"))), F.col("_front") + F.col("_i"))
+    met = at(brought.where(F.col("_first") > F.col("_end")), F.col("_first") + F.col("_shift"))
+
+    # Fixes that take away the first place of a module with others.
+    heads = firsts.join(chained.where("_previous IS NOT NULL").select(*module).distinct(), module).select(
+        *FILE, F.col("_first").alias("_taken")
+    ).distinct()
+    spans = script.where("_end > _front").withColumn("_taken", F.explode(F.sequence(F.col("_front") + 1, F.col("_end"))))
+    taking = spans.join(heads, [*FILE, "_taken"], "left_semi").select(*FILE, "ord").distinct()
+    plain = script.join(taking, [*FILE, "ord"], "left_anti")
+    moved = _moved_hits(plain, repeats.withColumn("rule", F.lit(_REPEATED_IMPORT)))
+    fix_has = brought.select(*FILE, "ord", "source").distinct().withColumn("_has", F.lit(True))
+    behind = (
+        script.join(taking, [*FILE, "ord"]).withColumn("_shift", _shift()).where("_shift <> 0")
+        .select(*FILE, "ord", "_front", "_end", "_shift")
+        .join(chained, FILE).where(F.col("line_no") > F.col("_end"))
+        .join(firsts, module)
+        .join(fix_has, [*FILE, "ord", "source"], "left")
+        .where((F.col("_first") <= F.col("_front")) | F.col("_has") | (F.col("_previous") > F.col("_end")))
+    )
+    return own.unionByName(met).unionByName(moved).unionByName(at(behind, F.col("line_no") + F.col("_shift")))
 
 
 def _with_regressed(placed: DataFrame, bad: DataFrame) -> DataFrame:
@@ -154,7 +289,7 @@ def _with_regressed(placed: DataFrame, bad: DataFrame) -> DataFrame:
 def syntax_check(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Adds ``regressed``: brackets are further from balance; only where a grammar is known."""
     placed = _placed(findings, _sized(files), "inner")
-    return _with_regressed(placed, _unbalanced(placed, files))
+    return _with_regressed(placed, _unbalanced(placed, _line_facts(files)))
 
 
 def _catalogue_numbers(line: Column, *_) -> Column:
@@ -165,27 +300,21 @@ def _error_numbers(line: Column, bare: Column, language: Column) -> Column:
     return lint.rule_numbers(line, bare, language, "error")
 
 
-def _line_hits(files: DataFrame, numbers) -> DataFrame:
-    lines = scan.explode_lines(files, *FILE, "language").withColumn("bare", lint.stripped(F.col("line")))
-    hits = lines.select(
-        *FILE, F.col("line_no").cast("int").alias("line_no"),
-        F.explode(numbers(F.col("line"), F.col("bare"), F.col("language"))).alias("rule"),
-    )
-    return cut_lineage(hits, "hits")
-
-
 def pattern_check(findings: DataFrame, files: DataFrame) -> DataFrame:
     """New critical hits of the rule catalogue; a fix that changes the number of lines
     moves old hits, which then count as new."""
     placed = _placed(findings, _sized(files), "inner")
-    return _with_regressed(placed, _new_hits(placed, _line_hits(files, _catalogue_numbers), _catalogue_numbers))
+    hits = _hits(_line_facts(files, _catalogue_numbers, brackets=False))
+    return _with_regressed(placed, _new_hits(placed, hits, _catalogue_numbers))
 
 
 def lint_check(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """The same for the line rules of lint at error level, in script files."""
+    """The same for the rules of lint at error level, in script files: line rules and repeated imports."""
     script = files.where(lint.is_linted(F.col("language")))
     placed = _placed(findings, _sized(script), "inner")
-    return _with_regressed(placed, _new_hits(placed, _line_hits(script, _error_numbers), _error_numbers))
+    hits = _hits(_line_facts(script, _error_numbers, brackets=False))
+    bad = _new_hits(placed, hits, _error_numbers).unionByName(_repeated_imports(placed, script))
+    return _with_regressed(placed, bad)
 
 
 def fix_status(findings: DataFrame, files: DataFrame) -> DataFrame:
@@ -210,7 +339,8 @@ def fix_status(findings: DataFrame, files: DataFrame) -> DataFrame:
     keep = findings.columns
     placed = _placed(findings, _sized(files), "left")
     known = placed.where("language IS NOT NULL")
-    bad = _unbalanced(known, files).unionByName(_new_hits(known, _line_hits(files, numbers), numbers))
+    facts = _line_facts(files, numbers)
+    bad = _unbalanced(known, facts).unionByName(_new_hits(known, _hits(facts), numbers)).unionByName(_repeated_imports(known, files))
     status = (
         F.when(F.col("language").isNull(), "unverified")
         .when(F.col("regressed"), "unavailable")

@@ -150,16 +150,17 @@ def _span_finding(df: DataFrame, rule: str, position: int) -> DataFrame:
 
 
 def duplicate_imports(imports: DataFrame) -> DataFrame:
-    """Second and later import of one module in a file.
+    """Second and later import of one module in a file, also on the line of the first.
 
-    The first line of each module is an aggregate with a map-side half; a window would
+    The first place of each module is an aggregate with a map-side half; a window would
     sort all imports of a hot module in one task.
     """
     script = imports.where(is_linted(F.col("language")))
     keys = ["review_id", "file_id", "source"]
-    first = script.groupBy(*keys).agg(F.min("line_no").alias("first_line"), F.count(F.lit(1)).alias("n"))
+    place = F.struct("line_no", "part")
+    first = script.groupBy(*keys).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     repeated = first.where(F.col("n") > 1)
-    later = script.join(repeated, keys).where(F.col("line_no") > F.col("first_line"))
+    later = script.join(repeated, keys).where(place > F.col("first"))
     return _span_finding(
         later.withColumn("line_start", F.col("line_no")).withColumn("line_end", F.col("line_no")),
         "no-duplicate-imports", 8,

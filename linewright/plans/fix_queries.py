@@ -13,7 +13,7 @@ from linewright.plans.ingest_queries import FENCE, LANGUAGE
 from linewright.plans.registry import over, query, sql_list, sql_text, utf16
 from linewright.plans.scan_queries import SCAN_STEPS, hits_step, lines_step
 from linewright.plans.structure_queries import (
-    _BARE, EXPORTS, LINT_STEPS, LINTED, SOURCE, TYPED, TYPED_FILES, code, imbalance,
+    _BARE, _found, EXPORTS, LINT_STEPS, LINTED, SOURCE, TYPED, TYPED_FILES, code, imbalance,
     lint_test,
 )
 from linewright.session import cut_lineage
@@ -24,9 +24,10 @@ from linewright.sources.corpus import view, view_sql
 
 _FIXES = (
     "'JSON.parse(x)'", "'password = \"hunter2hunter2\"'", "'a();'||chr(10)||'b();'", "'if (a) {'", "NULL",
-    "'eval(x)'", "'const a = b == c'", "''",
+    "'eval(x)'", "'const a = b == c'", "''", "'import z from \"lib\"'",
+    "'import y from \"./n\"'||chr(10)||'import w from \"./n\"'",
 )
-_FIX_CASE = "CASE CAST(ord % 8 AS INT) " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FIXES)) + " END"
+_FIX_CASE = f"CASE CAST(ord % {len(_FIXES)} AS INT) " + " ".join(f"WHEN {i} THEN {f}" for i, f in enumerate(_FIXES)) + " END"
 _FOUND = f"""found AS (SELECT review_id, file_id, ord, line_no AS line_start, line_no + ord % 2 AS line_end, {_FIX_CASE} AS fix
   FROM (SELECT *, CAST(line_no * 16 + rule_ord AS BIGINT) + file_id AS ord FROM hits))"""
 _FIXED = (
@@ -56,12 +57,24 @@ def _lint_hits(lines: str, name: str) -> str:
       FROM (SELECT *, {_BARE} AS bare FROM {lines} WHERE language IN {LINTED}))"""
 
 
+def _repeats(name: str, lines: str, keys: str) -> str:
+    """Lines that import a module again."""
+    return f"""{name} AS (SELECT {keys}, line_no FROM (
+        SELECT *, row_number() OVER (PARTITION BY {keys}, source ORDER BY line_no) AS rn FROM (
+          SELECT {keys}, line_no, {_found('script')} AS source FROM {lines} WHERE language IN {LINTED}) WHERE source IS NOT NULL)
+      WHERE rn > 1)"""
+
+
 _LINT_FIX_STEPS = (
     f"typed_lines AS (SELECT *, {LANGUAGE} AS language FROM lines)",
     _lint_hits("typed_lines", "lint_before"),
     _lint_hits("after_lines", "lint_after"),
+    _repeats("import_before", "typed_lines", "file_id"),
+    _repeats("import_after", "after_lines", "file_id, ord"),
     """lint_bad AS (SELECT DISTINCT ord, file_id FROM lint_after a WHERE NOT EXISTS (SELECT 1 FROM lint_before h
-        WHERE h.file_id = a.file_id AND h.line_no = a.line_no AND h.n = a.n))""",
+        WHERE h.file_id = a.file_id AND h.line_no = a.line_no AND h.n = a.n)
+      UNION SELECT DISTINCT ord, file_id FROM import_after a WHERE NOT EXISTS (SELECT 1 FROM import_before h
+        WHERE h.file_id = a.file_id AND h.line_no = a.line_no))""",
 )
 _SYNTAX = (
     f"(language IN {sql_list(fv.PARSED_LANGUAGES)} AND {imbalance('after')} > {imbalance('content')})"
@@ -72,7 +85,7 @@ def _fix_inputs(spark, sf_dir):
     files = code(spark, sf_dir, "files")
     found = scan.scan(files).withColumn("ord", F.col("ord") + F.col("file_id"))
     options = [None if f == "NULL" else f.replace("'||chr(10)||'", "\n").strip("'") for f in _FIXES]
-    choice = F.element_at(F.array(*[F.lit(o).cast("string") for o in options]), (F.col("ord") % 8 + 1).cast("int"))
+    choice = F.element_at(F.array(*[F.lit(o).cast("string") for o in options]), (F.col("ord") % len(_FIXES) + 1).cast("int"))
     found = found.withColumn("suggested_fix", choice).withColumn(
         "line_end", (F.col("line_start") + F.col("ord") % 2).cast("int")
     )
@@ -234,8 +247,8 @@ def incremental_scan(spark, sf_dir):
            WHERE language IN {LINTED} AND complexity > 10
          UNION ALL SELECT file_id, 'eslint', 'max-depth', CAST(a AS INT) FROM known_deep WHERE language IN {LINTED}
          UNION ALL SELECT file_id, 'eslint', 'no-duplicate-imports', CAST(a AS INT) FROM (
-           SELECT *, min(a) OVER (PARTITION BY file_id, source) AS first FROM known_imports WHERE language IN {LINTED})
-           WHERE a > first""",
+           SELECT *, row_number() OVER (PARTITION BY file_id, source ORDER BY a, part) AS nth FROM known_imports WHERE language IN {LINTED})
+           WHERE nth > 1""",
          SOURCE, lines_step("code"), *SCAN_STEPS[1:], *LINT_STEPS, expected_step("function"),
          expected_step("deep", "known_deep"), expected_step("import", "known_imports")),
 )

@@ -49,8 +49,8 @@ _STEPS = (
       UNION ALL {_span("max-lines-per-function", 9, "a", "b", f"expected WHERE language IN {LINTED} AND b - a + 1 > 50")}
       UNION ALL {_span("complexity", 10, "a", "b", f"expected WHERE language IN {LINTED} AND complexity > 10")}
       UNION ALL {_span("max-depth", 11, "a", "a", f"known_deep WHERE language IN {LINTED}")}
-      UNION ALL {_span("no-duplicate-imports", 8, "a", "a", f'''(SELECT *, min(a) OVER (PARTITION BY file_id, source) AS first
-        FROM known_imports WHERE language IN {LINTED}) WHERE a > first''')}
+      UNION ALL {_span("no-duplicate-imports", 8, "a", "a", f'''(SELECT *, row_number() OVER (PARTITION BY file_id, source ORDER BY a, part) AS nth
+        FROM known_imports WHERE language IN {LINTED}) WHERE nth > 1''')}
       UNION ALL SELECT review_id, file_id, filename, 'llm', {sql_text(_MODEL[0])}, {sql_text(_MODEL[1])}, {sql_text(_MODEL[2])},
         {_MODEL[3]}, {_MODEL[4]}, NULL, 0.5::DOUBLE, 3 * {_TURN} FROM code WHERE file_id % 3 = 0)""",
     *[step.replace("arg_min(suggested_fix, (f.ord <> main, f.ord)) FILTER (suggested_fix <> '') AS suggested_fix,", "")
