@@ -11,6 +11,7 @@ from linewright.plans.registry import over, query, sql_case, sql_list, sql_text,
 from linewright.session import fresh_path
 from linewright.sources import ingest
 from linewright.sources.corpus import view
+from linewright.sources.review_store import ReviewStore
 
 EXT = "lower(string_split({0}, '.')[-1])"
 SPLIT = "string_split({0}, chr(10))"
@@ -229,6 +230,43 @@ def review_sink(spark, sf_dir):
     return told[0].unionByName(told[1]).unionByName(told[2])
 
 
+_MARKED = "findings JOIN (SELECT finding_ord, arg_max(feedback, seq) AS feedback FROM feedback GROUP BY 1) ON finding_ord = ord"
+
+
+@query(
+    "stored_reviews",
+    over("reviews scored_files findings feedback", f"""SELECT 'review' AS kind, review_id, NULL::BIGINT AS ord,
+           CASE WHEN status = 'ANALYZING' AND review_id % 2 = 0 THEN 'COMPLETED' ELSE status END AS told
+         FROM reviews WHERE status <> 'FAILED'
+         UNION ALL SELECT 'file', review_id, file_ord, filename FROM scored_files
+           WHERE review_id IN (SELECT review_id FROM reviews WHERE status <> 'FAILED')
+         UNION ALL SELECT 'finding', f.review_id, f.ord, m.feedback
+           FROM findings f LEFT JOIN (SELECT ord, feedback FROM {_MARKED}) m USING (ord)
+           WHERE review_id IN (SELECT review_id FROM reviews WHERE status <> 'FAILED')"""),
+)
+def stored_reviews(spark, sf_dir):
+    """Reviews are saved; then some end, findings get feedback, failed ones are deleted; what is stored is read."""
+    reviews = view(spark, sf_dir, "reviews")
+    files = view(spark, sf_dir, "scored_files")
+    found = view(spark, sf_dir, "findings").join(reviews.select("review_id"), "review_id", "left_semi").select(
+        "review_id", F.col("file_id").cast("int").alias("file_ord"), "ord", "message", F.lit(None).cast("string").alias("feedback")
+    )
+    ddl = [", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) for df in (reviews, files, found)]
+    store = ReviewStore(spark, fresh_path(spark, "stored-reviews"), *ddl)
+    store.save(reviews, files, found)
+    ended = reviews.where("status = 'ANALYZING' AND review_id % 2 = 0")
+    store.update_reviews(ended.select("review_id", F.lit("COMPLETED").alias("status")))
+    told = view(spark, sf_dir, "feedback").withColumnRenamed("finding_ord", "ord")
+    store.set_feedback(told.join(found.select("review_id", "file_ord", "ord"), "ord"))
+    store.delete(reviews.where("status = 'FAILED'"))
+    store.vacuum()
+    return (
+        store.read("reviews").select(F.lit("review").alias("kind"), "review_id", F.lit(None).cast("long").alias("ord"), F.col("status").alias("told"))
+        .unionByName(store.read("files").select(F.lit("file").alias("kind"), "review_id", F.col("file_ord").cast("long").alias("ord"), F.col("filename").alias("told")))
+        .unionByName(store.read("findings").select(F.lit("finding").alias("kind"), "review_id", "ord", F.col("feedback").alias("told")))
+    )
+
+
 _NUL_FILES = """nul_files AS (SELECT review_id, file_id, filename,
    CASE WHEN file_id % 9 = 0 THEN substr(content, 1, 20) || chr(0) || content
         WHEN file_id % 9 = 1 THEN repeat('a', 8192) || chr(0) ELSE content END AS content FROM files)"""

@@ -22,11 +22,9 @@ class KeyedStore:
     writer at a time is assumed.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, str], key: str, buckets: int = 16, spread: int = 1):
-        """``tables`` gives each table's schema as DDL; all of them have the column ``key``. A bucket is
-        written by ``spread`` tasks, for tables in which one key can have most of the rows."""
-        self.spark, self.folder, self.tables, self.key = spark, folder.rstrip("/"), tables, key
-        self.buckets, self.spread = buckets, spread
+    def __init__(self, spark: SparkSession, folder: str, tables: dict[str, str], key: str, buckets: int = 16):
+        """``tables`` gives each table's schema as DDL; all of them have the column ``key``."""
+        self.spark, self.folder, self.tables, self.key, self.buckets = spark, folder.rstrip("/"), tables, key, buckets
 
     def _bucket(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -67,9 +65,14 @@ class KeyedStore:
         stored = self.spark.read.schema(f"{schema}, _version long, _bucket int").parquet(f"{self.folder}/rows/{table}")
         return stored.where(named).drop("_version", "_bucket")
 
-    def read(self, table: str) -> DataFrame:
-        """The table as of the newest change."""
-        return self._rows(table, self._current()[1])
+    def read(self, table: str, key=None) -> DataFrame:
+        """The table as of the newest change; rows of one key come from its own bucket."""
+        versions = self._current()[1]
+        if key is None:
+            return self._rows(table, versions)
+        wanted = F.lit(key).cast(self.spark.createDataFrame([], self.tables[table]).schema[self.key].dataType)
+        bucket = self.spark.range(1).select(self._bucket(wanted)).first()[0]
+        return self._rows(table, versions, [bucket]).where(F.col(self.key) == wanted)
 
     def change(
         self, upserts: dict[str, tuple[DataFrame, list[str]]] | None = None, deletes: DataFrame | None = None, commit: int | None = None
@@ -110,9 +113,9 @@ class KeyedStore:
                     same &= F.col(n).eqNullSafe(F.col(f"_new_{n}"))
                 kept = kept.join(named, same, "left_anti").unionByName(rows)
             path = f"{self.folder}/rows/{table}/_version={number}"
-            kept.withColumn("_bucket", self._bucket(F.col(self.key))).repartition(
-                len(touched) * self.spread, "_bucket", F.pmod(F.xxhash64(*kept.columns), F.lit(self.spread))
-            ).write.mode("overwrite").partitionBy("_bucket").parquet(path)
+            # AQE packs small buckets together and splits one that a single key has made large.
+            bucketed = kept.withColumn("_bucket", self._bucket(F.col(self.key))).hint("rebalance", F.col("_bucket"))
+            bucketed.write.mode("overwrite").partitionBy("_bucket").parquet(path)
             new_versions.update({(table, b): number for b in touched})
         rows = [(t, b, v) for (t, b), v in new_versions.items()] or [("", -1, -1)]
         self.spark.createDataFrame(rows, "table string, bucket int, version long").coalesce(1).write.mode("overwrite").parquet(

@@ -79,3 +79,34 @@ def test_a_change_touches_the_buckets_of_its_keys(spark, tmp_path):
     store.change({"reviews": (rows.where("review_id = 7"), ["review_id"])})
     written = spark.read.parquet(f"{tmp_path}/s/rows/reviews").where("_version = 1")
     assert written.select("_bucket").distinct().count() == 1 and written.count() < 60
+
+
+def test_reviews_are_saved_updated_and_deleted(spark, tmp_path):
+    from linewright.sources.review_store import ReviewStore
+
+    ddl = ("review_id long, status string, project_score int", "review_id long, file_ord int, name string",
+           "review_id long, file_ord int, ord long, message string, feedback string")
+
+    def tables(ids, mark):
+        return (
+            spark.createDataFrame([(i, "ANALYZING", None) for i in ids], ddl[0]),
+            spark.createDataFrame([(i, f, f"{mark}{i}-{f}") for i in ids for f in range(2)], ddl[1]),
+            spark.createDataFrame([(i, f, n, mark, None) for i in ids for f in range(2) for n in range(2)], ddl[2]),
+        )
+
+    store = ReviewStore(spark, f"{tmp_path}/r", *ddl, buckets=3)
+    store.save(*tables(range(6), "a"))
+    reviews, files, findings = tables([2], "b")
+    store.save(reviews, files.where("file_ord = 0"), findings.where("file_ord = 0"))  # a review once more, with less
+    store.update_reviews(spark.createDataFrame([(1, "COMPLETED", 88), (77, "COMPLETED", 1)], "review_id long, status string, project_score int"))
+    store.set_feedback(spark.createDataFrame(
+        [(1, 0, 1, "first", 1), (1, 0, 1, "second", 5), (2, 1, 0, "to nothing", 1)], "review_id long, file_ord int, ord long, feedback string, seq long"
+    ))
+    store.delete(spark.createDataFrame([(0,), (5,), (99,)], "review_id long"))
+    assert sorted(map(tuple, store.read("reviews").collect())) == [
+        (1, "COMPLETED", 88), (2, "ANALYZING", None), (3, "ANALYZING", None), (4, "ANALYZING", None)
+    ]
+    assert {r.name for r in store.read("files").collect()} == {"a1-0", "a1-1", "b2-0", "a3-0", "a3-1", "a4-0", "a4-1"}
+    told = store.read("findings").where("feedback IS NOT NULL").collect()
+    assert [tuple(r) for r in told] == [(1, 0, 1, "a", "second")] and store.read("findings").count() == 14
+    assert sorted(r.ord for r in store.read("findings", 2).collect()) == [0, 1]
