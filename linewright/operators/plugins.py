@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linewright import fixed_values as fv
+from linewright.functions import text
 from linewright.operators import lint, responses, scan
 from linewright.operators.groups import gather, whole_groups
 from linewright.operators.merging import union_findings
@@ -106,6 +109,66 @@ def score_batches(
     return found.withColumn("source", F.lit("llm"))
 
 
+_MEASURED = pa.schema([*_SCORED, ("_files", pa.int64()), ("_tokens", pa.int64()), ("_found", pa.int64()), ("_millis", pa.float64())])
+
+
+def score_with_metrics(
+    files: DataFrame, scorer: str, canned: DataFrame, profile: str = "full", batch: tuple[str, ...] = ("review_id",)
+) -> tuple[DataFrame, DataFrame]:
+    """Findings as of ``score_batches``, and one row per batch: its columns, ``files, tokens, findings, millis``.
+
+    The call that makes the findings measures itself, and both tables come from one run, which is written
+    to the shared folder: a batch whose task is repeated tells the time of the attempt that counts.
+    ``tokens`` is the estimate for the contents. Canned findings are no call, so their batches have
+    no ``millis``.
+    """
+    if profile not in fv.PROFILE_TEXT:
+        raise ValueError(f"unknown profile {profile}")
+    keys = list(batch)
+    call = SCORERS.get(scorer)
+    sized = files.withColumn("_tokens", text.token_estimate(F.col("content")).cast("long"))
+    if call is None:
+        found = score_batches(files, scorer, canned, profile, batch)
+        per_file = found.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n"))
+        told = sized.select(*dict.fromkeys([*keys, "file_id"]), "_tokens").join(per_file, "file_id", "left").groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("files"), F.sum("_tokens").alias("tokens"),
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("findings"), F.lit(None).cast("double").alias("millis"),
+        )
+        return found, told
+    key_types = {k: files.schema[k].dataType.simpleString() for k in keys}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, bounds in whole_groups(batches, keys):
+            for low, high in bounds:
+                part = rows.slice(low, high - low)
+                frame = part.drop_columns(["_tokens"]).to_pandas()
+                began = time.perf_counter()
+                found = call(frame, profile)
+                spent = (time.perf_counter() - began) * 1000
+                table = pa.Table.from_pandas(found, _SCORED, preserve_index=False)
+                none = [pa.nulls(len(table), _MEASURED.field(n).type) for n in ("_files", "_tokens", "_found", "_millis")]
+                told = [pa.nulls(1, f.type) for f in _SCORED] + [
+                    pa.array([high - low], pa.int64()), pa.array([pc.sum(part.column("_tokens")).as_py()], pa.int64()),
+                    pa.array([len(table)], pa.int64()), pa.array([spent], pa.float64()),
+                ]
+                for columns, n in (([*(c.combine_chunks() for c in table.columns), *none], len(table)), (told, 1)):
+                    own = [pa.array([part.column(k)[0].as_py()] * n, part.schema.field(k).type) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*own, *columns], names=[*(f"_{k}" for k in keys), *_MEASURED.names])
+
+    kinds = ", ".join(f"_{k} {t}" for k, t in key_types.items())
+    measured = cut_lineage(
+        gather(sized, keys, "file_id").mapInArrow(run, f"{kinds}, {SCORER_SCHEMA}, _files long, _tokens long, _found long, _millis double"),
+        "scored",
+    )
+    names = [f.name for f in _SCORED]
+    found = measured.where("_files IS NULL").select(*names).withColumn("source", F.lit("llm"))
+    told = measured.where("_files IS NOT NULL").select(
+        *[F.col(f"_{k}").alias(k) for k in keys], F.col("_files").alias("files"), F.col("_tokens").alias("tokens"),
+        F.col("_found").alias("findings"), F.col("_millis").alias("millis"),
+    )
+    return found, told
+
+
 def batch_progress(files: DataFrame, found: DataFrame, batch: tuple[str, ...] = ("review_id",)) -> DataFrame:
     """What a batch tells when it is complete: its files and its findings."""
     keys = [*dict.fromkeys([*batch, "file_id"])]

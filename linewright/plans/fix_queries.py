@@ -10,7 +10,7 @@ from linewright.functions import text
 from linewright.operators import batching, fixes, lint, plugins, prompts, reuse, scan
 from linewright.plans.graph_queries import BUDGET, GRAPH_STEPS, SIZED, SUMS, ffd_steps, linked
 from linewright.plans.ingest_queries import FENCE, LANGUAGE
-from linewright.plans.registry import over, query, sql_list, sql_text, utf16
+from linewright.plans.registry import over, query, sql_list, sql_text, tokens, utf16
 from linewright.plans.scan_queries import SCAN_STEPS, hits_step, lines_step
 from linewright.plans.structure_queries import (
     _BARE, _found, EXPORTS, LINT_STEPS, LINTED, SOURCE, TYPED, TYPED_FILES, code, imbalance,
@@ -310,6 +310,20 @@ def scorer_progress(spark, sf_dir):
     return plugins.batch_progress(files, found)
 
 
+@query(
+    "batch_metrics",
+    over("files", f"""SELECT review_id, CAST(count(*) AS BIGINT) AS files, CAST(sum({tokens('content')}) AS BIGINT) AS tokens,
+         CAST(count_if(longest > 300) AS BIGINT) AS findings, true AS timed
+         FROM (SELECT *, list_max(list_transform(string_split(content, chr(10)), lambda l: length(l))) AS longest FROM files)
+         GROUP BY review_id"""),
+)
+def batch_metrics(spark, sf_dir):
+    """One row per batch of a scorer; the duration differs from run to run, so it only has to be there."""
+    files = view(spark, sf_dir, "files")
+    _, told = plugins.score_with_metrics(files, "long-lines", view(spark, sf_dir, "findings"), "quality")
+    return told.select("review_id", "files", "tokens", "findings", (F.col("millis") >= 0).alias("timed"))
+
+
 # --- text datasets -------------------------------------------------------------------
 
 _BATCHED = (TYPED, *GRAPH_STEPS, SIZED, SUMS, *ffd_steps(BUDGET))

@@ -371,3 +371,34 @@ def test_scorer_falls_back_to_canned(spark):
     assert [r.source for r in plugins.score_batches(files, "nobody", canned).collect()] == ["llm"]
     with pytest.raises(ValueError):
         plugins.score_batches(files, "nobody", canned, profile="odd")
+
+
+def test_batch_metrics_come_from_the_calls(spark):
+    import time
+
+    import pandas as pd
+
+    files = spark.createDataFrame(
+        [(1, n % 3, n, f"f{n}.ts", "x" * n) for n in range(1, 10)], "review_id long, batch int, file_id long, filename string, content string"
+    )
+    columns = ["review_id", "file_id", "filename", "category", "severity", "message", "line_start", "line_end", "suggested_fix", "confidence"]
+
+    def slow(frame, profile):
+        time.sleep(0.02)
+        return pd.DataFrame(
+            [(r.review_id, r.file_id, r.filename, "c", "info", profile, 1, 1, None, None) for r in frame.itertuples() if r.file_id > 4], columns=columns
+        )
+
+    plugins.SCORERS["slow-test"] = slow
+    canned = spark.createDataFrame([], "filename string, source string, category string, severity string, message string, "
+                                   "line_start int, line_end int, suggested_fix string, confidence double, position long")
+    try:
+        found, told = plugins.score_with_metrics(files, "slow-test", canned, "quality", ("review_id", "batch"))
+        rows = {r.batch: r for r in told.collect()}
+    finally:
+        del plugins.SCORERS["slow-test"]
+    assert sorted(r.file_id for r in found.collect()) == [5, 6, 7, 8, 9] and "_tokens" not in found.columns
+    assert {b: (r.files, r.tokens, r.findings) for b, r in rows.items()} == {0: (3, 1 + 2 + 3, 2), 1: (3, 1 + 1 + 2, 1), 2: (3, 1 + 2 + 2, 2)}
+    assert all(r.millis >= 20 for r in rows.values())
+    _, idle = plugins.score_with_metrics(files, "nobody", canned)
+    assert [(r.files, r.findings, r.millis) for r in idle.collect()] == [(9, 0, None)]
