@@ -42,7 +42,7 @@ _AFTER_LINES = """after_lines AS (SELECT review_id, file_id, ord, language, ls[l
   SELECT *, unnest(range(1, len(ls) + 1)) AS line_no FROM (
     SELECT review_id, file_id, ord, language, string_split(after, chr(10)) AS ls FROM fixed)))"""
 _CRITICAL = [i for i, r in enumerate(fv.LINE_RULES) if r[3] == "critical"]
-_PATTERN_STEPS = (
+PATTERN_STEPS = (
     _AFTER_LINES,
     hits_step("after_lines", "after_hits", [fv.LINE_RULES[i][0] for i in _CRITICAL]),
     """pattern_bad AS (SELECT DISTINCT ord, file_id FROM after_hits a WHERE NOT EXISTS (SELECT 1 FROM hits h
@@ -52,11 +52,16 @@ _ERRORS = [i for i, r in enumerate(lint.LINT_LINE_RULES) if r[1] == "error"]
 _ERROR_TESTS = ", ".join(f"CASE WHEN {lint_test(i)} THEN {i} END" for i in _ERRORS)
 
 
-def _lint_hits(lines: str, name: str) -> str:
+def lint_fix_hits(lines: str, name: str) -> str:
     return f"""{name} AS (SELECT * EXCLUDE (line, bare), unnest(list_filter([{_ERROR_TESTS}], lambda x: x IS NOT NULL)) AS n
       FROM (SELECT *, {_BARE} AS bare FROM {lines} WHERE language IN {LINTED}))"""
 
 
+def script_import(line: str) -> str:
+    """The module that a line of a script imports, or null."""
+    return _found("script", line)
+
+
 def _repeats(name: str, lines: str, keys: str) -> str:
     """Lines that import a module again."""
     return f"""{name} AS (SELECT {keys}, line_no FROM (
@@ -67,8 +72,8 @@ def _repeats(name: str, lines: str, keys: str) -> str:
 
 _LINT_FIX_STEPS = (
     f"typed_lines AS (SELECT *, {LANGUAGE} AS language FROM lines)",
-    _lint_hits("typed_lines", "lint_before"),
-    _lint_hits("after_lines", "lint_after"),
+    lint_fix_hits("typed_lines", "lint_before"),
+    lint_fix_hits("after_lines", "lint_after"),
     _repeats("import_before", "typed_lines", "file_id"),
     _repeats("import_after", "after_lines", "file_id, ord"),
     """lint_bad AS (SELECT DISTINCT ord, file_id FROM lint_after a WHERE NOT EXISTS (SELECT 1 FROM lint_before h
@@ -76,7 +81,7 @@ _LINT_FIX_STEPS = (
       UNION SELECT DISTINCT ord, file_id FROM import_after a WHERE NOT EXISTS (SELECT 1 FROM import_before h
         WHERE h.file_id = a.file_id AND h.line_no = a.line_no))""",
 )
-_SYNTAX = (
+SYNTAX = (
     f"(language IN {sql_list(fv.PARSED_LANGUAGES)} AND {imbalance('after')} > {imbalance('content')})"
 )
 
@@ -101,7 +106,7 @@ def apply_fix(spark, sf_dir):
 
 @query(
     "fix_syntax_check",
-    over("files", f"SELECT file_id, ord, {_SYNTAX} AS regressed FROM fixed", *_FIXED),
+    over("files", f"SELECT file_id, ord, {SYNTAX} AS regressed FROM fixed", *_FIXED),
 )
 def fix_syntax_check(spark, sf_dir):
     return fixes.syntax_check(*_fix_inputs(spark, sf_dir)).select("file_id", "ord", "regressed")
@@ -110,7 +115,7 @@ def fix_syntax_check(spark, sf_dir):
 @query(
     "fix_pattern_check",
     over("files", """SELECT file_id, ord, EXISTS (SELECT 1 FROM pattern_bad b WHERE b.ord = f.ord AND b.file_id = f.file_id)
-         AS regressed FROM fixed f""", *_FIXED, *_PATTERN_STEPS),
+         AS regressed FROM fixed f""", *_FIXED, *PATTERN_STEPS),
 )
 def fix_pattern_check(spark, sf_dir):
     return fixes.pattern_check(*_fix_inputs(spark, sf_dir)).select("file_id", "ord", "regressed")
@@ -129,10 +134,10 @@ def fix_lint_check(spark, sf_dir):
     "fix_status",
     over("files", f"""SELECT n.file_id, n.ord, CASE WHEN coalesce(n.fix, '') = '' THEN 'unavailable'
          WHEN f.file_id IS NULL THEN 'unverified'
-         WHEN {_SYNTAX} OR EXISTS (SELECT 1 FROM pattern_bad b WHERE b.ord = n.ord AND b.file_id = n.file_id)
+         WHEN {SYNTAX} OR EXISTS (SELECT 1 FROM pattern_bad b WHERE b.ord = n.ord AND b.file_id = n.file_id)
            OR EXISTS (SELECT 1 FROM lint_bad b WHERE b.ord = n.ord AND b.file_id = n.file_id) THEN 'unavailable'
          ELSE 'verified' END AS fix_status FROM found n LEFT JOIN fixed f USING (file_id, ord)""",
-         *_FIXED, *_PATTERN_STEPS, *_LINT_FIX_STEPS),
+         *_FIXED, *PATTERN_STEPS, *_LINT_FIX_STEPS),
 )
 def fix_status(spark, sf_dir):
     found, files = _fix_inputs(spark, sf_dir)
