@@ -17,6 +17,7 @@ from linewright.functions import text
 from linewright.operators.groups import gather, whole_groups
 from linewright.operators.line_blocks import line_blocks, read_ranges
 from linewright.operators.spread import running_rank, running_sum_before
+from linewright.session import Steps, cut_lineage
 
 FILE = ["review_id", "file_id"]
 PLACE = [*FILE, "line_start"]
@@ -154,8 +155,8 @@ def greedy_owners(lines, sources, ranks) -> tuple[np.ndarray, np.ndarray, list[t
 
 
 def _codes(df: DataFrame) -> DataFrame:
-    """``_src`` tells sources apart by name, ``_rank`` orders them."""
-    return df.withColumn("_src", F.coalesce("source", F.lit(""))).withColumn(
+    """``_src`` tells sources apart, by a hash of the name; ``_rank`` orders them."""
+    return df.withColumn("_src", F.xxhash64(F.coalesce("source", F.lit("")))).withColumn(
         "_rank", text.rank(fv.SOURCE_RANK, F.col("source"))
     )
 
@@ -185,29 +186,22 @@ def _absorber_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield from absorbing.to_batches()
 
 
-def assign(findings: DataFrame) -> DataFrame:
-    """Adds ``_owner`` and ``_lead``, arrival numbers of the finding each one ends in.
-
-    ``ord`` must be unique within a file. No group is larger than the distinct lines of an
-    island. Only the first few findings of a line and source can absorb (their end lines differ
-    and lie in reach), and all they need of others is the next arrival after their own.
-    So each line and source is cut down to those, the loop runs on them where sources
-    meet, and every finding looks its owner up in the short list of absorbers around it.
-    """
-    coded = _codes(findings)
+def _absorbers(narrow: DataFrame, steps: Steps) -> DataFrame:
+    """The findings that others end in, from the narrow rows alone; what is asked several times is written once."""
     spots = [*PLACE, "_src"]
     # An absorber lies within twice the reach of all it takes, so a place with no other
     # source that near is out of the game.
     wide = F.sequence(F.col("line_start") - 2 * REACH, F.col("line_start") + 2 * REACH)
+    ends = [F.min("_low").alias("_low"), F.max("_high").alias("_high")]
     meeting = (
-        coded.select(*spots).distinct()
-        .select(*FILE, F.explode(wide).alias("line_start"), "_src")
+        narrow.select(*PLACE, F.col("_src").alias("_low"), F.col("_src").alias("_high")).groupBy(*PLACE).agg(*ends)
+        .select(*FILE, F.explode(wide).alias("line_start"), "_low", "_high")
         .groupBy(*PLACE)
-        .agg(F.min("_src").alias("_low"), F.max("_src").alias("_high"))
+        .agg(*ends)
         .where(F.col("_low") < F.col("_high"))
         .select(*PLACE)
     )
-    items = coded.select(*spots, "_rank", "ord").join(meeting, PLACE, "left_semi")
+    items = steps.write(narrow.join(meeting, PLACE, "left_semi"), "merge-items")
 
     by_arrival = Window.partitionBy(*spots).orderBy("ord")
     first = (
@@ -227,7 +221,7 @@ def assign(findings: DataFrame) -> DataFrame:
         .agg(F.min("ord").alias("ord"))
         .drop("_after")
     )
-    short = first.unionByName(nexts).distinct()
+    short = steps.write(first.unionByName(nexts).distinct(), "merge-short")
 
     # A line starts an island if none of the lines in reach above it has a finding. Lines
     # tell that to the ones below them, so no task sees all lines of a file.
@@ -247,13 +241,27 @@ def assign(findings: DataFrame) -> DataFrame:
     islands = running_sum_before(starts, FILE, "line_start", "_start", "_island").withColumn(
         "_island", F.col("_island") + F.col("_start")
     )
-    absorbers = (
+    return (
         gather(short.join(islands.drop("_start"), PLACE), [*FILE, "_island"], "ord")
         .mapInArrow(
             _absorber_batches,
-            "review_id long, file_id long, _src string, _line int, _absorber long, _from long, _main long",
+            "review_id long, file_id long, _src long, _line int, _absorber long, _from long, _main long",
         )
     )
+
+
+def assign(findings: DataFrame) -> DataFrame:
+    """Adds ``_owner`` and ``_lead``, arrival numbers of the finding each one ends in.
+
+    ``ord`` must be unique within a file. No group is larger than the distinct lines of an
+    island. Only the first few findings of a line and source can absorb (their end lines differ
+    and lie in reach), and all they need of others is the next arrival after their own.
+    So each line and source is cut down to those, the loop runs on them where sources
+    meet, and every finding looks its owner up in the short list of absorbers around it.
+    """
+    coded = _codes(findings)
+    with Steps(findings.sparkSession) as steps:
+        absorbers = cut_lineage(_absorbers(steps.write(coded.select(*PLACE, "_src", "_rank", "ord"), "merge-narrow"), steps), "absorbers")
     reached = (
         absorbers.select(
             *FILE,

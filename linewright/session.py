@@ -63,3 +63,26 @@ def drop_folder(path: str) -> None:
     """Delete a folder that ``fresh_path`` named and that nothing reads any more."""
     file_system, place = fs.FileSystem.from_uri(path)
     file_system.delete_dir(place)
+
+
+class Steps:
+    """Tables in the shared folder that only the ``with`` block needs; they are deleted at its end."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, []
+
+    def write(self, df: DataFrame, label: str = "step") -> DataFrame:
+        path = fresh_path(self._spark, label)
+        self._paths.append(path)
+        df.write.parquet(path)
+        return self._spark.read.parquet(path)
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self._paths:
+            try:
+                drop_folder(path)
+            except FileNotFoundError:
+                pass  # the write failed before it made the folder
