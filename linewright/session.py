@@ -69,19 +69,22 @@ class Steps:
     """Tables in the shared folder that only the ``with`` block needs; they are deleted at its end."""
 
     def __init__(self, spark: SparkSession):
-        self._spark, self._paths = spark, []
+        self._spark, self._paths = spark, {}
 
-    def write(self, df: DataFrame, label: str = "step") -> DataFrame:
-        path = fresh_path(self._spark, label)
-        self._paths.append(path)
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        self._paths[label] = path = fresh_path(self._spark, label)
         df.write.parquet(path)
         return self._spark.read.parquet(path)
 
+    def drop(self, label: str) -> None:
+        """Delete a table before the end, once what came from it is written."""
+        drop_folder(self._paths.pop(label))
+
     def __enter__(self) -> Steps:
         return self
 
     def __exit__(self, *_) -> None:
-        for path in self._paths:
+        for path in self._paths.values():
             try:
                 drop_folder(path)
             except FileNotFoundError:
