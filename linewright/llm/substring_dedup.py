@@ -1,11 +1,9 @@
-"""Repeated substrings by prefix doubling over sampled positions.
+"""Repeated substrings by doubling hashes and sampled positions.
 
-Prefix doubling ranks the string of 2h bytes at a position by the pair (rank of h bytes there,
-rank of h bytes h further on). Here a rank is a 64-bit number made from that pair, so a task
-gives all positions of its own texts their ranks for 8, 16, ... 256 bytes without asking anyone,
-and Spark compares positions where that matters: it groups position-rank pairs at growing
-lengths, and a position goes on to the next length only while its rank is not unique and the
-length is below the threshold.
+The string of 2h bytes at a position gets its number from the pair (number of h bytes there, number of h
+bytes h further on), as in prefix doubling; but the numbers are 64-bit hashes, made inside the task
+for all positions of its own texts and for 8, 16, ... 256 bytes. Nothing is sorted or ranked again
+between lengths. Spark groups hashes of strings, in three fixed steps.
 
 Comparing every position would move several times the text at every length. Each string of
 ``length`` bytes therefore has one of its positions stand for it: the one with the smallest
@@ -29,8 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linewright.llm.registry import query, table
-from linewright.llm.shingles import mixed
-from linewright.session import cut_lineage
+from linewright.session import Steps, cut_lineage
 
 #: Bytes of the string whose rank picks anchors, and the longest string ranked directly.
 ANCHOR = 128
@@ -41,26 +38,40 @@ PART = 32
 BUFFER = 1 << 20
 
 _TEXT = "t1 long, t2 long"
-ANCHORS = f"{_TEXT}, pos int, lo int, hi int, c1 long, c2 long, q1 long, q2 long"
+ANCHORS = f"{_TEXT}, pos int, lo int, hi int, c1 long, q1 long, q2 long"
 REGIONS = f"{_TEXT}, pos int, lo int, hi int, settled boolean, body binary"
 PARTS = f"{_TEXT}, pos int, lo int, o1 int, o2 int, settled boolean, body binary, c1 long, c2 long, q1 long, q2 long"
 STARTS = f"{_TEXT}, start int, settled boolean, c1 long, c2 long, q1 long, q2 long"
 KEPT = f"{_TEXT}, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """``mixed`` in the array's own memory, with one more array for all steps."""
+    spare = x >> np.uint64(33)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= spare
+        x *= np.uint64(factor)
+        np.right_shift(x, np.uint64(33), out=spare)
+    x ^= spare
+    return x
+
+
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The rank of a pair of ranks."""
-    return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x += b
+    return _mix(x)
 
 
 def ranks(data: np.ndarray, up_to: int = RANKED) -> dict[int, np.ndarray]:
     """Ranks of the strings of 8, 16, ... ``up_to`` bytes at every position that has them."""
     n = len(data)
-    wide = data.astype(np.uint64)
     first = np.zeros(max(0, n - 7), np.uint64)
-    for i in range(8):
-        first |= wide[i : i + len(first)] << np.uint64(8 * i)
-    made = {8: mixed(first + np.uint64(1))}
+    for i in range(min(8, len(first))):
+        # Every eighth position at once: the bytes from there on, read as numbers.
+        first[i::8] = np.frombuffer(data, "<u8", (n - i) // 8, i)
+    first += np.uint64(1)
+    made = {8: _mix(first)}
     h = 8
     while h < up_to:
         shorter = made[h]
@@ -163,9 +174,9 @@ def _anchor_batches(length: int):
                     [
                         pa.array(t1[row]), pa.array(t2[row]),
                         *[pa.array((x + base).astype(np.int32)) for x in (at, lo, hi)],
-                        _signed(c1), pa.array(np.zeros(len(c1), np.int64)), _signed(q1), _signed(q2),
+                        _signed(c1), _signed(q1), _signed(q2),
                     ],
-                    names=["t1", "t2", "pos", "lo", "hi", "c1", "c2", "q1", "q2"],
+                    names=["t1", "t2", "pos", "lo", "hi", "c1", "q1", "q2"],
                 )
 
     return run
@@ -256,8 +267,8 @@ def _start_batches(length: int):
     return run
 
 
-def _ranked(parts: DataFrame, identity: list[str]) -> DataFrame:
-    """Parts that are repeated or go on, with ``repeated`` and ``goes_on``.
+def _ranked(parts: DataFrame, identity: list[str], within: tuple[str, ...] = ("c1", "c2")) -> DataFrame:
+    """Parts that are repeated or go on, with ``repeated`` and ``goes_on``; ``within`` names the inner string.
 
     Outer strings are counted first, each task's rows summed before the shuffle. ``settled``
     parts are repeated for other reasons and only there as partners. Of the outer strings with
@@ -265,22 +276,22 @@ def _ranked(parts: DataFrame, identity: list[str]) -> DataFrame:
     """
     marked = parts.withColumn("x", F.xxhash64(*identity))
     outer = (
-        marked.groupBy("c1", "c2", "q1", "q2")
+        marked.groupBy(*within, "q1", "q2")
         .agg(F.min("x").alias("one"), F.max("x").alias("other"), F.max("settled").alias("_settled"))
         .withColumn("repeated", F.col("_settled") | (F.col("one") != F.col("other")))
     )
     inner = (
-        outer.groupBy("c1", "c2")
+        outer.groupBy(*within)
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("repeated"), 0).otherwise(1)).alias("_open"))
         .where("_n > 1 and _open > 0")
-        .select("c1", "c2", F.lit(True).alias("_go"))
+        .select(*within, F.lit(True).alias("_go"))
     )
     decided = (
-        outer.join(inner, ["c1", "c2"], "left")
+        outer.join(inner, [*within], "left")
         .where("repeated or _go")
-        .select("c1", "c2", "q1", "q2", "one", "repeated", F.coalesce("_go", F.lit(False)).alias("_go"))
+        .select(*within, "q1", "q2", "one", "repeated", F.coalesce("_go", F.lit(False)).alias("_go"))
     )
-    return marked.join(decided, ["c1", "c2", "q1", "q2"]).withColumn(
+    return marked.join(decided, [*within, "q1", "q2"]).withColumn(
         "goes_on", F.col("_go") & (F.col("x") == F.col("one"))
     ).drop("x", "one", "_go")
 
@@ -301,52 +312,56 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     if not 2 * RANKED > length >= RANKED + PART:
         raise ValueError(f"length must be from {RANKED + PART} to {2 * RANKED - 1}")
     bodies = _with_bodies(docs)
-    sampled = cut_lineage(
-        bodies.where(F.octet_length("body") >= length).select("t1", "t2", "body").mapInArrow(_anchor_batches(length), ANCHORS),
-        "sub-anchors",
-    )
-    runs = cut_lineage(
-        _ranked(sampled.withColumn("settled", F.lit(False)), ["t1", "t2", "pos", "lo"])
-        .select("t1", "t2", "pos", "lo", "hi", "repeated", "goes_on"),
-        "sub-runs",
-    )
-    # One row of each text is read again, and only where some run of it goes on.
-    again = runs.where("goes_on").groupBy("t1", "t2").agg(
-        F.collect_list(F.struct("pos", "lo", "hi", F.col("repeated").alias("settled"))).alias("runs")
-    )
-    owners = (
-        bodies.groupBy("t1", "t2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
-        .select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("first.doc_id").alias("_id"))
-    )
-    wanted = again.join(owners, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).select("t1", "t2", "runs", "_id")
-    picked = (
-        bodies.join(wanted, ["t1", "t2"])
-        .where(F.col("doc_id").eqNullSafe(F.col("_id")))
-        .select("t1", "t2", "runs", "body")
-    )
-    regions = cut_lineage(picked.mapInArrow(_region_batches(length), REGIONS), "sub-regions")
-    parts = cut_lineage(
-        _ranked(regions.mapInArrow(_part_batches(length), PARTS), ["t1", "t2", "pos", "lo", "o1"])
-        .select("t1", "t2", "pos", "o1", "o2", "settled", "repeated", "goes_on", F.when(F.col("goes_on"), F.col("body")).alias("body")),
-        "sub-parts",
-    )
-    starts = _ranked(
-        parts.where("goes_on")
-        .select("t1", "t2", "pos", "o1", "o2", F.col("repeated").alias("settled"), "body")
-        .mapInArrow(_start_batches(length), STARTS),
-        ["t1", "t2", "start"],
-    )
-    return (
-        runs.where("repeated").select("t1", "t2", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
-        .unionByName(
-            parts.where("repeated and not settled").select(
-                "t1", "t2", (F.col("pos") - F.col("o2")).alias("start"), (F.col("pos") - F.col("o1") + length).alias("stop")
-            )
+    with Steps(docs.sparkSession) as steps:
+        sampled = steps.write(
+            bodies.where(F.octet_length("body") >= length).select("t1", "t2", "body").mapInArrow(_anchor_batches(length), ANCHORS),
+            "sub-anchors",
         )
-        .unionByName(
-            starts.where("repeated and not settled").select("t1", "t2", "start", (F.col("start") + length).alias("stop"))
+        runs = steps.write(
+            _ranked(sampled.withColumn("settled", F.lit(False)), ["t1", "t2", "pos", "lo"], ("c1",))
+            .select("t1", "t2", "pos", "lo", "hi", "repeated", "goes_on"),
+            "sub-runs",
         )
-    )
+        steps.drop("sub-anchors")
+        # One row of each text is read again, and only where some run of it goes on.
+        again = runs.where("goes_on").groupBy("t1", "t2").agg(
+            F.collect_list(F.struct("pos", "lo", "hi", F.col("repeated").alias("settled"))).alias("runs")
+        )
+        owners = (
+            bodies.groupBy("t1", "t2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"))
+            .select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), F.col("first.doc_id").alias("_id"))
+        )
+        wanted = again.join(owners, (F.col("t1") == F.col("_t1")) & (F.col("t2") == F.col("_t2"))).select("t1", "t2", "runs", "_id")
+        picked = (
+            bodies.join(wanted, ["t1", "t2"])
+            .where(F.col("doc_id").eqNullSafe(F.col("_id")))
+            .select("t1", "t2", "runs", "body")
+        )
+        regions = steps.write(picked.mapInArrow(_region_batches(length), REGIONS), "sub-regions")
+        parts = steps.write(
+            _ranked(regions.mapInArrow(_part_batches(length), PARTS), ["t1", "t2", "pos", "lo", "o1"])
+            .select("t1", "t2", "pos", "o1", "o2", "settled", "repeated", "goes_on", F.when(F.col("goes_on"), F.col("body")).alias("body")),
+            "sub-parts",
+        )
+        steps.drop("sub-regions")
+        starts = _ranked(
+            parts.where("goes_on")
+            .select("t1", "t2", "pos", "o1", "o2", F.col("repeated").alias("settled"), "body")
+            .mapInArrow(_start_batches(length), STARTS),
+            ["t1", "t2", "start"],
+        )
+        spans = (
+            runs.where("repeated").select("t1", "t2", F.col("lo").alias("start"), (F.col("hi") + length).alias("stop"))
+            .unionByName(
+                parts.where("repeated and not settled").select(
+                    "t1", "t2", (F.col("pos") - F.col("o2")).alias("start"), (F.col("pos") - F.col("o1") + length).alias("stop")
+                )
+            )
+            .unionByName(
+                starts.where("repeated and not settled").select("t1", "t2", "start", (F.col("start") + length).alias("stop"))
+            )
+        )
+        return cut_lineage(spans, "sub-spans")
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
