@@ -16,7 +16,7 @@ from linewright.plans.structure_queries import (
     _BARE, _found, EXPORTS, LINT_STEPS, LINTED, SOURCE, TYPED, TYPED_FILES, code, imbalance,
     lint_test,
 )
-from linewright.session import cut_lineage
+from linewright.session import fresh_path
 from linewright.sources.code_corpus import expected_step
 from linewright.sources.corpus import view, view_sql
 
@@ -232,10 +232,14 @@ def scan_distinct(spark, sf_dir):
     ),
 )
 def incremental_scan(spark, sf_dir):
+    """Two earlier runs, over short and over long English documents, have appended to the ledger."""
     files = _hashed(spark, sf_dir)
-    # The earlier run's tables are stored; this run reads them.
-    heads, rows = (cut_lineage(part, "ledger") for part in _ledger(files))
-    return reuse.incremental_scan(files, heads, rows).select("file_id", "rule_id", "line_start", "cached")
+    found = "source STRING, category STRING, severity STRING, message STRING, line_start INT, line_end INT, rule_id STRING, ord BIGINT"
+    folder = fresh_path(spark, "ledger")
+    ledger = reuse.HashLedger(spark, folder.rsplit("/", 1)[1].replace("-", "_"), folder, found, buckets=16)
+    for run in (F.length("content") <= 1000, F.length("content") > 1000):
+        ledger.append(*_ledger(files.where(run)))
+    return reuse.incremental_scan(files, ledger.heads(), ledger.findings()).select("file_id", "rule_id", "line_start", "cached")
 
 
 # --- plug-ins ------------------------------------------------------------------------
