@@ -99,6 +99,18 @@ def attribute_findings(spark, sf_dir):
     )
 
 
+@query(
+    "unknown_files",
+    over("model_responses files", """SELECT f.review_id, f.filename, CAST(count(*) AS BIGINT) AS findings FROM found f
+         WHERE NOT EXISTS (SELECT 1 FROM files g WHERE g.review_id = f.review_id AND g.filename = f.filename)
+         GROUP BY f.review_id, f.filename""", *_PARSED),
+)
+def unknown_files(spark, sf_dir):
+    """Names that a model made up: findings that no file of the review can take."""
+    found = responses.findings(view(spark, sf_dir, "model_responses"))
+    return responses.unattributed(responses.attribute(found, view(spark, sf_dir, "files")))
+
+
 @query(
     "canned_findings",
     over("findings files", """SELECT f.review_id, f.file_id, f.filename, c.message, c.line_start, 'llm' AS source

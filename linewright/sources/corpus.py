@@ -37,20 +37,35 @@ TEMPLATE_LINES = (
     "",
 )
 
-_GOOD = (
-    '{"filename":"f1.ts","lineStart":5,"lineEnd":5,"severity":"critical",'
-    '"category":"security","message":"m","suggestedFix":"x","confidence":0.95}'
+# A JSON string of a text; the marks are written by number, as the dialects escape differently.
+_ESCAPED = (
+    "replace(replace(replace(replace(replace({0}, chr(92), chr(92)||chr(92)), chr(34), chr(92)||chr(34)), chr(10), chr(92)||'n'), "
+    "chr(13), chr(92)||'r'), chr(9), chr(92)||'t')"
 )
-MODEL_RESPONSES = (
-    f"[{_GOOD}]",
-    f"[{_GOOD.replace('"lineStart":5,', '')}]",
-    f"[{_GOOD.replace('"severity":"critical"', '"severity":"high"')}]",
-    "[]",
-    "This is not JSON",
-    "```json\n[]\n```",
-    f"[{_GOOD.replace('"suggestedFix":"x"', '"suggestedFix":null').replace('0.95', '0.5')}]",
-    f"[{_GOOD},{_GOOD.replace('"lineEnd":5', '"lineEnd":"5"')}]",
+_JSON_TEXT = "chr(34)||" + _ESCAPED + "||chr(34)"
+
+
+def _finding_json(line="',\"lineStart\":'||first", end="',\"lineEnd\":'||last", severity="grade", fix=_JSON_TEXT.format("substr(said, 1, 40)"), sure="0.95"):
+    """SQL of one finding that a turn tells; its parts can be left out or be wrong."""
+    return (
+        f"'{{\"filename\":\"f'||(length(said)%30)||'.ts\"'||{line}||{end}||',\"severity\":\"'||{severity}||'\","
+        f"\"category\":\"security\",\"message\":'||{_JSON_TEXT.format('said')}||',\"suggestedFix\":'||{fix}||',\"confidence\":{sure}}}'"
+    )
+
+
+_GOOD = _finding_json()
+#: Responses made of a turn's own text: whole ones, and seven kinds that are incomplete, wrong or wrapped.
+_RESPONSES = (
+    f"'['||{_GOOD}||']'",
+    f"'['||{_finding_json(line=chr(39) * 2)}||']'",
+    f"'['||{_finding_json(severity=chr(39) + 'high' + chr(39))}||']'",
+    "'[]'",
+    "'I looked at it. '||said",
+    f"'```json'||chr(10)||'['||{_GOOD}||']'||chr(10)||'```'",
+    f"'['||{_finding_json(fix=chr(39) + 'null' + chr(39), sure='0.5')}||']'",
+    f"'['||{_GOOD}||','||{_finding_json(end=chr(39) + ',' + chr(34) + 'lineEnd' + chr(34) + ':' + chr(34) + chr(39) + '||last||' + chr(39) + chr(34) + chr(39))}||']'",
 )
+_RESPONSE = "CASE CAST((conv_id+turn)%8 AS INT) " + " ".join(f"WHEN {i} THEN {r}" for i, r in enumerate(_RESPONSES)) + " END"
 
 _CATEGORY = """CASE event_type WHEN 'error' THEN 'security' WHEN 'purchase' THEN 'logic'
  WHEN 'signup' THEN 'style' WHEN 'view' THEN 'performance' ELSE 'best-practice' END"""
@@ -221,9 +236,12 @@ SELECT l_orderkey AS review_id, l_linenumber AS file_ord, CAST(l_suppkey AS BIGI
        CASE l_returnflag WHEN 'R' THEN 'critical' WHEN 'A' THEN 'warning' ELSE 'info' END AS severity,
        CAST(l_quantity AS INT) AS line_start
 FROM lineitem""",
-    "model_responses": """
-SELECT conv_id%2 AS review_id, conv_id, turn, <RESP:(conv_id+turn)%8> AS raw
-FROM conversations WHERE role='assistant'""",
+    "model_responses": f"""
+SELECT review_id, conv_id, turn, {_RESPONSE} AS raw FROM (
+SELECT conv_id%2 AS review_id, conv_id, turn, coalesce(text, '') AS said, 1+length(coalesce(text, ''))%40 AS first,
+       1+length(coalesce(text, ''))%40+length(coalesce(text, ''))%3 AS last,
+       CASE length(coalesce(text, ''))%3 WHEN 0 THEN 'critical' WHEN 1 THEN 'warning' ELSE 'info' END AS grade
+FROM conversations WHERE role='assistant')""",
     "manifest": """
 SELECT page_id%10 AS repo_id, page_id AS listing_ord,
        CASE page_id%6 WHEN 0 THEN 'src/app.ts' WHEN 1 THEN 'node_modules/x/i.js' WHEN 2 THEN '.github/ci.yml'
@@ -276,12 +294,12 @@ def _list_lookup(values: tuple[str, ...], index: str, dialect: str) -> str:
 def view_sql(name: str, dialect: str) -> str:
     """SQL of one view for ``spark`` or ``duckdb``."""
     text = VIEWS[name]
-    for mark, values in (("<TPL:", TEMPLATE_LINES), ("<RESP:", MODEL_RESPONSES)):
-        while mark in text:
-            start = text.index(mark)
-            end = text.index(">", start)
-            lookup = _list_lookup(values, text[start + len(mark):end], dialect)
-            text = text[:start] + lookup + text[end + 1:]
+    mark = "<TPL:"
+    while mark in text:
+        start = text.index(mark)
+        end = text.index(">", start)
+        lookup = _list_lookup(TEMPLATE_LINES, text[start + len(mark):end], dialect)
+        text = text[:start] + lookup + text[end + 1:]
     return text
 
 
