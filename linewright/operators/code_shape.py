@@ -86,6 +86,14 @@ _RUST_USE = re.compile(r"(?:^|[;{}\n])[ \t]*((?:pub(?:\([^)]*\))?\s+)?use\s+([^;
 _DOTTED = re.compile(r"[A-Za-z_][\w.]*")
 
 
+#: Marks that end a look back, per language.
+_STATEMENT, _GIVEN, _TYPED, _WORDS = ";{}", ";{},(", "(){};=", ";{}()[],.=<>:@#&|!?*/+-%^~\"'`"
+_LOOK_BACK = {
+    **{name: (_STATEMENT, _GIVEN, _TYPED, _WORDS) for name in SCRIPT},
+    **{name: (_STATEMENT, _WORDS) for name in ("java", "rust", "c", "cpp", "php")},
+}
+
+
 class Shape:
     """What is found in one text; positions become lines at the end."""
 
@@ -100,6 +108,8 @@ class Shape:
         self._opens = [a for a, _ in self.braces]
         self._outer = self._nest()
         self._branches = [m.start() for m in _BRANCHES[language].finditer(self.code)]
+        # Where looks back end, so that each one costs its own statement and not the text before it.
+        self._marks = {marks: [m.start() for m in re.finditer(f"[{re.escape(marks)}]", self.code)] for marks in _LOOK_BACK.get(language, ())}
 
     def _blank(self, match: re.Match) -> str:
         text = match.group()
@@ -110,13 +120,16 @@ class Shape:
     def _pair_brackets(self) -> dict[int, int]:
         """Opening to closing position; what never closes ends with the text."""
         closing, stack, pairs = {")": "(", "]": "[", "}": "{"}, [], {}
+        waiting = {"(": 0, "[": 0, "{": 0}
         for m in re.finditer(r"[()\[\]{}]", self.code):
             char, at = m.group(), m.start()
             if char in "([{":
                 stack.append((char, at))
-            elif any(c == closing[char] for c, _ in stack):
+                waiting[char] += 1
+            elif waiting[closing[char]]:
                 while stack:
                     opened, start = stack.pop()
+                    waiting[opened] -= 1
                     pairs[start] = at
                     if opened == closing[char]:
                         break
@@ -132,6 +145,19 @@ class Shape:
             outer.append(above)
         return outer
 
+    def _since(self, marks: str, at: int) -> int:
+        """Behind the last of the marks before a position, or the start of the text."""
+        found = self._marks[marks]
+        i = bisect_left(found, at)
+        return found[i - 1] + 1 if i else 0
+
+    def _last_black(self, at: int) -> int:
+        """The last position before ``at`` that is no white space, or -1."""
+        at -= 1
+        while at >= 0 and self.code[at].isspace():
+            at -= 1
+        return at
+
     def line(self, at: int) -> int:
         return bisect_right(self._line_starts, at)
 
@@ -226,25 +252,30 @@ class Shape:
             opening = m.end()
             if m.group(1) in _NOT_NAMES or opening in given or opening not in self.pairs:
                 continue
-            if self.code[: m.start()].rstrip()[-8:].endswith(("function", "new")):
+            end = self._last_black(m.start()) + 1
+            if self.code[max(0, end - 8) : end].endswith(("function", "new")):
                 continue
             if body := self._body(self._after_type(self.pairs[opening] + 1)):
                 yield m.group(1), m.start(), body[1], opening
         closes = {b: a for a, b in self.pairs.items()}
         for m in _JS_ARROW.finditer(self.code):
-            before = self.code[: m.start()].rstrip()
-            typed = re.search(r"\)\s*:\s*[^(){};=]*$", before)
-            end = typed.start() if typed else len(before) - 1
+            end = self._last_black(m.start())
+            # A type between the last closing bracket and the arrow.
+            since = self._since(_TYPED, end + 1)
+            if since and self.code[since - 1] == ")" and re.match(r"\s*:", self.code[since : end + 1]):
+                end = since - 1
             if end >= 0 and self.code[end] == ")" and end in closes:
                 start = opening = closes[end]
-            elif name := re.search(r"[A-Za-z_$][\w$]*$", before):
-                start, opening = name.start(), None
+            elif name := re.search(r"[A-Za-z_$][\w$]*$", self.code[self._since(_WORDS, end + 1) : end + 1]):
+                start, opening = end + 1 - len(name.group()), None
             else:
                 continue
-            generic = re.search(r"<[^(){};]*>$", self.code[:start])
-            start = generic.start() if generic else start
-            wait = re.search(r"\basync\s*$", self.code[:start])
-            start = wait.start() if wait else start
+            before = self._since("(){};=", start)
+            generic = re.search(r"<[^(){};]*>$", self.code[before:start])
+            start = before + generic.start() if generic else start
+            word = self._since(_WORDS, start)
+            wait = re.search(r"\basync\s*$", self.code[word:start])
+            start = word + wait.start() if wait else start
             body = self._body(m.end())
             stop = body[1] if body else self._expression_end(m.end())
             yield self._given_name(start), start, stop, opening
@@ -260,7 +291,7 @@ class Shape:
         return self._skip(i, r"[\w$.\s|&,<>\[\]]*")
 
     def _given_name(self, start: int) -> str:
-        statement = max(self.code.rfind(c, 0, start) for c in ";{},(") + 1
+        statement = self._since(_GIVEN, start)
         m = _JS_GIVEN_TO.search(self.code, statement, start)
         if not m and statement and self.code[statement - 1] == ",":
             m = _JS_NEXT_GIVEN.match(self.code, statement, start)
@@ -289,8 +320,11 @@ class Shape:
             opening = m.end()
             if m.group(1) in _NOT_NAMES or opening not in self.pairs or self.around(m.start()) not in bodies:
                 continue
-            before = self.code[: m.start()]
-            word = _BEFORE_NAME.search(before)
+            end = self._last_black(m.start()) + 1
+            first = end
+            while first and (self.code[first - 1].isalnum() or self.code[first - 1] in "_])>&*@"):
+                first -= 1
+            word = _BEFORE_NAME.search(self.code[first:end])
             typed = word and word.group(1) not in _NOT_NAMES and not word.group(1).startswith("@")
             if not typed and m.group(1) not in names:
                 continue
@@ -303,7 +337,7 @@ class Shape:
 
     def _statement_start(self, at: int) -> int:
         """Where the declaration that holds a position begins."""
-        start = max(self.code.rfind(c, 0, at) for c in ";{}") + 1
+        start = self._since(_STATEMENT, at)
         return self._skip(start, r"\s*(?:(?:public|private|protected)\s*:\s*)*")
 
     def _go_functions(self):
@@ -328,8 +362,9 @@ class Shape:
             opening = m.end()
             after = self._skip(self.pairs.get(opening, opening) + 1, r"\s*(?::\s*[?\w\\|]+)?")
             if body := self._body(after):
-                modifiers = re.search(r"(?:\b(?:public|private|protected|static|final|abstract)\s+)*\Z", self.code[: m.start()])
-                yield m.group(1), modifiers.start(), body[1], opening
+                since = self._since(_WORDS, m.start())
+                modifiers = re.search(r"(?:\b(?:public|private|protected|static|final|abstract)\s+)*\Z", self.code[since : m.start()])
+                yield m.group(1), since + modifiers.start(), body[1], opening
 
     def _c_functions(self):
         for m in _CALL_LIKE.finditer(self.code):
@@ -342,8 +377,10 @@ class Shape:
 
     def _initialises(self, at: int) -> bool:
         """A member that a constructor sets before its body looks like a header of its own."""
-        before = self.code[:at].rstrip()
-        return before[-1:] in (":", ",") and not re.search(r"\b(?:public|private|protected)\s*:$", before)
+        end = self._last_black(at)
+        if end < 0 or self.code[end] not in ":,":
+            return False
+        return not re.search(r"\b(?:public|private|protected)\s*$", self.code[self._since(_WORDS, end) : end]) or self.code[end] == ","
 
     def _block_end(self, at: int, indent: int, closed: bool) -> int:
         """Last position of the deeper indented lines after the header that ends at ``at``."""
@@ -381,12 +418,13 @@ class Shape:
     def classes(self, functions: list[dict]) -> list[dict]:
         pattern = _CLASSES.get(self.language)
         rows = []
+        starts = [f["start"] for f in functions]
         for m in pattern.finditer(self.code) if pattern else ():
             if self.language == "python":
                 start, name = m.end(1), m.group(2)
                 header = self.code.find("(", m.end(), self.code.find(":", m.end()) + 1 or None)
                 stop = self._block_end(self.pairs.get(header, m.end()), len(m.group(1)), False)
-                inside = [f for f in functions if start < f["start"] <= stop]
+                inside = functions[bisect_right(starts, start) : bisect_right(starts, stop)]
                 deep = min((f["start"] - self._line_starts[f["line_start"] - 1] for f in inside), default=0)
                 methods = [f["name"] for f in inside if f["start"] - self._line_starts[f["line_start"] - 1] == deep]
             else:
@@ -397,20 +435,21 @@ class Shape:
                 start = m.start() if self.language == "go" else self._header_start(m.start())
                 stop = body[1] if body else self._skip(m.end(), r"[^;\n]*")
                 methods = [
-                    f["name"] for f in functions
-                    if body and self.language != "go" and body[0] < f["start"] < body[1] and self.around(f["start"]) == body
-                    and not self._assigned(f["start"])
+                    f["name"] for f in (functions[bisect_right(starts, body[0]) : bisect_left(starts, body[1])] if body else ())
+                    if self.language != "go" and self.around(f["start"]) == body and not self._assigned(f["start"])
                 ]
             rows.append({"name": name, "start": start, "line_start": self.line(start), "line_end": self.line(min(stop, len(self.code) - 1)), "methods": methods})
         return rows
 
     def _assigned(self, at: int) -> bool:
         """A function that is a field's value or an argument is no method."""
-        return self.language in SCRIPT and self.code[:at].rstrip()[-1:] in ("=", "(", ",", ":", ">")
+        end = self._last_black(at)
+        return self.language in SCRIPT and end >= 0 and self.code[end] in "=(,:>"
 
     def _header_start(self, at: int) -> int:
-        words = re.search(r"(?:\b(?:public|private|protected|static|final|abstract|pub)\s+)*\Z", self.code[:at])
-        return words.start()
+        since = self._since(_WORDS, at) if _WORDS in self._marks else 0
+        words = re.search(r"(?:\b(?:public|private|protected|static|final|abstract|pub)\s+)*\Z", self.code[since:at])
+        return since + words.start()
 
     # --- imports --------------------------------------------------------------------
 
