@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +17,9 @@ from pyspark.sql import functions as F
 from linewright.llm.registry import query, table
 
 UNDETERMINED = "und"
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Numerals that are no digits, as in fractions and circled numbers, belong to words in patterns; letters they are not.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
 LETTER = r"\p{L}"
 #: Compression level, and the share of the runner-up that a clear winner saves at least.
 LEVEL = 6
@@ -23,6 +27,8 @@ LEAST_MARGIN = 0.002
 #: Bytes that are compressed at a time. What a dictionary saves is bounded, so each block starts
 #: from the dictionary again and the margin does not fall with the length of a text.
 BLOCK_BYTES = 4096
+#: Slices of a language in which its sample is looked for.
+SLICES = 64
 
 RESULT = (
     "doc_id long, lang_pred string, score double, margin double, rejected boolean, runner_up string, "
@@ -45,12 +51,17 @@ def learn(
     language reaches the driver however large the table is. Rows without text, letters or
     label are not learned from; repeated texts count once. Ties on the hash go by text.
     """
-    order = Window.partitionBy("lang").orderBy("_hash", "_piece")
+    # The smallest hashes of each slice first, so that a common language is no window of one task;
+    # what is left for the second is at most SLICES times the sample.
+    order = ["_hash", "_piece"]
     sample = (
         labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
         .select("lang", F.xxhash64("doc_id").alias("_hash"), F.substring("text", 1, 2 * chars_per_doc).alias("_piece"))
         .where(F.col("_piece").rlike(LETTER))
-        .withColumn("_no", F.row_number().over(order))
+        .withColumn("_slice", F.pmod(F.xxhash64("_hash", "_piece"), F.lit(SLICES)))
+        .withColumn("_no", F.row_number().over(Window.partitionBy("lang", "_slice").orderBy(*order)))
+        .where(F.col("_no") <= docs_per_language)
+        .withColumn("_no", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
         .where(F.col("_no") <= docs_per_language)
     )
     pieces: dict[str, dict[bytes, None]] = {}

@@ -219,15 +219,17 @@ def mix(
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, with all its columns.
 
-    Copies are decided per id, source and size; equal rows of one id are numbered so that each
-    gets its own decision. Rows that are taken no time are absent.
+    Copies are decided per id, source and size; rows that agree in these are numbered by a hash of their
+    text, so that each gets its own decision, and the same one in every run. Rows that are taken no time are
+    absent. Null ids and sources are values of their own, null texts have no words and are never taken, an
+    empty table gives no rows, and columns may have any names.
     """
     names = [free_name(docs, n) for n in ("_id", "_src", "_words", "_no")]
     copy = free_name(docs, "_copy")
     key = [F.coalesce(F.xxhash64("doc_id"), F.lit(0)), F.coalesce(F.xxhash64("source"), F.lit(0))]
     number = Window.partitionBy(*names[:3])
     marked = docs.withColumns(dict(zip(names, [*key, word_count(F.col("text"))]))).withColumn(
-        names[3], F.row_number().over(number.orderBy(F.lit(1)))
+        names[3], F.row_number().over(number.orderBy(F.xxhash64("text"), F.xxhash64("text", F.lit(1))))
     )
     decided = mix(docs, **settings)
     counts = decided.select(

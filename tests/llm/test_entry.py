@@ -73,3 +73,38 @@ def test_pipeline_equals_the_model(spark, tmp_path):
     assert sorted(((r["doc_id"], r["start"], r["n_tokens"]) for r in got), key=lambda r: r[1]) == want
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert names == ["language", "near_duplicates", "decontamination", "mixing", "tokens"]
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, _id int, _hash string, size int, kept string, " \
+           "copies int, target double, lang_pred string, class_id long, text_hash string, _words int, _no int, _src int"
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_on_empty_tables_and_clashing_columns(spark, tmp_path, empty):
+    from linewright.llm import stages
+
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    extra = [n.split()[0] for n in CLASHING.split(", ")][5:]
+    kinds = dict(n.split() for n in CLASHING.split(", "))
+    rows = base.union(base.limit(2))
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "a text that has no id", "en", None, 1), (7001, "", "en", "s", 0)], base.schema)
+    docs = rows.union(odd).selectExpr("*", *[f"CAST(1 AS {kinds[n]}) AS {n}" for n in extra])
+    docs.limit(0 if empty else 100).write.parquet(f"{tmp_path}/in")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(0 if empty else 100).write.parquet(f"{tmp_path}/benchmark.parquet")
+    read = spark.read.parquet(f"{tmp_path}/in")
+    for n, (name, stage) in enumerate(stages.STAGES):
+        out = stage(spark, read, str(tmp_path))
+        rows = out.collect()
+        assert bool(rows) != empty, name
+        if name != "tokens":
+            assert out.columns == read.columns, name
+            out.write.parquet(f"{tmp_path}/{n}")
+            read = spark.read.parquet(f"{tmp_path}/{n}")
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
