@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,9 +15,7 @@ from pyspark.sql import functions as F
 from linewright.llm.registry import query, table
 
 UNDETERMINED = "und"
-#: Numerals that are no digits, as in fractions and circled numbers, belong to words in patterns; letters they are not.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("No", "Nl"))
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMERALS}]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 LETTER = r"\p{L}"
 #: Compression level, and the share of the runner-up that a clear winner saves at least.
 LEVEL = 6
@@ -28,7 +24,7 @@ LEAST_MARGIN = 0.002
 #: from the dictionary again and the margin does not fall with the length of a text.
 BLOCK_BYTES = 4096
 #: Slices of a language in which its sample is looked for.
-SLICES = 64
+SLICES = 16
 
 RESULT = (
     "doc_id long, lang_pred string, score double, margin double, rejected boolean, runner_up string, "
@@ -38,7 +34,11 @@ RESULT = (
 
 def letters(text: str) -> bytes:
     """What is compressed: words in lower case, single spaces between them."""
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "replace")
+    words = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    if words and not words.replace(" ", "").isalpha():
+        # Numerals that are no digits, as in fractions and circled numbers, belong to words in patterns.
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
+    return words.encode("utf-8", "replace")
 
 
 def learn(
