@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewright.llm.registry import free_name, query, table
-from linewright.session import cut_lineage
+from linewright.session import Steps, cut_lineage
 
 #: Slices of the sampling order per source: a running sum sorts one slice at a time.
 SLICES = 1 << 14
+#: Gaps of fewer words are filled by folding the few rows that can matter.
+FOLDED = 1000
+#: No document is drawn with a higher probability; beyond it odds would leave few slices for many rows.
+MOST_LIKELY = 0.95
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -85,54 +91,99 @@ def _words_before(df: DataFrame, out: str) -> DataFrame:
     )
 
 
-def _with_copies(rows: DataFrame, sampled: Column) -> DataFrame:
-    copies = F.col("_whole") + F.when(sampled, 1).otherwise(0)
-    return rows.select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"),
+def digits(size: Column) -> Column:
+    """How readily a document is drawn: the binary digits of its word count, so fragments are repeated least."""
+    return F.length(F.bin(size)).cast("long")
+
+
+def _last_words(rest: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``_row`` of what still fits, in order, into gaps below ``FOLDED``.
+
+    Of one size only the first gap/size rows can be taken, so a source has fewer than
+    FOLDED * ln(FOLDED) + FOLDED candidates, which are folded as one sorted array. The literal
+    limit lets each task cut its rows to that before they are shuffled.
+    """
+    turn = F.row_number().over(
+        Window.partitionBy("source", "size").orderBy("_q", F.col("doc_id").asc_nulls_last(), "_row")
+    )
+    few = (
+        rest.join(gaps, F.col("source").eqNullSafe(F.col("_source")))
+        .where(F.col("size") <= F.col("_gap"))
+        .withColumn("_turn", turn)
+        .where((F.col("_turn") <= FOLDED) & (F.col("_turn") * F.col("size") <= F.col("_gap")))
     )
+    place = F.struct("_q", F.col("doc_id").isNull().alias("none"), "doc_id", "size", "_row")
+    listed = few.groupBy("source").agg(F.first("_gap").alias("_gap"), F.sort_array(F.collect_list(place)).alias("_all"))
+    taken = F.aggregate(
+        "_all",
+        F.struct(F.col("_gap").alias("gap"), F.array().cast("array<bigint>").alias("rows")),
+        lambda state, x: F.when(
+            x["size"] <= state["gap"],
+            F.struct((state["gap"] - x["size"]).alias("gap"), F.array_append(state["rows"], x["_row"]).alias("rows")),
+        ).otherwise(state),
+        lambda state: state["rows"],
+    )
+    return listed.select(F.explode(taken).alias("_row"))
 
 
-def _filled(first: DataFrame, gaps: DataFrame) -> DataFrame:
-    """``_row`` of what goes on in the order of ``first`` with every document that still fits.
+def _filled(steps: Steps, rest: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``_row`` of what goes on in the order of ``rest`` with every document that still fits.
 
     While the gap of a source lies in [2**g, 2**(g+1)), smaller rows always fit and at most one
     of 2**g or more does. So one running sum of the smaller ones finds the row that brings the
-    gap below 2**g, and there are at most as many rounds as a gap has bits.
+    gap below 2**g, and there are at most as many rounds as a gap has bits. Gaps below ``FOLDED``
+    need no rounds.
     """
     same = F.col("source").eqNullSafe(F.col("_source"))
-    rest = first.where(~F.col("_first") & (F.col("_p") > 0) & (F.col("size") > 0)).select(
-        "_row", "source", "doc_id", "size", "_q", "_slice"
-    )
-    taken = first.where(F.lit(False)).select("_row")
+    everything, taken, number = rest, rest.where(F.lit(False)).select("_row"), 0
     place = F.struct("_q", F.col("doc_id").isNull().alias("none"), "doc_id", "size", "_before", "_row")
-    while True:
-        rest = cut_lineage(rest.join(gaps, same).where(F.col("size") <= F.col("_gap")).drop("_source"), "mix-rest")
-        if rest.isEmpty():
-            return taken
+    gaps = steps.write(gaps, "mix-gaps")
+    while not gaps.where(F.col("_gap") >= FOLDED).isEmpty():
+        fits = rest.join(gaps.where(F.col("_gap") >= FOLDED), same).where(F.col("size") <= F.col("_gap")).drop("_source")
         power = F.pow(F.lit(2.0), F.floor(F.log2("_gap")))
-        banded = rest.withColumn("_words", F.col("size")).withColumn("_small", F.col("size") < power)
+        banded = fits.withColumn("_words", F.col("size")).withColumn("_small", F.col("size") < power)
         summed = _words_before(
             banded.withColumn("size", F.when(F.col("_small"), F.col("size")).otherwise(0)), "_before"
         ).withColumn("size", F.col("_words"))
         left = F.col("_gap") - F.col("_before") - F.col("size")
         ends = F.when(F.col("_small"), left < power).otherwise(left >= 0)
-        placed = cut_lineage(summed.withColumn("_place", place).withColumn("_ends", ends), "mix-placed")
-        last = placed.where("_ends").groupBy("source").agg(F.min("_place").alias("_last")).select(
+        placed = steps.write(summed.drop("_words").withColumn("_ends", ends), f"mix-round-{number}")
+        if placed.isEmpty():
+            break
+        last = placed.where("_ends").groupBy("source").agg(F.min(place).alias("_last")).select(
             F.col("source").alias("_source"), "_last"
         )
-        upto = F.col("_last").isNull() | (F.col("_place") <= F.col("_last"))
-        settled = cut_lineage(
-            placed.join(last, same, "left").withColumn(
-                "_takes", F.when(F.col("_small"), upto).otherwise(F.col("_place") == F.col("_last"))
-            ).select("_row", "source", "doc_id", "size", "_q", "_slice", "_gap", F.coalesce("_takes", F.lit(False)).alias("_takes")),
-            "mix-settled",
-        )
+        upto = F.col("_last").isNull() | (place <= F.col("_last"))
+        takes = F.when(F.col("_small"), upto).otherwise(place == F.col("_last"))
+        settled = placed.join(last, same, "left").withColumn("_takes", F.coalesce(takes, F.lit(False)))
         taken = taken.union(settled.where("_takes").select("_row"))
-        gaps = settled.groupBy("source").agg(
-            (F.first("_gap") - F.sum(F.when(F.col("_takes"), F.col("size")).otherwise(0))).alias("_gap")
-        ).select(F.col("source").alias("_source"), "_gap")
-        rest = settled.where(~F.col("_takes")).drop("_gap", "_takes")
+        words = settled.where("_takes").groupBy("source").agg(F.sum("size").alias("_words"))
+        gaps = steps.write(
+            gaps.join(words, same, "left").select("_source", (F.col("_gap") - F.coalesce("_words", F.lit(0))).alias("_gap")),
+            f"mix-gaps-{number}",
+        )
+        rest = settled.where(~F.col("_takes")).select("_row", "source", "doc_id", "size", "_q", "_slice")
+        number += 1
+    if number:
+        taken = steps.write(taken, "mix-rounds")
+        everything = everything.join(taken, "_row", "left_anti")
+    return taken.union(_last_words(everything, gaps.where(F.col("_gap") < FOLDED)))
+
+
+def _closing(first: DataFrame, taken: DataFrame) -> DataFrame:
+    """``_row`` of the smallest document left of a source, where it overshoots by less than the gap is wide."""
+    left = F.when(
+        ~F.col("_first") & F.col("_more").isNull() & F.col("_open") & (F.col("size") > 0),
+        F.struct("size", "_q", F.col("doc_id").isNull().alias("none"), "doc_id", "_row"),
+    )
+    reached = F.sum(F.when(F.col("_first") | F.col("_more").isNotNull(), F.col("size")).otherwise(0))
+    return (
+        first.join(taken.withColumn("_more", F.lit(True)), "_row", "left")
+        .groupBy("source")
+        .agg((F.first("_goal") - reached).alias("_gap"), F.min(left).alias("_next"))
+        .where(F.col("_next.size") < 2 * F.col("_gap"))
+        .select(F.col("_next._row").alias("_row"))
+    )
 
 
 def mix(
@@ -141,18 +192,20 @@ def mix(
     share: float = 1.0,
     most: float = 3.0,
     seed: int = 17,
-    fill: bool = False,
+    prefer: Callable[[Column], Column] = digits,
 ) -> DataFrame:
     """``doc_id, source, size, source_size, target, copies, taken`` for every row of ``docs``.
 
     A source whose target is r times its size gives floor(r) certain copies of each document.
-    The rest r - floor(r) is an inclusion probability p. Documents are ranked by the odds of a
-    random number over the odds of p, and the sample takes them in that order up to its fixed
-    size, which is counted in words so that long documents do not move a source off its
-    target. A first pass stops before the document that would pass the size; a second pass
-    goes on in the same order with those that are no larger than the gap, and stops for good
-    before the one that would pass it, as the SQL of op4 does. With ``fill`` it goes past such
-    documents and takes every later one that still fits, until none does.
+    The rest p = r - floor(r) is drawn with unequal probabilities: a document's is p times
+    its preference over the mean preference of the source's words, at most 0.95. ``prefer``
+    makes a whole number above 0 of the word count; larger ones are drawn more readily.
+    Documents are ranked by the odds of a random number over the odds of their probability.
+    The sample's fixed size is counted in words, so that long documents do not move a source
+    off its target: it takes documents in that order up to the size, goes past one that would
+    overshoot, and takes every later one that still fits. The smallest document left is taken too if that
+    brings the source closer. So a source misses its target by at most half of its smallest
+    document left, or has none left.
 
     Needs ``doc_id, text, source``; other columns are not read. Null or blank texts have size
     0 and are taken 0 words. Null sources are one source, the last. Null ids are ranked as
@@ -160,60 +213,60 @@ def mix(
     come out. An empty table gives no rows. Random numbers come from ``seed`` and the id, so
     reruns agree whatever the partitions are.
     """
-    # Texts are read once; what follows sees ids and sizes only.
-    sized = cut_lineage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
-    targets = target_sizes(
-        sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most
-    ).select(F.col("source").alias("_source"), "source_size", "target")
-    rated = (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-        .drop("_source")
-        .withColumn("_rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
-        .withColumn("_whole", F.floor("_rate").cast("long"))
-        .withColumn("_p", F.col("_rate") - F.col("_whole"))
-        .withColumn("_goal", F.col("target") - F.col("_whole") * F.col("source_size"))
-        .withColumn("_u", _uniform(seed, F.col("doc_id")))
-        .withColumn(
-            "_q",
-            F.when(F.col("_p") > 0, (F.col("_u") / (1 - F.col("_u"))) / (F.col("_p") / (1 - F.col("_p")))),
+    with Steps(docs.sparkSession) as steps:
+        # Texts are read once; what follows sees ids and sizes only.
+        sized = steps.write(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+        totals = sized.groupBy("source").agg(
+            F.sum("size").alias("source_size"), F.sum(F.col("size") * prefer(F.col("size"))).alias("_preferred")
         )
-        # Within a source p is one number, so slices of u are slices of the ranking.
-        .withColumn("_slice", F.floor(F.col("_u") * SLICES).cast("int"))
-    )
-    ranked = _words_before(rated, "_before").withColumn(
-        "_first", (F.col("_p") > 0) & (F.col("_before") + F.col("size") <= F.col("_goal"))
-    )
-    first = cut_lineage(ranked.withColumn("_row", F.monotonically_increasing_id()) if fill else ranked, "mix-first")
-    reached = (
-        first.groupBy("source")
-        .agg(F.sum(F.when(F.col("_first"), F.col("size")).otherwise(0)).alias("_reached"))
-        .select(F.col("source").alias("_source"), "_reached")
-    )
-    if fill:
-        gaps = (
-            first.select("source", "_goal").distinct()
-            .join(reached, F.col("source").eqNullSafe(F.col("_source")))
-            .select("_source", (F.col("_goal") - F.col("_reached")).alias("_gap"))
+        targets = (
+            target_sizes(totals.drop("_preferred"), weights, share, most)
+            .withColumnRenamed("source", "_source")
+            .join(totals.select(F.col("source").alias("_s"), "_preferred"), F.col("_source").eqNullSafe(F.col("_s")))
+            .drop("_s")
+        )
+        odds = lambda x: x / (1 - x)
+        rated = (
+            sized.join(targets, F.col("source").eqNullSafe(F.col("_source")))
+            .drop("_source")
+            .withColumn("_rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
+            .withColumn("_whole", F.floor("_rate").cast("long"))
+            .withColumn("_p", F.col("_rate") - F.col("_whole"))
+            .withColumn("_open", F.col("_p") > 0)
+            .withColumn("_goal", F.floor(F.col("target") - F.col("_whole") * F.col("source_size") + 1e-6).cast("long"))
+            .withColumn("_u", _uniform(seed, F.col("doc_id")))
+            .withColumn(
+                "_chance",
+                F.least(F.col("_p") * prefer(F.col("size")) * F.col("source_size") / F.nullif("_preferred", F.lit(0)), F.lit(MOST_LIKELY)),
+            )
+            .withColumn("_q", F.when(F.col("_open"), odds(F.col("_u")) / odds(F.col("_chance"))))
+            # The rank times the odds that all documents of a source share is close to the odds of u, so its
+            # slices hold about as many rows each, and they follow the ranking.
+            .withColumn("_even", F.col("_q") * odds(F.least("_p", F.lit(0.5))))
+            .withColumn(
+                "_slice",
+                F.floor(F.coalesce(F.col("_even") / (1 + F.col("_even")), F.col("_u")) * SLICES).cast("int"),
+            )
+            .drop("_rate", "_p", "_u", "_chance", "_even")
         )
-        more = _filled(first, gaps).withColumn("_more", F.lit(True))
-        return _with_copies(first.join(more, "_row", "left"), F.col("_first") | F.coalesce("_more", F.lit(False)))
-    open_rows = (
-        first.join(reached, F.col("source").eqNullSafe(F.col("_source")))
-        .drop("_source", "_before")
-        .withColumn("_gap", F.col("_goal") - F.col("_reached"))
-        .withColumn(
-            "_fits", ~F.col("_first") & (F.col("_p") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("_gap"))
+        ranked = _words_before(rated, "_before").withColumn(
+            "_first", F.col("_open") & (F.col("_before") + F.col("size") <= F.col("_goal"))
         )
+        first = cut_lineage(ranked.drop("_before").withColumn("_row", F.monotonically_increasing_id()), "mix-first")
+        gaps = first.groupBy("source").agg(
+            (F.first("_goal") - F.sum(F.when(F.col("_first"), F.col("size")).otherwise(0))).alias("_gap")
+        ).select(F.col("source").alias("_source"), "_gap")
+        rest = first.where(~F.col("_first") & F.col("_open") & (F.col("size") > 0)).select(
+            "_row", "source", "doc_id", "size", "_q", "_slice"
+        )
+        taken = steps.write(_filled(steps, rest, gaps), "mix-filled")
+        more = cut_lineage(taken.union(_closing(first, taken)), "mix-taken")
+    copies = F.col("_whole") + F.when(F.col("_first") | F.col("_more").isNotNull(), 1).otherwise(0)
+    return (
+        first.join(more.withColumn("_more", F.lit(True)), "_row", "left")
+        .withColumn("copies", copies)
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
-    # Rows that are settled weigh nothing in the second running sum.
-    refill = _words_before(
-        open_rows.withColumn("_size", F.col("size")).withColumn(
-            "size", F.when(F.col("_fits"), F.col("size")).otherwise(0)
-        ),
-        "_before",
-    ).withColumn("size", F.col("_size"))
-    second = F.col("_fits") & (F.col("_before") + F.col("size") <= F.col("_gap"))
-    return _with_copies(refill, F.col("_first") | second)
 
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
@@ -243,10 +296,11 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
 
 
 ORACLE = """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size
   FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(size * length(bin(size))) AS BIGINT) AS preferred
+      FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM s),
 w AS (SELECT *, CAST(n % 3 + 1 AS DOUBLE) AS w, 3.0::DOUBLE * source_size AS room FROM n),
 r AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(w) OVER () AS ws,
@@ -255,25 +309,36 @@ r AS (SELECT *, CAST(sum(source_size) OVER () AS DOUBLE) AS total, sum(w) OVER (
 p AS (SELECT *, room * (ws - w_before) <= (total - room_before) * w AS stops FROM r),
 q AS (SELECT *, sum(CASE WHEN stops THEN room ELSE 0 END) OVER () AS gone,
         sum(CASE WHEN stops THEN w ELSE 0 END) OVER () AS gone_w FROM p),
-t AS (SELECT source, source_size,
+t AS (SELECT n, source, source_size, preferred,
         CASE WHEN stops THEN room ELSE (total - gone) * w / (ws - gone_w) END AS target FROM q),
-a AS (SELECT d.doc_id, d.source, d.size, t.source_size, t.target,
+a AS (SELECT t.n, d.doc_id, d.size, t.source_size, t.target, t.preferred,
         CASE WHEN t.source_size = 0 THEN 0.0 ELSE t.target / t.source_size END AS rate,
         (CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE)
           / 4503599627370496::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 b AS (SELECT *, CAST(floor(rate) AS BIGINT) AS whole, rate - floor(rate) AS pr,
-        target - floor(rate) * source_size AS goal FROM a),
-c AS (SELECT *, CASE WHEN pr > 0 THEN (u / (1 - u)) / (pr / (1 - pr)) END AS q FROM b),
-e AS (SELECT *, pr > 0 AND coalesce(sum(size) OVER (PARTITION BY source ORDER BY q, doc_id NULLS LAST, size
-        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= goal AS first FROM c),
-f AS (SELECT *, goal - sum(CASE WHEN first THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM e),
-g AS (SELECT *, NOT first AND pr > 0 AND size > 0 AND size <= gap AS fits FROM f),
-h AS (SELECT *, coalesce(sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source
-        ORDER BY q, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+        CAST(floor(target - floor(rate) * source_size + 0.000001::DOUBLE) AS BIGINT) AS goal FROM a),
+c AS (SELECT *, CASE WHEN pr > 0 THEN least(pr * length(bin(size)) * source_size / preferred, 0.95::DOUBLE) END AS chance
+      FROM b),
+o AS (SELECT *, (u / (1 - u)) / (chance / (1 - chance)) AS q FROM c),
+e AS MATERIALIZED (SELECT *, row_number() OVER w AS k, pr > 0 AND coalesce(sum(size) OVER
+        (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= goal AS first
+      FROM o WINDOW w AS (PARTITION BY n ORDER BY q, doc_id NULLS LAST, size)),
+f AS MATERIALIZED (SELECT n, CAST(any_value(goal) - sum(CASE WHEN first THEN size ELSE 0 END) AS BIGINT) AS gap FROM e GROUP BY n),
+g AS MATERIALIZED (SELECT e.n, e.k, e.size, row_number() OVER (PARTITION BY e.n ORDER BY e.k) AS turn FROM e JOIN f ON e.n = f.n
+      WHERE NOT first AND pr > 0 AND size > 0 AND size <= gap),
+h AS (SELECT n, 0 AS turn, CAST(0 AS BIGINT) AS k, gap, false AS fits FROM f
+      UNION ALL
+      SELECT g.n, g.turn, g.k, h.gap - CASE WHEN g.size <= h.gap THEN g.size ELSE 0 END, g.size <= h.gap
+      FROM h JOIN g ON g.n = h.n AND g.turn = h.turn + 1),
+m AS MATERIALIZED (SELECT n, k, fits, min(gap) OVER (PARTITION BY n) AS gap FROM h),
+x AS MATERIALIZED (SELECT e.*, e.first OR coalesce(m.fits, false) AS takes FROM e LEFT JOIN m ON e.n = m.n AND e.k = m.k),
+y AS (SELECT x.n, x.k, x.size < 2 * z.gap AS closer,
+        row_number() OVER (PARTITION BY x.n ORDER BY x.size, x.q, x.doc_id NULLS LAST) AS place
+      FROM x JOIN (SELECT DISTINCT n, gap FROM m) z ON x.n = z.n WHERE NOT x.takes AND x.pr > 0 AND x.size > 0)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (whole + CASE WHEN first OR (fits AND before + size <= gap) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM h
+  CAST(size * (whole + CASE WHEN takes OR coalesce(closer, false) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM x LEFT JOIN y ON x.n = y.n AND x.k = y.k AND y.place = 1
 """
 
 

@@ -92,7 +92,7 @@ def leaks(texts: dict, items: dict, threshold: float = 0.8) -> dict:
 
 
 def mix(rows: list[tuple], weights=(1, 2, 3), most=3.0, seed=17) -> list[int]:
-    """Copies of each ``(doc_id, source, size)`` row."""
+    """Copies of each ``(doc_id, source, size)`` row; larger documents are drawn more readily."""
     sizes: dict = defaultdict(int)
     for _, source, size in rows:
         sizes[source] += size
@@ -113,33 +113,32 @@ def mix(rows: list[tuple], weights=(1, 2, 3), most=3.0, seed=17) -> list[int]:
         mine = [i for i, r in enumerate(rows) if r[1] == source]
         rate = target[source] / sizes[source] if sizes[source] else 0.0
         whole = int(rate + 1e-12)
-        goal = target[source] - whole * sizes[source]
+        gap = int(target[source] - whole * sizes[source] + 1e-6)
         p = rate - whole
+        mean = sum(rows[i][2] * len(f"{rows[i][2]:b}") for i in mine) / max(1, sizes[source])
 
         def q(i):
-            doc_id = rows[i][0]
+            doc_id, _, size = rows[i]
             digest = md5(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()
             u = (int(digest[:13], 16) + 0.5) / (1 << 52)
-            return (u / (1 - u)) / (p / (1 - p)), doc_id is None, doc_id or 0, rows[i][2]
+            chance = min(0.95, p * len(f"{size:b}") / mean)
+            return (u / (1 - u)) / (chance / (1 - chance)), doc_id is None, doc_id or 0, size
 
         for i in mine:
             copies[i] = whole
         if p <= 1e-12:
             continue
-        ranked = sorted(mine, key=q)
-        taken, before = set(), 0
-        for i in ranked:
-            if before + rows[i][2] <= goal:
-                taken.add(i)
-            before += rows[i][2]
-        gap = goal - sum(rows[i][2] for i in taken)
-        before = 0
-        for i in ranked:
+        left, stopped = [], False
+        for i in sorted(mine, key=q):
             size = rows[i][2]
-            if i not in taken and 0 < size <= gap:
-                if before + size <= gap:
-                    copies[i] += 1
-                before += size
-        for i in taken:
-            copies[i] += 1
+            # Up to the first document that overshoots, those without words count as taken too.
+            stopped = stopped or size > gap
+            if size <= gap and (size or not stopped):
+                copies[i] += 1
+                gap -= size
+            elif size:
+                left.append(i)
+        last = min(left, key=lambda i: (rows[i][2], q(i)), default=None)
+        if last is not None and rows[last][2] < 2 * gap:
+            copies[last] += 1
     return copies
