@@ -170,19 +170,24 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius
 def _ahead(hit_rows: DataFrame, wide: Column) -> DataFrame:
     """Adds ``_hits``: hits of the same text and size among the shingles of the window from ``at``.
 
-    The hits of one text and size are a sorted list without repeats, so those of a window are
-    among the next ``wide + 1`` of the list.
+    Positions are cut into blocks of ``wide + 1``, so a window lies in the block of its start and in the
+    next one. Each hit is filed under its own block and under the one before it; no list is
+    longer than an item, and the blocks of a long text are groups of their own.
     """
-    order = ["t1", "t2", "n"]
-    listed = hit_rows.groupBy(*order, "k").agg(F.sort_array(F.collect_list("at")).alias("_all"))
-    counted = listed.select(
-        *order, "k",
-        F.posexplode("_all").alias("_no", "at"), "_all",
+    order = ["t1", "t2", "n", "k"]
+    block = F.floor(F.col("at") / (wide + 1))
+    filed = hit_rows.select(
+        *order, "at", F.posexplode(F.array(block, block - 1)).alias("_later", "_block")
     )
-    return counted.select(
-        *order, "k", "at",
-        F.size(F.filter(F.slice("_all", F.col("_no") + 1, (wide + 1).cast("int")), lambda x: x <= F.col("at") + wide)).alias("_hits"),
+    at_in = lambda later: F.collect_list(F.when(F.col("_later") == later, F.col("at")))
+    listed = filed.groupBy(*order, "_block").agg(F.sort_array(at_in(0)).alias("_own"), at_in(1).alias("_next"))
+    counted = F.transform(
+        "_own",
+        lambda at, i: F.struct(
+            at.alias("at"), (F.size("_own") - i + F.size(F.filter("_next", lambda x: x <= at + wide))).alias("_hits")
+        ),
     )
+    return listed.select(*order, F.inline(counted))
 
 
 def text_keys() -> dict[str, Column]:

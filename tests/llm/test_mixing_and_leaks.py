@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from linewright.llm import decontamination, mixing
 from tests.llm import models
@@ -108,6 +109,18 @@ def test_leaks_equal_all_windows(spark):
     assert missed <= 1
 
 
+def test_hits_ahead_equal_a_count_by_hand(spark):
+    rng = random.Random(5)
+    sizes = {1: 1, 3: 3, 9: 5, 40: 5}
+    hits = {(t, n): sorted(rng.sample(range(300), rng.randrange(1, 200))) for t in range(6) for n in sizes}
+    rows = [(t, 0, n, sizes[n], at) for (t, n), places in hits.items() for at in places]
+    frame = spark.createDataFrame(rows, "t1 long, t2 long, n int, k int, at int").repartition(3)
+    got = {(r["t1"], r["n"], r["at"]): r["_hits"] for r in decontamination._ahead(frame, F.col("n") - F.col("k")).collect()}
+    assert got == {
+        (t, n, at): sum(at <= x <= at + n - sizes[n] for x in places) for (t, n), places in hits.items() for at in places
+    }
+
+
 def test_leaks_without_items_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (None, "a b c d e f g")], "doc_id long, text string")
     bench = spark.createDataFrame([(5, "A b, c d e f")], "item_id long, text string")
