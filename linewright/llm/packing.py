@@ -266,7 +266,6 @@ def _piece_batches(tokenizer_file: str, dtype: str, end_id: int, capacity: int):
                     seen[n] += 1
                     if len(rows) == BATCH_PIECES:
                         yield made()
-        encoder.forget()
         if rows:
             yield made()
 

@@ -25,9 +25,8 @@ from linewright.session import cut_lineage, fresh_path
 MAGIC = b"LWTOK001"
 #: At the end of a file: where its lists begin, their sizes, and the magic again.
 _FOOT = "<QQQQ8s"
-#: Bytes that a worker holds of each of its two tables of known ids, counted with ``ENTRY`` for an entry's objects.
-REMEMBERED = 48 << 20
-ENTRY = 200
+#: Encoded chunks, and pieces of chunks, that a worker keeps; beyond it they are encoded again.
+REMEMBERED = 500_000
 #: Documents that are read back together.
 READ_DOCS = 2048
 
@@ -68,13 +67,8 @@ class CachedEncoder:
         self.tokenizer.no_padding()
         self._code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self._model = self.tokenizer.model
-        self.forget()
-
-    def forget(self) -> None:
-        """Start anew; a task that ends leaves its worker nothing to hold."""
         self._chunks: dict[str, bytes] = {"": b""}
         self._pieces: dict[str, bytes] = {}
-        self._chunk_bytes = self._piece_bytes = 0
 
     def _encode(self, chunk: str) -> bytes:
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -88,10 +82,7 @@ class CachedEncoder:
                 found = array(self._code, [t.id for t in self._model.tokenize(spelled)]).tobytes()
             else:
                 found = self._encode(piece)
-            if self._piece_bytes > REMEMBERED:
-                self._pieces, self._piece_bytes = {}, 0
             self._pieces[piece] = found
-            self._piece_bytes += len(piece) + len(found) + ENTRY
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -106,17 +97,15 @@ class CachedEncoder:
         try:
             return b"".join([chunks[p] for p in parts])
         except KeyError:
-            known = []
+            if len(chunks) > REMEMBERED:
+                chunks.clear()
+                chunks[""] = b""
+            if len(self._pieces) > 2 * REMEMBERED:
+                self._pieces.clear()
             for p in parts:
-                found = chunks.get(p)
-                if found is None:
-                    if self._chunk_bytes > REMEMBERED:
-                        chunks = self._chunks = {"": b""}
-                        self._chunk_bytes = 0
-                    chunks[p] = found = self._chunk(p)
-                    self._chunk_bytes += len(p) + len(found) + ENTRY
-                known.append(found)
-            return b"".join(known)
+                if p not in chunks:
+                    chunks[p] = self._chunk(p)
+            return b"".join([chunks[p] for p in parts])
 
 
 @lru_cache(maxsize=2)
@@ -148,7 +137,6 @@ def _write_shards(folder: str, file: str, dtype: str, end_id: int):
                     nulls += 1
                 else:
                     ids.append(doc_id)
-        encoder.forget()
         if out is None:
             return
         ends = np.cumsum(np.array(lengths, dtype=np.int64))
