@@ -40,7 +40,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     )
     names = files.groupBy("review_id", "filename").agg(F.min("file_id").alias("target_id"))
     resolved = (
-        candidates.join(names, ["review_id", "filename"])
+        # Spark does not see that the candidates are many per source, so their size is no ground for a broadcast.
+        candidates.hint("merge").join(names, ["review_id", "filename"])
         .groupBy("review_id", "source")
         .agg(F.min(F.struct("rank", "target_id", "filename")).alias("best"))
         .select("review_id", "source", "best.target_id", F.col("best.filename").alias("target"))
