@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linewright.llm.registry import query, table
+from linewright.llm.store import held
 
 UNDETERMINED = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -70,8 +70,11 @@ def learn(
     return {lang: b" ".join(texts) for lang, texts in pieces.items()}
 
 
-@lru_cache(maxsize=4)
 def _compressors(contents: tuple[tuple[str, bytes], ...], level: int):
+    return held(("compressors", contents, level), lambda: _made(contents, level))
+
+
+def _made(contents: tuple[tuple[str, bytes], ...], level: int):
     made = []
     for lang, content in contents:
         # The library takes content from eight bytes on.

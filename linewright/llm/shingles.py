@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 from hashlib import blake2b
 
 import numpy as np
 import xxhash
 
+from linewright.llm.store import held
+
 WORDS = re.compile(r"\w+")
 #: Hashed words that a worker keeps.
 REMEMBERED = 500_000
@@ -24,9 +25,8 @@ class _WordHashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def _hashes() -> _WordHashes:
-    return _WordHashes()
+    return held(("words",), _WordHashes)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

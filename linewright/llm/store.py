@@ -1,12 +1,30 @@
-"""Files in the folder that all executors share, reached through a file system by address."""
+"""Files in the folder that all executors share, reached through a file system by address, and what workers keep."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyarrow import fs
 
 
+#: What ``held`` made last, and what it was asked for.
+_HELD: list = []
+
+
+def held(key: tuple, make: Callable[[], Any]) -> Any:
+    """A worker's table, kept between its tasks until another one is asked for.
+
+    Workers outlive a stage and serve the next one. So an operator's table goes before another's is made, and a worker
+    never holds those of two stages.
+    """
+    if not _HELD or _HELD[0] != key:
+        _HELD.clear()
+        _HELD[:] = key, make()
+    return _HELD[1]
+
+
 def open_store(address: str) -> tuple[fs.FileSystem, str]:
     """The file system of an address such as ``file:///shared/x`` or a plain absolute path."""
     return fs.FileSystem.from_uri(address)

@@ -8,7 +8,6 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +18,15 @@ from tokenizers import Tokenizer
 
 from linewright.llm.elias_fano import EliasFano, encode
 from linewright.llm.registry import query, table
-from linewright.llm.store import AttemptFile, open_input
+from linewright.llm.store import AttemptFile, held, open_input
 from linewright.session import cut_lineage, fresh_path
 
 MAGIC = b"LWTOK001"
 #: At the end of a file: where its lists begin, their sizes, and the magic again.
 _FOOT = "<QQQQ8s"
-#: Encoded chunks, and pieces of chunks, that a worker keeps; beyond it they are encoded again.
-REMEMBERED = 500_000
+#: Encoded chunks and pieces of chunks that a worker keeps in one table; beyond it they are encoded again. A
+#: dict of 2**20 places holds two thirds as many entries; one more would double it.
+REMEMBERED = 690_000
 #: Documents that are read back together.
 READ_DOCS = 2048
 
@@ -51,14 +51,29 @@ def _byte_letters() -> dict[int, str]:
 _BYTE_LETTERS = _byte_letters()
 
 
+class _Known(dict):
+    """Values that are made when they are first asked for; a full table starts anew."""
+
+    def __init__(self, make):
+        super().__init__()
+        self._make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self._make(key)
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[key] = found
+        return found
+
+
 class CachedEncoder:
     """Ids of whole texts as little-endian bytes, each distinct chunk encoded once.
 
     The vocabulary drops white space before it merges anything, so a text's ids are those of
     its chunks between spaces and line ends. Without apostrophe or special token, runs of
     letters and what stands between them are pre-tokens of their own too, so such chunks are
-    cut further and letters go straight to the merge model. All others go to the library as
-    they are.
+    cut further and letters go straight to the merge model. A piece is a chunk like others, so
+    both are in one table. All others go to the library as they are.
     """
 
     def __init__(self, file: str, dtype: str):
@@ -67,50 +82,32 @@ class CachedEncoder:
         self.tokenizer.no_padding()
         self._code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self._model = self.tokenizer.model
-        self._chunks: dict[str, bytes] = {"": b""}
-        self._pieces: dict[str, bytes] = {}
+        self._known = _Known(self._chunk)
 
     def _encode(self, chunk: str) -> bytes:
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return array(self._code, ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        found = self._pieces.get(piece)
-        if found is None:
-            if _LETTERS.fullmatch(piece):
-                spelled = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
-                found = array(self._code, [t.id for t in self._model.tokenize(spelled)]).tobytes()
-            else:
-                found = self._encode(piece)
-            self._pieces[piece] = found
-        return found
-
     def _chunk(self, chunk: str) -> bytes:
+        if not chunk:
+            return b""
         low = chunk.lower()
-        if _PLAIN.fullmatch(low) and "<|" not in low:
-            return b"".join([self._piece(p) for p in _PIECE.findall(low)])
-        return self._encode(chunk)
+        if not _PLAIN.fullmatch(low) or "<|" in low:
+            return self._encode(chunk)
+        pieces = _PIECE.findall(low)
+        if len(pieces) > 1 or low != chunk:
+            return b"".join([self._known[p] for p in pieces])
+        if not _LETTERS.fullmatch(low):
+            return self._encode(low)
+        spelled = low if low.isascii() else low.encode("utf-8").decode("latin-1").translate(_BYTE_LETTERS)
+        return array(self._code, [t.id for t in self._model.tokenize(spelled)]).tobytes()
 
     def encode(self, text: str) -> bytes:
-        chunks = self._chunks
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([chunks[p] for p in parts])
-        except KeyError:
-            if len(chunks) > REMEMBERED:
-                chunks.clear()
-                chunks[""] = b""
-            if len(self._pieces) > 2 * REMEMBERED:
-                self._pieces.clear()
-            for p in parts:
-                if p not in chunks:
-                    chunks[p] = self._chunk(p)
-            return b"".join([chunks[p] for p in parts])
-
-
-@lru_cache(maxsize=2)
+        return b"".join(map(self._known.__getitem__, text.replace("\n", " ").split(" ")))
+
+
 def _encoder(file: str, dtype: str) -> CachedEncoder:
-    return CachedEncoder(file, dtype)
+    return held(("encoder", file, dtype), lambda: CachedEncoder(file, dtype))
 
 
 def id_type(file: str) -> str:

@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -6,7 +8,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer, models
 
-from linewright.llm import token_counts, token_files
+from linewright.llm import language, shingles, token_counts, token_files
 from linewright.llm.elias_fano import EliasFano, encode
 from linewright.session import fresh_path
 
@@ -135,3 +137,26 @@ def test_uncovered_characters_cost_their_bytes():
     scores = {"▁": -1.0, "a": -2.0, "▁a": -2.5}
     got = dict(token_counts.trie_counts(["▁a", "▁ab", "▁é"], scores))
     assert got == {"▁a": 1, "▁ab": 2, "▁é": 3}
+
+
+def test_a_worker_holds_the_tables_of_one_operator():
+    contents = (("a", b"some words to learn"), ("b", b"andere Worte zum Lernen"))
+    shingles.shingle_set("one two three four five six")
+    words = weakref.ref(shingles._hashes())
+    language.classify("some words", contents, 6, 0.002)
+    gc.collect()
+    assert words() is None
+    encoder = weakref.ref(token_files._encoder(FILE, "<u2"))
+    assert token_files._encoder(FILE, "<u2") is encoder()
+    language.classify("some words", contents, 6, 0.002)
+    gc.collect()
+    assert encoder() is None
+
+
+def test_chunks_and_pieces_share_one_bound(monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 100)
+    cached, library = token_files.CachedEncoder(FILE, "<u2"), Tokenizer.from_file(FILE)
+    text = " ".join(f"word{i}, Name{i % 7} x{i}" for i in range(2000))
+    assert np.frombuffer(cached.encode(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+    held = sum(len(v) for v in vars(cached).values() if isinstance(v, dict))
+    assert held <= 100
