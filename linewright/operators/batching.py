@@ -235,12 +235,13 @@ def pack_components(files: DataFrame, chunks: DataFrame, budget: int = fv.TOKEN_
     return placed.unionByName(cut)
 
 
-def create_batches(files: DataFrame, budget: int = fv.TOKEN_BUDGET) -> DataFrame:
+def create_batches(files: DataFrame, budget: int = fv.TOKEN_BUDGET, chunks: DataFrame | None = None) -> DataFrame:
     """Rows ``(review_id, component_id, batch_ord, file_ord, file_id, chunk_ord, tokens)``.
 
     ``files`` has review_id, component_id, file_id, file_ord, tokens and content. Small
     components are one batch each and are never put together. Everything but the chunks is
     decided on the narrow columns, which are written out once, as several steps need them.
+    A caller that has the ``file_chunks`` hands them in; contents are then not read.
     """
     narrow = cut_lineage(files.drop("content"), "sized")
     whole, over = split_by_budget(narrow, budget)
@@ -249,7 +250,9 @@ def create_batches(files: DataFrame, budget: int = fv.TOKEN_BUDGET) -> DataFrame
         *COMPONENT, F.lit(0).cast("long").alias("batch_ord"), "file_ord", "file_id",
         none.alias("chunk_ord"), F.col("tokens").cast("long").alias("tokens"),
     )
-    return kept.unionByName(pack_components(over, file_chunks(narrow, files, budget).drop("content"), budget))
+    if chunks is None:
+        chunks = file_chunks(narrow, files, budget)
+    return kept.unionByName(pack_components(over, chunks.drop("content"), budget))
 
 
 def file_chunks(sized: DataFrame, files: DataFrame, budget: int = fv.TOKEN_BUDGET) -> DataFrame:

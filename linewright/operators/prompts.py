@@ -9,6 +9,7 @@ from linewright import fixed_values as fv
 from linewright.functions import text
 from linewright.operators.batching import COMPONENT
 from linewright.operators import structure
+from linewright.session import cut_lineage
 
 BATCH = [*COMPONENT, "batch_ord"]
 FILE = ["review_id", "file_id"]
@@ -29,12 +30,14 @@ def batch_files(batches: DataFrame, files: DataFrame, chunks: DataFrame | None =
     named = files.select(*FILE, "filename", "language", "content")
     split = F.max("batch_ord") > 0
     parts = batches.groupBy(*COMPONENT).agg((split | F.bool_or(F.col("chunk_ord").isNotNull())).alias("split"))
-    rows = batches.join(parts, COMPONENT).join(named, FILE)
-    if chunks is not None:
-        pieces = chunks.select("file_id", "chunk_ord", F.col("content").alias("piece"))
-        rows = rows.join(pieces, ["file_id", "chunk_ord"], "left").withColumn(
-            "content", F.coalesce("piece", "content")
-        ).drop("piece")
+    rows = batches.join(parts, COMPONENT)
+    if chunks is None:
+        rows = rows.join(named, FILE)
+    else:
+        # A piece brings its own text, so no row of a cut file carries the whole of it.
+        pieces = chunks.select("file_id", "chunk_ord", "content")
+        cut = rows.where("chunk_ord IS NOT NULL").join(named.drop("content"), FILE).join(pieces, ["file_id", "chunk_ord"])
+        rows = rows.where("chunk_ord IS NULL").join(named, FILE).unionByName(cut)
     return rows.withColumn("place", _place())
 
 
@@ -56,23 +59,27 @@ def _listed(label: str, values: Column) -> Column:
     return F.when(F.size(values) > 0, F.concat(F.lit(f"{label}: "), F.array_join(values, ", ")))
 
 
-def describe(files: DataFrame) -> DataFrame:
+def describe(files: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Optional lines per file: what it exports, imports and defines.
 
-    Each list belongs to one file, whose content was one cell to begin with.
+    Each list belongs to one file, whose content was one cell to begin with. ``found`` are the files'
+    ``structure.facts`` (functions and imports); they are written out here where a caller has none, as
+    both kinds come out of one pass over the contents.
     """
+    if found is None:
+        found = cut_lineage(structure.facts(files, "function", "import"), "facts")
 
     def gather(rows: DataFrame, keys: list[str], *order: str, value: Column, name: str) -> DataFrame:
         listed = F.array_sort(F.collect_list(F.struct(*order, value.alias("value"))))
         return rows.groupBy(*keys).agg(listed["value"].alias(name))
 
     exported = gather(structure.exports(files), FILE, "line_no", value=F.col("name"), name="exports")
-    imported = gather(structure.imports(files), FILE, "line_no", "part", value=F.col("source"), name="imports")
+    imported = gather(structure.imports(files, found), FILE, "line_no", "part", value=F.col("source"), name="imports")
     shown = F.concat(
         F.col("name"), F.lit("("), F.array_join("params", ", "),
         F.lit(") [complexity: "), F.col("complexity").cast("string"), F.lit("]"),
     )
-    defined = gather(structure.functions(files), FILE, "part", value=shown, name="functions")
+    defined = gather(structure.functions(files, found), FILE, "part", value=shown, name="functions")
     joined = files.select(*FILE)
     for part in (exported, imported, defined):
         joined = joined.join(part, FILE, "left")

@@ -34,10 +34,10 @@ REACH_STEPS = (
 GRAPH_STEPS = (lines_step("code"), imports_step(), RESOLVED_STEP, *REACH_STEPS)
 
 
-def linked(spark, sf_dir, name="files"):
-    """Files with component and tokens."""
+def linked(spark, sf_dir, name="files", found=None):
+    """Files with component and tokens; ``found`` are their facts where they are known."""
     files = code(spark, sf_dir, name)
-    resolved = graph.resolve_imports(structure.imports(files), files)
+    resolved = graph.resolve_imports(structure.imports(files, found), files)
     edges = resolved.select(F.col("file_id").alias("src"), F.col("target_id").alias("dst"))
     components = graph.connected_components(files, edges)
     # Counted where a file is read, so that contents are pruned from this join where only
