@@ -259,7 +259,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
         "block", "rep", "copies", "shingles",
     )
     found = cut_lineage(
-        gather(meetings, ["component", "left", "right"], "rep").mapInArrow(
+        gather(meetings, ["component", "left", "right"], "rep", spread=False).mapInArrow(
             _verify_batches(threshold), FOUND
         ),
         "near-found",
