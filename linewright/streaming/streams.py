@@ -12,12 +12,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from linewright.operators import scan
 from linewright.session import drop_folder, fresh_path
 from linewright.sources.keyed import KeyedStore
 from linewright.streaming.state import EventNumbers, rocks_state
 
+#: Slices of reviews that are numbered together; the state stays one counter per review.
+SLICES = 1024
+
 
 def read_files(spark: SparkSession, folder: str, schema, pattern: str, per_trigger: int | None = None) -> DataFrame:
     """Parquet files of a folder as a stream; the schema is given, never guessed."""
@@ -78,12 +82,28 @@ def sequence_events(events: DataFrame, folder: str | None = None) -> DataFrame:
     event that arrives after later ones gets the next free number, as numbers once given stay.
     Events without a review are numbered as a review of their own.
     """
+    review = F.col("review_id")
+    # A null among whole numbers would turn the column into floats on its way through pandas, where names
+    # that begin with an underscore are lost.
+    whole = [f.name for f in events.schema.fields if isinstance(f.dataType, IntegralType)]
     names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields)
+    flags = "".join(f", no_{name} boolean" for name in whole)
+    sliced = events.select(
+        *[F.coalesce(name, F.lit(0)).cast(events.schema[name].dataType).alias(name) if name in whole else F.col(name) for name in events.columns],
+        *[F.col(name).isNull().alias(f"no_{name}") for name in whole],
+        F.when(review.isNull(), -1).otherwise(F.pmod(F.xxhash64(review), F.lit(SLICES))).cast("int").alias("of_slice"),
+        F.coalesce(review.cast("string"), F.lit("")).alias("of_review"),
+        F.col("ord").isNull().alias("of_last"),
+    )
     with rocks_state(events.sparkSession):
-        numbered = events.groupBy("review_id").transformWithStateInPandas(
-            EventNumbers(), f"{names}, sequence_number long", "append", "none"
+        numbered = sliced.groupBy("of_slice").transformWithStateInPandas(
+            EventNumbers(), f"{names}{flags}, of_slice int, sequence_number long", "append", "none"
+        )
+        told = numbered.select(
+            *[F.when(~F.col(f"no_{name}"), F.col(name)).alias(name) if name in whole else F.col(name) for name in events.columns],
+            "sequence_number",
         )
-        return append(numbered, "stream-sequence", folder)
+        return append(told, "stream-sequence", folder)
 
 
 def subscribe(events: DataFrame, review_id: int) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from linewright.streaming import streams
+from linewright.streaming.state import EventNumbers
 
 
 @pytest.fixture()
@@ -76,6 +78,32 @@ def test_sequence_goes_on_after_a_restart(spark, tmp_path):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
+def test_large_numbers_stay_whole_beside_nulls(spark, tmp_path):
+    schema = "review_id long, ord long, size long"
+    big = 2**53 + 1
+    rows = [(7, big, None), (7, big + 1, big + 2), (7, None, 5), (big, 1, big)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = streams.read_files(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, "*.parquet")
+    got = streams.sequence_events(stream, f"{tmp_path}/out")
+    assert {tuple(r) for r in got.collect()} == {(7, big, None, 1), (7, big + 1, big + 2, 2), (7, None, 5, 3), (big, 1, big, 1)}
+
+
+def test_reviews_of_a_slice_are_numbered_in_one_call():
+    class Used(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    used = Used({("2",): (10,)})
+    numbers = EventNumbers()
+    numbers.init(type("Handle", (), {"getMapState": lambda *_: used})())
+    chunks = [
+        pd.DataFrame({"review_id": [2, 1, 1], "ord": [5, 9, 0], "of_review": ["2", "1", "1"], "of_last": [False, False, True]}),
+        pd.DataFrame({"review_id": [1, 2], "ord": [3, 4], "of_review": ["1", "2"], "of_last": [False, False]}),
+    ]
+    (got,) = numbers.handleInputRows((0,), iter(chunks), None)
+    assert set(got.itertuples(index=False, name=None)) == {(1, 3, 1), (1, 9, 2), (1, 0, 3), (2, 4, 11), (2, 5, 12)}
+    assert used == {("1",): (3,), ("2",): (12,)}
+
+
 def test_arrivals_hold_every_row_once_in_order(spark):
     rows = spark.createDataFrame([(n % 50,) for n in range(200)] + [(None,)], "k long")
     parts = [sorted((r.k is None, r.k or 0) for r in p.collect()) for p in streams.arrivals(rows, "k", 4)]
