@@ -92,36 +92,70 @@ class KeyedStore:
         new_versions = dict(versions)
         gone = None
         if deletes is not None:
-            gone = deletes.select(F.col(self.key).alias("_gone")).distinct()
+            gone = deletes.select(F.col(self.key).alias("_gone"))
         for table in self.tables:
             rows, names = upserts.get(table, (None, [self.key]))
             if rows is None and gone is None:
                 continue
-            keys = [d.select(self._bucket(F.col(c)).alias("b")) for d, c in ((gone, "_gone"), (rows, self.key)) if d is not None]
-            touched = sorted(r["b"] for r in (keys[0] if len(keys) == 1 else keys[0].union(keys[1])).distinct().collect())
-            if not touched:
+            touched = self._touched(*[(d, c) for d, c in ((gone, "_gone"), (rows, self.key)) if d is not None])
+            stored = self._stored(table, versions, touched)
+            if not (touched if rows is not None else stored):
                 continue
-            # Buckets are all that is collected, and there are as many as the store has.
-            kept = self._rows(table, versions, touched)
-            if gone is not None:
-                kept = kept.join(gone, F.col(self.key).eqNullSafe(F.col("_gone")), "left_anti")
+            kept = self._rows(table, versions, stored)
             if rows is not None:
                 rows = rows.select(*kept.columns)
-                named = rows.select(*[F.col(n).alias(f"_new_{n}") for n in names]).distinct()
+            # Joins are left out where nothing is stored yet: each of them would move the new rows once more.
+            if stored and gone is not None:
+                kept = kept.join(gone, F.col(self.key).eqNullSafe(F.col("_gone")), "left_anti")
+            if stored and rows is not None:
+                named = rows.select(*[F.col(n).alias(f"_new_{n}") for n in names])
                 same = F.lit(True)
                 for n in names:
                     same &= F.col(n).eqNullSafe(F.col(f"_new_{n}"))
                 kept = kept.join(named, same, "left_anti").unionByName(rows)
-            path = f"{self.folder}/rows/{table}/_version={number}"
-            # AQE packs small buckets together and splits one that a single key has made large.
-            bucketed = kept.withColumn("_bucket", self._bucket(F.col(self.key))).hint("rebalance", F.col("_bucket"))
-            bucketed.write.mode("overwrite").partitionBy("_bucket").parquet(path)
+            self._write(table, kept if stored else rows, number)
             new_versions.update({(table, b): number for b in touched})
-        rows = [(t, b, v) for (t, b), v in new_versions.items()] or [("", -1, -1)]
+        self._publish(new_versions, number)
+        return number
+
+    def update(self, table: str, changes: DataFrame, names: list[str]) -> int:
+        """Set the other columns of ``changes`` in the stored rows that its columns ``names`` name; returns the
+        number of the change.
+
+        ``changes`` has one row for a name; names that are not stored are passed over. The buckets of its keys
+        meet it in one join.
+        """
+        newest, versions = self._current()
+        number, new_versions = newest + 1, dict(versions)
+        stored = self._stored(table, versions, self._touched((changes, self.key)))
+        if stored:
+            kept = self._rows(table, versions, stored)
+            values = [c for c in changes.columns if c not in names]
+            new = changes.select(*names, *[F.col(c).cast(kept.schema[c].dataType).alias(f"_new_{c}") for c in values], F.lit(True).alias("_named"))
+            columns = [F.when(F.col("_named"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in kept.columns]
+            self._write(table, kept.join(new, names, "left").select(*columns), number)
+            new_versions.update({(table, b): number for b in stored})
+        self._publish(new_versions, number)
+        return number
+
+    def _touched(self, *keyed: tuple[DataFrame, str]) -> list[int]:
+        """Buckets of the keys. They are all that is collected, and there are as many as the store has."""
+        keys = [d.select(self._bucket(F.col(c)).alias("b")) for d, c in keyed]
+        return sorted(r["b"] for r in (keys[0] if len(keys) == 1 else keys[0].union(keys[1])).distinct().collect())
+
+    def _stored(self, table: str, versions: dict[tuple[str, int], int], buckets: list[int]) -> list[int]:
+        return [b for b in buckets if versions.get((table, b), -1) >= 0]
+
+    def _write(self, table: str, rows: DataFrame, number: int) -> None:
+        # AQE packs small buckets together and splits one that a single key has made large.
+        bucketed = rows.withColumn("_bucket", self._bucket(F.col(self.key))).hint("rebalance", F.col("_bucket"))
+        bucketed.write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.folder}/rows/{table}/_version={number}")
+
+    def _publish(self, versions: dict[tuple[str, int], int], number: int) -> None:
+        rows = [(t, b, v) for (t, b), v in versions.items()] or [("", -1, -1)]
         self.spark.createDataFrame(rows, "table string, bucket int, version long").coalesce(1).write.mode("overwrite").parquet(
             f"{self.folder}/manifest/commit={number}"
         )
-        return number
 
     def vacuum(self, keep: int = 1) -> None:
         """Forget all but the newest ``keep`` changes and delete the buckets only older ones name."""

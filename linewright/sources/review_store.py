@@ -35,20 +35,12 @@ class ReviewStore:
     def update_reviews(self, changes: DataFrame) -> None:
         """Set the columns of ``changes``, which has one row for a ``review_id``; reviews that are not
         stored, or not any more, are passed over."""
-        self._update("reviews", changes)
+        self._store.update("reviews", changes, NAMES["reviews"])
 
     def set_feedback(self, feedback: DataFrame) -> None:
         """``review_id, file_ord, ord, feedback, seq``: of several for one finding the last one counts."""
         last = feedback.groupBy(*NAMES["findings"]).agg(F.max_by("feedback", "seq").alias("feedback"))
-        self._update("findings", last)
-
-    def _update(self, table: str, changes: DataFrame) -> None:
-        names = NAMES[table]
-        values = [c for c in changes.columns if c not in names]
-        renamed = changes.select(*names, *[F.col(c).alias(f"_new_{c}") for c in values])
-        stored = self.read(table).join(renamed, names)
-        columns = [F.col(f"_new_{c}").alias(c) if c in values else F.col(c) for c in self.read(table).columns]
-        self._store.change({table: (stored.select(*columns), names)})
+        self._store.update("findings", last, NAMES["findings"])
 
     def delete(self, reviews: DataFrame) -> None:
         """Take out reviews by ``review_id`` with their files and findings."""

@@ -81,6 +81,36 @@ def test_a_change_touches_the_buckets_of_its_keys(spark, tmp_path):
     assert written.select("_bucket").distinct().count() == 1 and written.count() < 60
 
 
+def _joins(spark, run) -> int:
+    """Joins in the plans of what ``run`` writes in buckets."""
+    plans = []
+    write = KeyedStore._write
+
+    def told(self, table, rows, number):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        write(self, table, rows, number)
+
+    KeyedStore._write = told
+    try:
+        run()
+    finally:
+        KeyedStore._write = write
+    return sum(plan.count("Join ") for plan in plans)
+
+
+def test_changes_join_no_more_than_they_must(spark, tmp_path):
+    store = KeyedStore(spark, f"{tmp_path}/s", TABLES, "review_id", buckets=2)
+    rows = spark.createDataFrame([(n, "new") for n in [None, *range(8)]], TABLES["reviews"])
+    # Nothing is stored, so nothing can be replaced.
+    assert _joins(spark, lambda: store.change({"reviews": (rows, ["review_id"])}, rows.select("review_id"))) == 0
+    changes = spark.createDataFrame([(3, "old"), (99, "none"), (4, None)], TABLES["reviews"])
+    assert _joins(spark, lambda: store.update("reviews", changes, ["review_id"])) == 1
+    want = {3: "old", 4: None}
+    assert contents(store)[0] == sorted([(n, want.get(n, "new")) for n in [None, *range(8)]], key=repr)
+    assert store.update("files", spark.createDataFrame([(3, 1, 5)], TABLES["files"]), ["review_id", "file_id"]) == 2
+    assert contents(store)[1] == [] and store.commits() == [0, 1, 2]
+
+
 def test_reviews_are_saved_updated_and_deleted(spark, tmp_path):
     from linewright.sources.review_store import ReviewStore
 
