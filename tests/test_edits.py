@@ -39,6 +39,13 @@ def test_the_longest_lines(spark):
     assert {(r.ord, r.new_start) for r in plan.collect()} == {(1, 2_000_000_000), (2, 5)}
 
 
+def test_turns_are_joined_once(spark):
+    """One join gives the shifts back to the findings, one the sums of earlier blocks; every other reading is a scan."""
+    rows = [(1, 1, 5, 6, "a", 1), (1, 1, 9, 9, "a\nb", 2)]
+    plan = edits.apply_in_sequence(spark.createDataFrame(rows, SCHEMA), ["review_id", "file_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
+
+
 def test_sums_below():
     import numpy as np
 
